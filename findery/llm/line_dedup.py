@@ -17,23 +17,29 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+from xxhash import xxh64_intdigest
 
-from .common import fresh, ref, saved
+from .common import fresh, ref, saved, text_slices
 
 SLICE_BITS = 20
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
-def _lines(text: Column) -> Column:
-    return F.split(text, "\n", -1)
+def _line_hashes(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """(offsets of each text's lines, trimmed lines, hashes); a null text has one blank line."""
+    parts = pc.split_pattern(pc.fill_null(texts, ""), "\n")
+    ends = parts.offsets.to_numpy().astype(np.int64)
+    lines = pc.utf8_trim(parts.values.slice(int(ends[0]), int(ends[-1] - ends[0])), " ").to_pylist()
+    return ends - ends[0], lines, np.fromiter((xxh64_intdigest(x, 42) for x in lines), np.uint64, len(lines))
 
 
-def _hashes(text: Column) -> Column:
-    """Per line the hash of its trimmed text; null for a blank line."""
-    return F.transform(_lines(text), lambda x: F.when(F.trim(x) != "", F.xxhash64(F.trim(x))))
+def _text_hash(texts: list[str | None]) -> list[int | None]:
+    return [None if t is None else int(np.uint64(xxh64_intdigest(t, 42)).view(np.int64)) for t in texts]
 
 
 def _positions(hashed: np.ndarray, log_bits: int, hashes: int) -> np.ndarray:
@@ -115,7 +121,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines end at newlines and are compared without leading and trailing spaces.
     The first occurrence has the least (id, text hash, line number), null ids last.
     Other columns, whatever their names, pass through; ``length_col`` (if given) is
-    set to the new text's length and ``dropped_col`` is added with the number of
+    set to the new text's length (where lines went) and ``dropped_col`` is added with the number of
     lines removed.
 
     Defined results: blank lines are never repeats and stay; a null text stays null
@@ -128,88 +134,93 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     combined on the map side) finds the suspects and a join marks them.
     """
     spark = docs.sparkSession
-    c_id, c_text = ref(id_col), ref(text_col)
-    source = docs.select(c_id.alias("id"), c_text.alias("text")).where(F.col("text").isNotNull())
-    hashed = saved(source.select(F.explode(_hashes(F.col("text"))).alias("h")).where(F.col("h").isNotNull()), "line-hashes")
+    source = docs.select(ref(id_col).alias("id"), ref(text_col).alias("text")).where(F.col("text").isNotNull())
+    kind = source.schema["id"].dataType
+    arrow_kind = to_arrow_type(kind)
+
+    def hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "text"):
+            _, lines, hashed = _line_hashes(batch.column("text"))
+            full = np.array([x != "" for x in lines], bool)
+            yield pa.RecordBatch.from_arrays([pa.array(hashed[full].view(np.int64))], names=["h"])
+
+    hashed = saved(source.select("text").mapInArrow(hash_lines, "h long"), "line-hashes")
     suspected = _suspect_flags(spark, hashed, hashed.count(), bits_per_line, hashes, max_filter_mb)
 
-    exploded = source.select("id", F.xxhash64("text").alias("th"), F.posexplode(_lines(F.col("text"))).alias("no", "line")).select("id", "th", "no", F.trim("line").alias("line")).where(F.col("line") != "")
-    if suspected is not None:
-
-        @F.pandas_udf(T.BooleanType())
-        def is_suspect(h: pd.Series) -> pd.Series:
-            return pd.Series(suspected(h.to_numpy(np.int64)))
-
-        suspects = exploded.withColumn("h", F.xxhash64("line")).where(is_suspect("h"))
-    else:
-        repeats = hashed.groupBy("h").count().where(F.col("count") > 1).select("h")
-        suspects = exploded.withColumn("h", F.xxhash64("line")).join(repeats, "h", "left_semi")
-
-    first = suspects.groupBy("line").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th", "no")).alias("at"), F.count("*").alias("n"))
-    k_id, k_th, k_keep, k_drop, k_src = fresh(docs, "k_id", "k_th", "k_keep", "k_drop", "k_src")
-    if suspected is not None:
-        # a suspect that occurs once is its own first occurrence and is kept with the others
-        keep = first.groupBy(F.col("at.id").alias(k_id), F.col("at.th").alias(k_th)).agg(F.collect_set("at.no").alias(k_keep))
-
-        @F.pandas_udf(T.BooleanType())
-        def has_suspect(h: pd.Series) -> pd.Series:
-            sizes = np.array([0 if x is None else len(x) for x in h])
-            if not sizes.sum():
-                return pd.Series(np.zeros(len(h), bool))
-            flat = np.concatenate([np.asarray(x, np.int64) for x in h if x is not None and len(x)])
-            hit = suspected(flat)
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            counts = np.concatenate([[0], np.cumsum(hit)])
-            return pd.Series((counts[ends[1:]] - counts[ends[:-1]]) > 0)
-
-        @F.pandas_udf(T.ArrayType(T.BooleanType()))
-        def drops(h: pd.Series, kept: pd.Series) -> pd.Series:
-            out = []
-            for x, k in zip(h, kept):
-                flags = suspected(np.fromiter((0 if v is None else v for v in x), np.int64, len(x)))
-                if k is not None and len(k):
-                    flags[np.asarray(k, np.int64)] = False
-                out.append(flags)
-            return pd.Series(out)
-
-        # blank lines hash to 0 here: take them out of both decisions
-        full = F.filter(_hashes(c_text), lambda x: x.isNotNull())
-        touched = F.coalesce(has_suspect(full), F.lit(False))
-        plain = docs.where(~touched)
-        marked = docs.where(touched).withColumn(k_th, F.xxhash64(c_text))
-        joined = marked.join(keep.select(F.col(k_id).alias(k_src), F.col(k_th).alias("_" + k_th), k_keep), c_id.eqNullSafe(F.col(k_src)) & (F.col(k_th) == F.col("_" + k_th)), "left")
-        flags = drops(F.transform(_hashes(c_text), lambda x: F.coalesce(x, F.lit(0).cast("long"))), F.col(k_keep))
-        joined = joined.withColumn(k_drop, flags)
-    else:
-        plain = None
-        lost = suspects.join(first.where("n > 1"), "line").where(~(F.col("id").eqNullSafe(F.col("at.id")) & (F.col("th") == F.col("at.th")) & (F.col("no") == F.col("at.no"))))
-        lost = lost.groupBy(F.col("id").alias(k_src), F.col("th").alias("_" + k_th)).agg(F.collect_set("no").alias(k_keep))
-
-        @F.pandas_udf(T.ArrayType(T.BooleanType()))
-        def flagged(n: pd.Series, gone: pd.Series) -> pd.Series:
-            out = []
-            for size, g in zip(n, gone):
-                flags = np.zeros(max(0, int(size)), bool)
-                if g is not None and len(g):
-                    flags[np.asarray(g, np.int64)] = True
-                out.append(flags)
-            return pd.Series(out)
-
-        marked = docs.withColumn(k_th, F.xxhash64(c_text))
-        joined = marked.join(lost, c_id.eqNullSafe(F.col(k_src)) & (F.col(k_th) == F.col("_" + k_th)), "left").withColumn(k_drop, flagged(F.coalesce(F.size(_lines(c_text)), F.lit(0)), F.col(k_keep)))
-
-    # a blank line is kept whatever its flag
-    left = F.filter(_lines(c_text), lambda x, i: (F.trim(x) == "") | ~F.get(F.col(k_drop), i))
-    text = F.when(c_text.isNotNull(), F.array_join(left, "\n"))
-    dropped = F.when(c_text.isNull(), 0).otherwise(F.size(_lines(c_text)) - F.size(left)).cast("int")
-
-    def finish(df: DataFrame, new_text: Column, gone: Column) -> DataFrame:
-        made = {text_col: new_text} | ({length_col: F.length(new_text).cast("long")} if length_col else {})
-        out = [made[c].alias(c) if c in made else ref(c) for c in docs.columns]
-        return df.select(*out, *([gone.alias(dropped_col)] if dropped_col else []))
-
-    done = finish(joined, text, dropped)
-    return done if plain is None else finish(plain, c_text, F.lit(0).cast("int")).unionByName(done)
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "text"):
+            ends, lines, hashed = _line_hashes(batch.column("text"))
+            flags = np.ones(len(lines), bool) if suspected is None else suspected(hashed)
+            at = [k for k in np.flatnonzero(flags).tolist() if lines[k] != ""]
+            rows = np.searchsorted(ends, at, "right") - 1
+            th = np.array(_text_hash(batch.column("text").to_pylist()), np.int64)
+            columns = [batch.column("id").take(pa.array(rows)).cast(arrow_kind), pa.array(th[rows], pa.int64()), pa.array((np.array(at, np.int64) - ends[rows]).astype(np.int32)), pa.array([lines[k] for k in at], pa.string()), pa.array(hashed[at].view(np.int64), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "no", "line", "h"])
+
+    suspects = source.mapInArrow(find, T.StructType([T.StructField("id", kind), T.StructField("th", T.LongType()), T.StructField("no", T.IntegerType()), T.StructField("line", T.StringType()), T.StructField("h", T.LongType())]))
+    if suspected is None:
+        suspects = suspects.join(hashed.groupBy("h").count().where("count > 1").select("h"), "h", "left_semi")
+    first = suspects.groupBy("line").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th", "no")).alias("at"))
+    # a suspect that occurs once is its own first occurrence, so what goes is every suspect but these
+    k_id, k_th, k_key, k_keep, k_gone = fresh(docs, "k_id", "k_th", "k_key", "k_keep", "k_gone")
+    keep = first.groupBy(F.col("at.id").alias(k_id), F.col("at.th").alias(k_th)).agg(F.collect_set("at.no").alias(k_keep))
+
+    def having(suspects: bool):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in text_slices(batches, text_col):
+                ends, lines, hashed = _line_hashes(batch.column(text_col))
+                flags = suspected(hashed) & np.array([x != "" for x in lines], bool)
+                counts = np.concatenate([[0], np.cumsum(flags)])
+                own = (counts[ends[1:]] - counts[ends[:-1]] > 0) == suspects
+                out = batch.filter(pa.array(own))
+                if suspects:
+                    out = out.append_column(k_key, pa.array(_text_hash(out.column(text_col).to_pylist()), pa.int64()))
+                yield out
+
+        return work
+
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, text_col):
+            ends, lines, hashed = _line_hashes(batch.column(text_col))
+            flags = suspected(hashed) & np.array([x != "" for x in lines], bool)
+            gone, texts = [], []
+            for i, (text, kept) in enumerate(zip(batch.column(text_col).to_pylist(), batch.column(k_keep).to_pylist())):
+                drop = flags[ends[i] : ends[i + 1]].copy()
+                if kept:
+                    drop[kept] = False
+                n = int(drop.sum())
+                gone.append(n)
+                texts.append("\n".join([x for x, d in zip(text.split("\n"), drop) if not d]) if n else text)
+            columns = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in docs.columns]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.int32())], names=[*docs.columns, k_gone])
+
+    def finish(df: DataFrame, gone: Column, changed: bool) -> DataFrame:
+        length = F.length(ref(text_col)).cast("long")
+        out = [length.alias(c) if changed and c == length_col else ref(c) for c in docs.columns]
+        return df.select(*out, *([gone.cast("int").alias(dropped_col)] if dropped_col else []))
+
+    if suspected is None:
+        # without filters: mark the lines by number
+        lost = suspects.join(first, "line").where(~(F.col("id").eqNullSafe(F.col("at.id")) & (F.col("th") == F.col("at.th")) & (F.col("no") == F.col("at.no"))))
+        lost = lost.groupBy(F.col("id").alias(k_id), F.col("th").alias(k_th)).agg(F.collect_set("no").alias(k_keep))
+        joined = docs.withColumn(k_key, F.xxhash64(ref(text_col))).join(lost, ref(id_col).eqNullSafe(ref(k_id)) & (ref(k_key) == ref(k_th)), "left")
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in text_slices(batches, text_col):
+                texts = batch.column(text_col).to_pylist()
+                numbers = [set(x or ()) for x in batch.column(k_keep).to_pylist()]
+                texts = ["\n".join([x for i, x in enumerate(t.split("\n")) if i not in gone]) if gone else t for t, gone in zip(texts, numbers)]
+                columns = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in docs.columns]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([len(x) for x in numbers], pa.int32())], names=[*docs.columns, k_gone])
+
+        done = joined.select(*[ref(c) for c in docs.columns], ref(k_keep)).mapInArrow(cut, T.StructType([*docs.schema.fields, T.StructField(k_gone, T.IntegerType())]))
+        return finish(done, ref(k_gone), True)
+
+    plain = docs.mapInArrow(having(False), docs.schema)
+    marked = docs.mapInArrow(having(True), T.StructType([*docs.schema.fields, T.StructField(k_key, T.LongType())]))
+    joined = marked.join(keep, ref(id_col).eqNullSafe(ref(k_id)) & (ref(k_key) == ref(k_th)), "left").select(*[ref(c) for c in docs.columns], ref(k_keep))
+    done = joined.mapInArrow(rewrite, T.StructType([*docs.schema.fields, T.StructField(k_gone, T.IntegerType())]))
+    return finish(plain, F.lit(0), False).unionByName(finish(done, ref(k_gone), True))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
