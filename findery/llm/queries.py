@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name -> module that has ``query`` and, where SQL can express it, ``SQL``.
 MODULES = {
     "op1_line_dedup": "line_dedup",
+    "op2_language_id": "language_id",
+    "op5_byte_bpe": "byte_bpe",
 }
 
 
