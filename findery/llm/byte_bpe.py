@@ -77,6 +77,19 @@ def load(path: str = DEFAULT_VOCABULARY) -> Vocabulary:
     return Vocabulary(tokens, left, right)
 
 
+class _Pieces(dict):
+    """Memo of chunk -> ids; long chunks are not kept."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.encoder.chunk(chunk)
+        if len(chunk) <= _LONG:
+            self[chunk] = ids
+        return ids
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         import ahocorasick
@@ -96,7 +109,7 @@ class Encoder:
         self.usable = reached
         self.shorter: dict[int, int] = {}
         self.compatible: dict[int, bool] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = _Pieces(self)
 
     def next_shorter(self, token: int) -> int:
         """The longest token that is a proper prefix of ``token``; -1: none."""
@@ -185,16 +198,7 @@ class Encoder:
     def encode(self, text: str) -> np.ndarray:
         if len(self.pieces) > _CACHE:
             self.pieces.clear()
-        pieces = self.pieces
-        out = []
-        for chunk in _CHUNK.findall(text):
-            ids = pieces.get(chunk)
-            if ids is None:
-                ids = self.chunk(chunk)
-                if len(chunk) <= _LONG:
-                    pieces[chunk] = ids
-            out.append(ids)
-        return np.frombuffer(b"".join(out), np.int32)
+        return np.frombuffer(b"".join(map(self.pieces.__getitem__, _CHUNK.findall(text))), np.int32)
 
     def decode(self, ids) -> str:
         """The text of ``ids``; bytes that are no UTF-8 become U+FFFD."""

@@ -134,6 +134,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     combined on the map side) finds the suspects and a join marks them.
     """
     spark = docs.sparkSession
+    names = list(docs.columns)
     source = docs.select(ref(id_col).alias("id"), ref(text_col).alias("text")).where(F.col("text").isNotNull())
     kind = source.schema["id"].dataType
     arrow_kind = to_arrow_type(kind)
@@ -191,8 +192,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 n = int(drop.sum())
                 gone.append(n)
                 texts.append("\n".join([x for x, d in zip(text.split("\n"), drop) if not d]) if n else text)
-            columns = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in docs.columns]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.int32())], names=[*docs.columns, k_gone])
+            columns = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.int32())], names=[*names, k_gone])
 
     def finish(df: DataFrame, gone: Column, changed: bool) -> DataFrame:
         length = F.length(ref(text_col)).cast("long")
@@ -210,8 +211,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 texts = batch.column(text_col).to_pylist()
                 numbers = [set(x or ()) for x in batch.column(k_keep).to_pylist()]
                 texts = ["\n".join([x for i, x in enumerate(t.split("\n")) if i not in gone]) if gone else t for t, gone in zip(texts, numbers)]
-                columns = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in docs.columns]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([len(x) for x in numbers], pa.int32())], names=[*docs.columns, k_gone])
+                columns = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in names]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([len(x) for x in numbers], pa.int32())], names=[*names, k_gone])
 
         done = joined.select(*[ref(c) for c in docs.columns], ref(k_keep)).mapInArrow(cut, T.StructType([*docs.schema.fields, T.StructField(k_gone, T.IntegerType())]))
         return finish(done, ref(k_gone), True)
