@@ -13,6 +13,7 @@ MODULES = {
     "op2_language_id": "language_id",
     "op4_decontamination": "decontamination",
     "op5_byte_bpe": "byte_bpe",
+    "op9_ngram_jaccard": "ngram_jaccard",
 }
 
 
