@@ -1,24 +1,79 @@
-"""Cleaning a document table for training, stage by stage."""
+"""Cleaning a document table for training, stage by stage.
+
+``STAGES`` holds (name, function) pairs; each function takes (spark, docs, sf_dir),
+where docs is what the stage before kept, read back from Parquet, and works on all
+of it. All but the last return the columns of ``documents``; the last adds the
+token ids. Scratch tables of the stage before are dropped when the next one
+begins, as its result is written by then.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from findery.llm import line_dedup
+from findery.llm import byte_bpe, decontamination, language_id, line_dedup, ngram_jaccard
+from findery.llm.common import release, scratch_path
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts whose language cannot be told. The model learns from a bounded
+    sample of the labelled rows."""
+    return language_id.keep_identified(docs, language_id.fit(docs))
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(docs, length_col="n_chars").select(*docs.columns)
+    """Removes every repeated line of the corpus but its first occurrence."""
+    release(spark)
+    return line_dedup.dedup_lines(docs, length_col="n_chars")
+
+
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of each group of similar ones."""
+    release(spark)
+    return ngram_jaccard.keep_one(docs)
+
 
+def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a passage of the benchmark."""
+    release(spark)
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
-STAGES = [("line dedup", remove_repeated_lines)]
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds the token ids of the whole text, their number and whether they decode to it."""
+    release(spark)
+    return byte_bpe.encode(docs, byte_bpe.load(), check_out="round_trip")
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("line dedup", remove_repeated_lines),
+    ("n-gram Jaccard join", remove_near_duplicates),
+    ("benchmark decontamination", remove_benchmark_leaks),
+    ("byte-level BPE", encode_tokens),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that the stages leave of ``documents``. Every stage but the last is
+    written to the shared folder and read back before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            path = scratch_path(spark, f"stage{i}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+            _protect(path)
     return docs
 
 
+def _protect(path: str) -> None:
+    """Takes a stage's result out of what ``release`` drops: the next stage reads it."""
+    from findery.llm import common
+
+    common._scratch.remove(path)
+
+
+#: Language ID and the tokenizer have no equivalent in SQL.
 ORACLE_SQL = None
