@@ -13,7 +13,9 @@ MODULES = {
     "op2_language_id": "language_id",
     "op4_decontamination": "decontamination",
     "op5_byte_bpe": "byte_bpe",
+    "op6_license_scan": "license_scan",
     "op9_ngram_jaccard": "ngram_jaccard",
+    "op10_html_extract": "html_extract",
 }
 
 
