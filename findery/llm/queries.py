@@ -14,6 +14,7 @@ MODULES = {
     "op4_decontamination": "decontamination",
     "op5_byte_bpe": "byte_bpe",
     "op6_license_scan": "license_scan",
+    "op7_toxicity": "toxicity",
     "op9_ngram_jaccard": "ngram_jaccard",
     "op10_html_extract": "html_extract",
 }
