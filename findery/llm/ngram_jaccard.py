@@ -1,15 +1,16 @@
 """Exact word n-gram Jaccard self-join with a token-group matrix.
 
 Documents with the same set of n-grams form one unit. Similar units are
-partitioned into groups: each offers the few least hashes of its set, and goes to
-the one that most units offer. A pair can reach the threshold only if the two
-share a token among the rarest of each (a prefix in one global order), so the
-matrix of tokens and groups is built from these prefixes: a unit queries the
-groups that hold one of its prefix tokens, of a fitting size. A queried group is
-opened only if the query's overlap with the union of its tokens can reach the
-threshold; then the overlap with every member is counted exactly. Thousands of
-copies that share their tokens are one or few groups, so candidates grow with the
-number of groups, not of pairs.
+partitioned into groups: each offers the few least hashes among its rare tokens,
+and goes to the one that most units offer. A pair can reach the threshold only if
+the two share enough of the rarest tokens of each (a prefix in one global order,
+lengthened so that more than one must be shared), so the matrix of tokens and
+groups is built from these prefixes: it counts how many prefix tokens of a unit
+each group's union holds, and a unit queries the groups that hold enough, of a
+fitting size. A queried group is opened only if the query's overlap with the union
+of all its tokens can reach the threshold; then the overlap with every member is
+counted exactly. Thousands of copies that share their tokens are one or few
+groups, so candidates grow with the number of groups, not of pairs.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from .decontamination import _pack_all, _unpack
 #: Cells of the sketch of word counts, in slices.
 CELLS, SLICE = 1 << 22, 1 << 18
 OFFERS = 4
+#: By which part of its size a prefix is lengthened, and so many more tokens must be shared.
+LONGER = 0.05
 #: Prefix tokens that one task looks at.
 BUCKET_TOKENS = 2_000_000
 
@@ -96,6 +99,11 @@ def _needed(size: int, threshold: float) -> int:
     return max(1, int(np.ceil(threshold * size - 1e-9)))
 
 
+def _shared(size: float) -> int:
+    """How many tokens of two prefixes must agree, for a set of ``size`` and no smaller one."""
+    return 1 + int(LONGER * size)
+
+
 def _units(docs: DataFrame, n: int, threshold: float, ranks) -> DataFrame:
     """(id, unit, size, offers, prefix) of every document that has tokens."""
     kind = docs.schema["id"].dataType
@@ -108,8 +116,8 @@ def _units(docs: DataFrame, n: int, threshold: float, ranks) -> DataFrame:
                 size = len(own)
                 units.append(xxh64_intdigest(own.tobytes()))
                 sizes.append(size)
-                offers.append(np.sort(mix(own))[:OFFERS].view(np.int64))
-                order = np.lexsort((own, rarity))[: size - _needed(size, threshold) + 1] if size else np.zeros(0, int)
+                order = np.lexsort((own, rarity))[: size - _needed(size, threshold) + _shared(size)] if size else np.zeros(0, int)
+                offers.append(np.sort(mix(own[order]))[:OFFERS].view(np.int64))
                 flat.append(np.sort(own[order] >> np.uint64(16)).astype(np.int64))
                 cut.append(cut[-1] + len(order))
             blobs = _pack_each(np.concatenate(flat), np.array(cut))
@@ -137,7 +145,8 @@ def _unpack_each(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _candidates(units: DataFrame, buckets: int, threshold: float) -> DataFrame:
     """(unit, grp): which groups each unit queries, but for its own. Of two groups the
-    unit of the lower one queries the other."""
+    unit of the lower one queries the other. A partner has at least ``threshold`` of
+    the unit's size, so its prefix and the unit's share at least what that size needs."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("who", pa.binary()), ("table", pa.binary())])
@@ -193,14 +202,17 @@ def _candidates(units: DataFrame, buckets: int, threshold: float) -> DataFrame:
                 left = np.repeat(np.arange(a, b), w)
                 right = np.repeat(low[a:b] - (step[a:b] - step[a]), w) + np.arange(int(w.sum()))
                 ok = (g_key[right] > group[left]) & (g_max[right] >= threshold * size[left] - 1e-9) & (g_min[right] * threshold - 1e-9 <= size[left])
-                pairs = np.stack([unit[left[ok]], g_key[right[ok]]], axis=1)
-                found.append(pd.DataFrame(pairs).drop_duplicates().to_numpy())
+                pairs = pd.DataFrame({"unit": unit[left[ok]], "grp": g_key[right[ok]], "size": size[left[ok]]})
+                found.append(pairs.groupby(["unit", "grp", "size"], sort=False).size().rename("n").reset_index())
                 a = b
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame(pairs, columns=["unit", "grp"]).drop_duplicates()
+        if not found:
+            return pd.DataFrame({x: np.zeros(0, np.int64) for x in ("unit", "grp", "size", "n")})
+        return found[0] if len(found) == 1 else pd.concat(found).groupby(["unit", "grp", "size"], sort=False)["n"].sum().reset_index()
 
     rows = units.select("unit", "grp", "size", "prefix").mapInArrow(blocks, "bucket int, hashes binary, who binary, table binary")
-    return rows.groupBy("bucket").applyInPandas(meet, "unit long, grp long").distinct()
+    met = rows.groupBy("bucket").applyInPandas(meet, "unit long, grp long, size long, n long")
+    counted = met.groupBy("unit", "grp").agg(F.sum("n").alias("n"), F.first("size").alias("size"))
+    return counted.where(F.col("n") >= 1 + F.floor(F.lit(LONGER) * F.floor(F.col("size") * threshold))).select("unit", "grp")
 
 
 def _verify(part: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -280,7 +292,7 @@ def _join(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float)
     return rows, pairs
 
 
-def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 2, threshold: float = 0.6) -> DataFrame:
+def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: float = 0.6) -> DataFrame:
     """(doc_a, doc_b, docs_a, docs_b, jaccard, overlap): all pairs of different n-gram
     sets with a Jaccard similarity of at least ``threshold``. ``docs_a`` and ``docs_b``
     list the documents that have the one and the other set (any of the one is as
@@ -321,7 +333,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100)
     return roots
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 2, threshold: float = 0.6) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: float = 0.6) -> DataFrame:
     """``docs`` with one document of each group of similar ones: that with the least
     id. Groups are connected by pairs of at least ``threshold``; a document that is
     similar to none stays, and so do rows with a null id. Rows that repeat the id
@@ -346,7 +358,7 @@ SQL = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}]+') AS t FROM documents WHERE text IS NOT NULL
 ), g AS (
-  SELECT doc_id, CASE WHEN len(t) < 2 THEN [t[1]] ELSE list_distinct([t[i] || ' ' || t[i + 1] for i in range(1, len(t))]) END AS s FROM w WHERE len(t) > 0
+  SELECT doc_id, CASE WHEN len(t) < 3 THEN [array_to_string(t, ' ')] ELSE list_distinct([t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] for i in range(1, len(t) - 1)]) END AS s FROM w WHERE len(t) > 0
 ), u AS (
   SELECT list_sort(s) AS s, list_sort(list(doc_id)) AS ids, min(doc_id) AS unit, len(list_sort(s)) AS n FROM g GROUP BY list_sort(s)
 ), x AS (SELECT unit, n, unnest(s) AS gram FROM u), p AS (
