@@ -15,6 +15,7 @@ MODULES = {
     "op5_byte_bpe": "byte_bpe",
     "op6_license_scan": "license_scan",
     "op7_toxicity": "toxicity",
+    "op8_ann": "ann",
     "op9_ngram_jaccard": "ngram_jaccard",
     "op10_html_extract": "html_extract",
 }
