@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op1_line_dedup": "line_dedup",
     "op2_language_id": "language_id",
+    "op3_lm_scoring": "lm_scoring",
     "op4_decontamination": "decontamination",
     "op5_byte_bpe": "byte_bpe",
     "op6_license_scan": "license_scan",
