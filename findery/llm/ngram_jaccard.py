@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -219,7 +220,8 @@ def _verify(part: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Opens one group: its members among themselves and the queries against them."""
     empty = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "both": np.zeros(0, np.int64), "jaccard": np.zeros(0)})
     member = part["member"].to_numpy(bool)
-    part = pd.concat([part[member], part[~member]])
+    part = pd.concat([part[member].drop_duplicates("unit"), part[~member].drop_duplicates("unit")])
+    member = part["member"].to_numpy(bool)
     m = int(member.sum())
     sets = [np.frombuffer(x, np.uint64) for x in part["grams"]]
     units = part["unit"].to_numpy(np.int64)
@@ -274,20 +276,24 @@ def _join(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float)
     members = grouped.select("unit", "grp")
     opened = queries.select("grp").unionByName(members.groupBy("grp").count().where("count > 1").select("grp")).distinct()
     roles = members.join(opened, "grp", "left_semi").select("unit", "grp", F.lit(True).alias("member")).unionByName(queries.select("unit", "grp", F.lit(False).alias("member")))
-    roles = saved(roles.groupBy("unit").agg(F.collect_list(F.struct("grp", "member")).alias("roles")), "gram-roles")
-    involved = rows.select("id", "unit").join(roles.select("unit"), "unit", "left_semi").groupBy("unit").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("at")).select("unit", F.col("at.id").alias("id"))
-    involved = saved(involved, "gram-involved")
+    roles = roles.groupBy("unit").agg(F.collect_list(F.struct("grp", "member")).alias("roles"))
+    # one document stands for its unit; its text brings the unit's roles along
+    involved = rows.select("id", "unit").groupBy("unit").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("at"))
+    involved = saved(involved.join(roles, "unit").select(F.col("at.id").alias("k"), "unit", "roles"), "gram-roles")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
             made = [own for own, _ in gram_sets(batch.column("text"), n)]
             units = np.array([xxh64_intdigest(x.tobytes()) for x in made], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(units), pa.array([x.tobytes() for x in made], pa.binary())], names=["unit", "grams"])
-
-    picked = involved.select(F.col("id").alias("k"))
-    picked = F.broadcast(picked) if involved.count() * 16 / 1e6 <= 32 else picked
-    texts = source.join(picked, F.col("id").eqNullSafe(F.col("k")), "left_semi").select("text")
-    grams = texts.mapInArrow(sets, "unit long, grams binary").join(roles.select("unit", F.explode("roles").alias("r")), "unit").select("unit", "grams", "r.grp", "r.member").dropDuplicates(["unit", "grp", "member"])
+            fits = np.flatnonzero(units == batch.column("unit").to_numpy(zero_copy_only=False))
+            found = batch.column("roles").take(pa.array(fits))
+            at = np.repeat(fits, pc.list_value_length(found).to_numpy(zero_copy_only=False)).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(units[at]), pa.array([made[i].tobytes() for i in at], pa.binary()), found.flatten().field("grp"), found.flatten().field("member")], names=["unit", "grams", "grp", "member"])
+
+    weight = involved.select(F.sum(24 + 9 * F.size("roles")).alias("b")).first()["b"] or 0
+    picked = F.broadcast(involved) if weight / 1e6 <= 32 else involved
+    texts = source.join(picked, F.col("id").eqNullSafe(F.col("k"))).select("unit", "text", "roles")
+    grams = texts.mapInArrow(sets, "unit long, grams binary, grp long, member boolean")
     pairs = grams.groupBy("grp").applyInPandas(lambda part: _verify(part, threshold), "a long, b long, both long, jaccard double")
     return rows, pairs
 
