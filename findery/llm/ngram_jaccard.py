@@ -66,6 +66,44 @@ def _sketch(texts: DataFrame) -> np.ndarray:
     return out
 
 
+def _popularity(rows: DataFrame) -> np.ndarray:
+    """How many documents offer each hashed key, in eighths of log2: by it a document
+    picks its group without any join. Its size is fixed; keys that share a cell only
+    make for other groups, not for other results."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            keys = batch.column("offers").flatten().to_numpy(zero_copy_only=False)
+            np.add.at(cells, _cells(keys), 1)
+        for s in range(CELLS // SLICE):
+            part = cells[s * SLICE : (s + 1) * SLICE]
+            if part.any():
+                yield pa.RecordBatch.from_pydict({"slice": [s], "counts": [zlib.compress(part.tobytes(), 1)]}, schema=pa.schema([("slice", pa.int32()), ("counts", pa.binary())]))
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in part["counts"])
+        return pd.DataFrame({"slice": part["slice"].iloc[:1], "ranks": [zlib.compress((np.log2(total + 1) * 8).clip(0, 255).astype(np.uint8).tobytes(), 1)]})
+
+    out = np.zeros(CELLS, np.uint8)
+    for row in rows.select("offers").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, ranks binary").toLocalIterator():
+        out[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(zlib.decompress(row["ranks"]), np.uint8)
+    return out
+
+
+def _cells(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys.astype(np.int64).view(np.uint64)) & np.uint64(CELLS - 1)).astype(np.int64)
+
+
+def _groups(offers: pa.Array, popular: np.ndarray) -> np.ndarray:
+    """The most popular key of each row's offers (of equal ones the largest)."""
+    keys = offers.flatten().to_numpy(zero_copy_only=False)
+    sizes = pc.list_value_length(offers).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((keys, popular[_cells(keys)], row))
+    return keys[order][np.cumsum(sizes) - 1]
+
+
 def gram_sets(texts: pa.Array, n: int, ranks: np.ndarray | None = None):
     """For each text its n-gram set as sorted hashes (with their rarity, if ``ranks``
     is given). A text of fewer than ``n`` tokens has the one gram of all its tokens."""
@@ -144,7 +182,7 @@ def _unpack_each(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return wide.view(np.int64).ravel(), sizes
 
 
-def _candidates(units: DataFrame, buckets: int, threshold: float) -> DataFrame:
+def _candidates(units: DataFrame, popular, buckets: int, threshold: float) -> DataFrame:
     """(unit, grp): which groups each unit queries, but for its own. Of two groups the
     unit of the lower one queries the other. A partner has at least ``threshold`` of
     the unit's size, so its prefix and the unit's share at least what that size needs."""
@@ -156,7 +194,7 @@ def _candidates(units: DataFrame, buckets: int, threshold: float) -> DataFrame:
                 part = batch.slice(a, 8192)
                 flat, sizes = _unpack_each(part.column("prefix").to_pylist())
                 who = np.repeat(np.arange(part.num_rows, dtype=np.uint16), sizes)
-                table = np.stack([part.column("unit").to_numpy(), part.column("grp").to_numpy(), part.column("size").to_numpy().astype(np.int64)], axis=1)
+                table = np.stack([part.column("unit").to_numpy(), _groups(part.column("offers"), popular.value), part.column("size").to_numpy().astype(np.int64)], axis=1)
                 order = np.argsort(flat, kind="stable")
                 flat, who = flat[order], who[order]
                 bounds = np.searchsorted(flat, (np.arange(buckets + 1, dtype=np.float64) * (2.0**48 / buckets)).astype(np.int64))
@@ -210,7 +248,7 @@ def _candidates(units: DataFrame, buckets: int, threshold: float) -> DataFrame:
             return pd.DataFrame({x: np.zeros(0, np.int64) for x in ("unit", "grp", "size", "n")})
         return found[0] if len(found) == 1 else pd.concat(found).groupby(["unit", "grp", "size"], sort=False)["n"].sum().reset_index()
 
-    rows = units.select("unit", "grp", "size", "prefix").mapInArrow(blocks, "bucket int, hashes binary, who binary, table binary")
+    rows = units.select("unit", "offers", "size", "prefix").mapInArrow(blocks, "bucket int, hashes binary, who binary, table binary")
     met = rows.groupBy("bucket").applyInPandas(meet, "unit long, grp long, size long, n long")
     counted = met.groupBy("unit", "grp").agg(F.sum("n").alias("n"), F.first("size").alias("size"))
     return counted.where(F.col("n") >= 1 + F.floor(F.lit(LONGER) * F.floor(F.col("size") * threshold))).select("unit", "grp")
@@ -264,19 +302,25 @@ def _join(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float)
     source = docs.select(ref(id_col).alias("id"), ref(text_col).alias("text")).where(F.col("text").isNotNull())
     ranks = spark.sparkContext.broadcast(_sketch(source.select("text")))
     rows = saved(_units(source, n, threshold, ranks), "gram-units")
-    units = rows.groupBy("unit").agg(F.first("size").alias("size"), F.first("offers").alias("offers"), F.first("prefix").alias("prefix"))
-    offers = rows.select("unit", "offers").dropDuplicates(["unit"]).select("unit", F.explode("offers").alias("key"))
-    popular = offers.join(offers.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
-    chosen = popular.groupBy("unit").agg(F.max_by("key", F.struct("n", "key")).alias("key"))
-    grouped = saved(units.join(chosen, "unit", "left").select("unit", F.coalesce("key", F.element_at("offers", 1)).alias("grp"), "size", "prefix"), "gram-groups")
-    total = grouped.agg(F.sum(F.length("prefix")).alias("b")).first()["b"] or 0
+    # of documents with the same set, the one with the least id stands for the unit
+    copies = rows.groupBy("unit").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("at")).where("n > 1").select("unit", F.col("at.id").alias("first"), F.lit(True).alias("copied"))
+    copies = saved(copies, "gram-copies")
+    side = F.broadcast(copies) if copies.count() * 24 / 1e6 <= 32 else copies
+    units = rows.join(side, "unit", "left").where(F.col("copied").isNull() | F.col("id").eqNullSafe(F.col("first")))
+    popular = spark.sparkContext.broadcast(_popularity(rows))
+    total = rows.agg(F.sum(F.length("prefix")).alias("b")).first()["b"] or 0
     buckets = max(1, -(-int(total) // (6 * BUCKET_TOKENS)))
-    queries = saved(_candidates(grouped, buckets, threshold), "gram-candidates")
+    queries = saved(_candidates(units, popular, buckets, threshold), "gram-candidates")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array(_groups(batch.column("offers"), popular.value))], names=["unit", "grp"])
+
+    members = units.select("unit", "offers").mapInArrow(place, "unit long, grp long")
     # members of groups that are queried or have several; and those who query
-    members = grouped.select("unit", "grp")
     opened = queries.select("grp").unionByName(members.groupBy("grp").count().where("count > 1").select("grp")).distinct()
     roles = members.join(opened, "grp", "left_semi").select("unit", "grp", F.lit(True).alias("member")).unionByName(queries.select("unit", "grp", F.lit(False).alias("member")))
-    roles = roles.groupBy("unit").agg(F.collect_list(F.struct("grp", "member")).alias("roles"))
+    roles = roles.groupBy("unit").agg(F.collect_set(F.struct("grp", "member")).alias("roles"))
     # one document stands for its unit; its text brings the unit's roles along
     involved = rows.select("id", "unit").groupBy("unit").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("at"))
     involved = saved(involved.join(roles, "unit").select(F.col("at.id").alias("k"), "unit", "roles"), "gram-roles")
@@ -314,8 +358,9 @@ def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows, pairs = _join(docs, id_col, text_col, n, threshold)
     ids = saved(rows.where("id IS NOT NULL").groupBy("unit").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.first("size").alias("size")), "gram-ids")
     same = ids.where(F.size("ids") > 1).select(F.element_at("ids", 1).alias("doc_a"), F.element_at("ids", 2).alias("doc_b"), F.col("ids").alias("docs_a"), F.col("ids").alias("docs_b"), F.lit(1.0).alias("jaccard"), F.col("size").cast("long").alias("overlap"))
-    left, right = ids.select(F.col("unit").alias("a"), F.col("ids").alias("x")), ids.select(F.col("unit").alias("b"), F.col("ids").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
+    weight = ids.select(F.sum(24 + 8 * F.size("ids")).alias("b")).first()["b"] or 0
+    known = F.broadcast(ids) if weight / 1e6 <= 32 else ids
+    both = pairs.join(known.select(F.col("unit").alias("a"), F.col("ids").alias("x")), "a").join(known.select(F.col("unit").alias("b"), F.col("ids").alias("y")), "b")
     swap = F.element_at("x", 1) > F.element_at("y", 1)
     both = both.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("docs_a"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("docs_b"), "jaccard", F.col("both").alias("overlap"))
     both = both.select(F.element_at("docs_a", 1).alias("doc_a"), F.element_at("docs_b", 1).alias("doc_b"), "docs_a", "docs_b", "jaccard", "overlap")
