@@ -7,9 +7,10 @@ the two share enough of the rarest tokens of each (a prefix in one global order,
 lengthened so that more than one must be shared), so the matrix of tokens and
 groups is built from these prefixes: it counts how many prefix tokens of a unit
 each group's union holds, and a unit queries the groups that hold enough, of a
-fitting size. A queried group is opened only if the query's overlap with the union
-of all its tokens can reach the threshold; then the overlap with every member is
-counted exactly. Thousands of copies that share their tokens are one or few
+fitting size (a group whose members share too little with each other and with all
+queries stays closed). In an opened group the overlap with every member is counted
+exactly, but only if the overlap with the union of all its tokens can reach the
+threshold. Thousands of copies that share their tokens are one or few
 groups, so candidates grow with the number of groups, not of pairs.
 """
 
@@ -36,8 +37,8 @@ CELLS, SLICE = 1 << 22, 1 << 18
 OFFERS = 4
 #: By which part of its size a prefix is lengthened, and so many more tokens must be shared.
 LONGER = 0.05
-#: Prefix tokens that one task looks at.
-BUCKET_TOKENS = 2_000_000
+#: Prefix tokens that one task gets, and those that it looks at at a time.
+BUCKET_TOKENS, PART_TOKENS = 16_000_000, 2_000_000
 
 
 def _sketch(texts: DataFrame) -> np.ndarray:
@@ -183,9 +184,10 @@ def _unpack_each(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _candidates(units: DataFrame, popular, buckets: int, threshold: float) -> DataFrame:
-    """(unit, grp): which groups each unit queries, but for its own. Of two groups the
-    unit of the lower one queries the other. A partner has at least ``threshold`` of
-    the unit's size, so its prefix and the unit's share at least what that size needs."""
+    """(unit, grp, own): which groups each unit queries. Of two groups the unit of the
+    lower one queries the other; ``own`` marks that others of its own group share enough.
+    A partner has at least ``threshold`` of the unit's size, so its prefix and the
+    unit's share at least what that size needs."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("who", pa.binary()), ("table", pa.binary())])
@@ -206,52 +208,62 @@ def _candidates(units: DataFrame, popular, buckets: int, threshold: float) -> Da
                         used, short = np.unique(own, return_inverse=True)
                         yield pa.RecordBatch.from_pydict({"bucket": [k], "hashes": [packed[k]], "who": [short.astype(np.uint16).tobytes()], "table": [table[used].tobytes()]}, schema=schema)
 
-    def meet(part: pd.DataFrame) -> pd.DataFrame:
-        hashes = [_unpack(x) for x in part["hashes"]]
-        who = [np.frombuffer(x, np.uint16).astype(np.int64) for x in part["who"]]
-        tables = [np.frombuffer(x, np.int64).reshape(-1, 3) for x in part["table"]]
-        base = np.cumsum([0, *[len(t) for t in tables]])
-        table = np.concatenate(tables)
-        flat = np.concatenate(hashes)
-        at = np.concatenate([w + b for w, b in zip(who, base)])
+    def meet_part(flat: np.ndarray, at: np.ndarray, table: np.ndarray) -> list[pd.DataFrame]:
         order = np.argsort(flat, kind="stable")
         flat, at = flat[order], at[order]
         edges = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1], [True]]))
         runs = np.diff(edges)
         keep = np.repeat(runs > 1, runs)
         flat, at = flat[keep], at[keep]
-        found: list[np.ndarray] = []
-        if len(flat):
-            run = np.concatenate([[0], np.cumsum(flat[1:] != flat[:-1])])
-            unit, group, size = table[at, 0], table[at, 1], table[at, 2]
-            # groups of each run, with the span of sizes of those in the run
-            order = np.lexsort((group, run))
-            r, g, s = run[order], group[order], size[order]
-            new = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (g[1:] != g[:-1])]))
-            g_run, g_key, g_min, g_max = r[new], g[new], np.minimum.reduceat(s, new), np.maximum.reduceat(s, new)
-            several = np.bincount(g_run)[run] > 1
-            run, unit, group, size = run[several], unit[several], group[several], size[several]
-            low, high = np.searchsorted(g_run, run, "left"), np.searchsorted(g_run, run, "right")
-            width = high - low
-            step = np.concatenate([[0], np.cumsum(width)])
-            a = 0
-            while a < len(run):
-                b = max(a + 1, int(np.searchsorted(step, step[a] + 4_000_000, "right")) - 1)
-                w = width[a:b]
-                left = np.repeat(np.arange(a, b), w)
-                right = np.repeat(low[a:b] - (step[a:b] - step[a]), w) + np.arange(int(w.sum()))
-                ok = (g_key[right] > group[left]) & (g_max[right] >= threshold * size[left] - 1e-9) & (g_min[right] * threshold - 1e-9 <= size[left])
-                pairs = pd.DataFrame({"unit": unit[left[ok]], "grp": g_key[right[ok]], "size": size[left[ok]]})
-                found.append(pairs.groupby(["unit", "grp", "size"], sort=False).size().rename("n").reset_index())
-                a = b
+        if not len(flat):
+            return []
+        run = np.concatenate([[0], np.cumsum(flat[1:] != flat[:-1])])
+        unit, group, size = table[at, 0], table[at, 1], table[at, 2]
+        # groups of each run, with the span of sizes of those in the run
+        order = np.lexsort((group, run))
+        r, g, s = run[order], group[order], size[order]
+        new = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (g[1:] != g[:-1])]))
+        g_run, g_key, g_min, g_max = r[new], g[new], np.minimum.reduceat(s, new), np.maximum.reduceat(s, new)
+        g_many = np.diff(np.append(new, len(r))) > 1
+        low, high = np.searchsorted(g_run, run, "left"), np.searchsorted(g_run, run, "right")
+        step = np.concatenate([[0], np.cumsum(high - low)])
+        found, a = [], 0
+        while a < len(run):
+            b = max(a + 1, int(np.searchsorted(step, step[a] + 4_000_000, "right")) - 1)
+            w = high[a:b] - low[a:b]
+            left = np.repeat(np.arange(a, b), w)
+            right = np.repeat(low[a:b] - (step[a:b] - step[a]), w) + np.arange(int(w.sum()))
+            own = g_key[right] == group[left]
+            ok = (g_key[right] > group[left]) | (own & g_many[right])
+            ok &= (g_max[right] >= threshold * size[left] - 1e-9) & (g_min[right] * threshold - 1e-9 <= size[left])
+            pairs = pd.DataFrame({"unit": unit[left[ok]], "grp": g_key[right[ok]], "own": own[ok], "size": size[left[ok]]})
+            found.append(pairs.groupby(["unit", "grp", "own", "size"], sort=False).size().rename("n").reset_index())
+            a = b
+        return found
+
+    def meet(part: pd.DataFrame) -> pd.DataFrame:
+        hashes = [_unpack(x) for x in part["hashes"]]
+        who = [np.frombuffer(x, np.uint16) for x in part["who"]]
+        tables = [np.frombuffer(x, np.int64).reshape(-1, 3) for x in part["table"]]
+        base = np.cumsum([0, *[len(t) for t in tables]])
+        table = np.concatenate(tables)
+        low, high = min(int(h[0]) for h in hashes), max(int(h[-1]) for h in hashes) + 1
+        steps = max(1, sum(map(len, hashes)) // PART_TOKENS)
+        edges = [low + (high - low) * i // steps for i in range(steps + 1)]
+        cuts = [np.searchsorted(h, edges) for h in hashes]
+        found: list[pd.DataFrame] = []
+        for i in range(steps):
+            flat = np.concatenate([h[c[i] : c[i + 1]] for h, c in zip(hashes, cuts)])
+            at = np.concatenate([w[c[i] : c[i + 1]].astype(np.int64) + b for w, c, b in zip(who, cuts, base)])
+            found += meet_part(flat, at, table)
         if not found:
-            return pd.DataFrame({x: np.zeros(0, np.int64) for x in ("unit", "grp", "size", "n")})
-        return found[0] if len(found) == 1 else pd.concat(found).groupby(["unit", "grp", "size"], sort=False)["n"].sum().reset_index()
+            return pd.DataFrame({"unit": [], "grp": [], "own": [], "size": [], "n": []}).astype({"own": bool})
+        return pd.concat(found).groupby(["unit", "grp", "own", "size"], sort=False)["n"].sum().reset_index()
 
     rows = units.select("unit", "offers", "size", "prefix").mapInArrow(blocks, "bucket int, hashes binary, who binary, table binary")
-    met = rows.groupBy("bucket").applyInPandas(meet, "unit long, grp long, size long, n long")
-    counted = met.groupBy("unit", "grp").agg(F.sum("n").alias("n"), F.first("size").alias("size"))
-    return counted.where(F.col("n") >= 1 + F.floor(F.lit(LONGER) * F.floor(F.col("size") * threshold))).select("unit", "grp")
+    met = rows.groupBy("bucket").applyInPandas(meet, "unit long, grp long, own boolean, size long, n long")
+    counted = met.groupBy("unit", "grp").agg(F.sum("n").alias("n"), F.first("size").alias("size"), F.first("own").alias("own"))
+    return counted.where(F.col("n") >= 1 + F.floor(F.lit(LONGER) * F.floor(F.col("size") * threshold))).select("unit", "grp", "own")
 
 
 def _verify(part: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -317,9 +329,8 @@ def _join(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float)
             yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array(_groups(batch.column("offers"), popular.value))], names=["unit", "grp"])
 
     members = units.select("unit", "offers").mapInArrow(place, "unit long, grp long")
-    # members of groups that are queried or have several; and those who query
-    opened = queries.select("grp").unionByName(members.groupBy("grp").count().where("count > 1").select("grp")).distinct()
-    roles = members.join(opened, "grp", "left_semi").select("unit", "grp", F.lit(True).alias("member")).unionByName(queries.select("unit", "grp", F.lit(False).alias("member")))
+    opened = queries.select("grp").distinct()
+    roles = members.join(opened, "grp", "left_semi").select("unit", "grp", F.lit(True).alias("member")).unionByName(queries.where("NOT own").select("unit", "grp", F.lit(False).alias("member")))
     roles = roles.groupBy("unit").agg(F.collect_set(F.struct("grp", "member")).alias("roles"))
     # one document stands for its unit; its text brings the unit's roles along
     involved = rows.select("id", "unit").groupBy("unit").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("at"))
