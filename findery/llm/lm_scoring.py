@@ -70,6 +70,7 @@ def count_words(slices: DataFrame) -> DataFrame:
         if found:
             words, at = np.unique(np.concatenate([w for w, _ in found]), return_inverse=True)
             n = np.bincount(at, weights=np.concatenate([n for _, n in found]), minlength=len(words)).astype(np.int64)
+            words, n = words[n > 0], n[n > 0]  # a slice may list a word (the empty one) that no token is
             yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(n)], names=["word", "n"])
 
     return saved(slices.mapInArrow(work, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
