@@ -7,6 +7,7 @@ a document's rows is all that an update takes.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +22,20 @@ def sized_broadcast(df: DataFrame, row_bytes: int, limit_mb: float = 32) -> Data
     return F.broadcast(df) if df.count() * row_bytes / 1e6 <= limit_mb else df
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed to the shared folder (``spark.checkpoint.dir``; a temporary
+    one only where that is unset): plans that read it several times stay small, and
+    lost executors cost nothing."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        named = "file://" + tempfile.mkdtemp(prefix="findery-")
+        spark.conf.set("spark.checkpoint.dir", named)
+        spark.sparkContext.setCheckpointDir(named)
+    elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    return df.checkpoint()
+
+
 def postings(docs: DataFrame, doc: str = "doc", body: str = "text", field: str = "body") -> DataFrame:
     """Term frequencies of each document, with the place of the first occurrence
     (identifier number, then number within the identifier)."""

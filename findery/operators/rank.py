@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from findery.functions import text
 
-from .index import idf, sized_broadcast
+from .index import idf, settled, sized_broadcast
 
 
 @dataclass(frozen=True)
@@ -160,12 +160,11 @@ def additions(pool: DataFrame, scores: DataFrame, feedback: DataFrame, path_hits
     the query's and the feedback's (both normalised) with the pool weight.
     """
     joined = pool.join(scores.select("query_id", "doc", F.col("score").alias("bm")), ["query_id", "doc"], "left").join(feedback.select("query_id", "doc", F.col("score").alias("fb")), ["query_id", "doc"], "left")
-    bm, fb = F.coalesce("bm", F.lit(0.0)), F.coalesce("fb", F.lit(0.0))
-    value = (F.lit(0.15) + bm + 0.8 * fb) * (F.lit(0.5) + 0.5 * F.col("weight"))
+    known = joined.select("query_id", "doc", "weight", "source_rank", "pos", "linked", F.coalesce("bm", F.lit(0.0)).alias("bm"), F.coalesce("fb", F.lit(0.0)).alias("fb"))
+    value = (F.lit(0.15) + F.col("bm") + 0.8 * F.col("fb")) * (F.lit(0.5) + 0.5 * F.col("weight"))
     own = Window.partitionBy("query_id")
-    rows = joined.withColumn("add_score", value).withColumn("fb", fb).withColumn("bm", bm)
-    rows = rows.withColumn("eligible", F.col("add_score") >= params.eligible * F.max("add_score").over(own))
-    rows = rows.withColumn("place", F.row_number().over(own.orderBy(F.desc("add_score"), "pos")))
+    valued = known.select("*", value.alias("add_score"))
+    rows = settled(valued.select("*", (F.col("add_score") >= params.eligible * F.max("add_score").over(own)).alias("eligible"), F.row_number().over(own.orderBy(F.desc("add_score"), "pos")).alias("place")))  # each phase reads it
     good = rows.where("eligible")
     phases = []
     if path_hits is not None:

@@ -45,18 +45,19 @@ def build(files: DataFrame, commits: DataFrame | None = None, pages: DataFrame |
     """Indexes ``files`` (see ``sources.corpus.describe``), with their history and
     documentation where given."""
     docs = files.select(F.col("path").alias("doc"), "text")
-    body = index.postings(docs)
-    out = Corpus(files, body, index.lengths(body), index.path_terms(files), index.definitions(files), graph.authored_edges(files))
+    # kept for this session; ``save`` and ``load`` serve later ones
+    body = index.settled(index.postings(docs))
+    out = Corpus(files, body, index.settled(index.lengths(body)), index.settled(index.path_terms(files)), index.settled(index.definitions(files)), index.settled(graph.authored_edges(files)))
     if commits is not None:
         rows = history.touched(commits, files)
-        strong = history.top_cochange(history.cochange_counts(rows))
+        strong = index.settled(history.top_cochange(history.cochange_counts(rows)))
         bridges = history.bridge_cochange(strong, lambda p: p.rlike(text.TEST_LIKE))
-        out.cochange = history.merge_bridges(strong, bridges)
+        out.cochange = index.settled(history.merge_bridges(strong, bridges))
         said = history.file_messages(rows, commits)
-        out.messages = index.postings(said.select(F.col("path").alias("doc"), F.col("message").alias("text")), field="message")
+        out.messages = index.settled(index.postings(said.select(F.col("path").alias("doc"), F.col("message").alias("text")), field="message"))
     if pages is not None:
         out.pages = pages
-        out.page_terms = index.postings(pages.select(F.col("path").alias("doc"), "text"), field="docs")
+        out.page_terms = index.settled(index.postings(pages.select(F.col("path").alias("doc"), "text"), field="docs"))
     if comments:
         noted = files.select(F.col("path").alias("doc"), text.comments(F.col("path"), F.col("text")).alias("text"))
         out.comments = index.postings(noted, field="comment")
@@ -71,21 +72,22 @@ def select_files(corpus: Corpus, queries: DataFrame, params: rank.RankParams = r
     """
     files = corpus.files
     docs = files.select(F.col("path").alias("doc"), "ord", "prior")
-    terms = rank.query_terms(queries).persist()
-    raw = rank.bm25(terms, corpus.body, corpus.sizes, docs, corpus.paths, corpus.comments, params).persist()
-    scores = rank.normalize(raw)
-    picks = rank.top_picks(scores, params)
+    terms = index.settled(rank.query_terms(queries))
+    raw = index.settled(rank.bm25(terms, corpus.body, corpus.sizes, docs, corpus.paths, corpus.comments, params))
+    scores = index.settled(rank.normalize(raw))
+    # lists of a few dozen rows a query; kept, as most of what follows reads them
+    picks = index.settled(rank.top_picks(scores, params))
     chosen = picks.select("query_id", F.col("doc").alias("path"), F.col("rank").cast("long").alias("rank"), "score")
-    linked = graph.symmetric(corpus.authored)
+    linked = index.settled(graph.symmetric(corpus.authored))
     if expand:
         n_docs = corpus.sizes.count()
-        more = rank.feedback_terms(picks, corpus.body, terms, n_docs, docs, params)
-        feedback = rank.normalize(rank.bm25(more, corpus.body, corpus.sizes, docs, corpus.paths, corpus.comments, params))
+        more = index.settled(rank.feedback_terms(picks, corpus.body, terms, n_docs, docs, params))
+        feedback = index.settled(rank.normalize(rank.bm25(more, corpus.body, corpus.sizes, docs, corpus.paths, corpus.comments, params)))
         folder = files.select(F.col("path").alias("doc"), F.col("parent").alias("folder"))
         partners = corpus.cochange.select(F.col("path").alias("src"), F.col("other").alias("dst"), "n", "rank") if corpus.cochange is not None else None
-        pool = rank.frontier(picks, linked, docs, folder, partners, params)
-        hits = rank.telling_path_hits(terms, corpus.paths, files.count())
-        added = rank.additions(pool, scores, feedback, hits, params)
+        pool = index.settled(rank.frontier(picks, linked, docs, folder, partners, params))
+        hits = index.settled(rank.telling_path_hits(terms, corpus.paths, files.count()))
+        added = index.settled(rank.additions(pool, scores, feedback, hits, params))
         raised = added.select("query_id", F.col("doc").alias("path"), (F.lit(1000) + F.col("add_rank")).cast("long").alias("rank"), F.greatest("bm", F.lit(0.3) + 0.5 * F.col("fb")).alias("score"))
         chosen = chosen.unionByName(raised)
         if corpus.messages is not None:
@@ -94,6 +96,7 @@ def select_files(corpus: Corpus, queries: DataFrame, params: rank.RankParams = r
             extra = top.join(scores.select("query_id", "doc", "score"), ["query_id", "doc"], "left").join(feedback.select("query_id", "doc", F.col("score").alias("fb")), ["query_id", "doc"], "left")
             lifted = F.greatest(F.coalesce("score", F.lit(0.0)), F.lit(0.3) + 0.5 * F.coalesce("fb", F.lit(0.0)))
             chosen = chosen.unionByName(extra.select("query_id", F.col("doc").alias("path"), (F.lit(2000) + F.col("r")).cast("long").alias("rank"), lifted.alias("score")))
+    chosen = index.settled(chosen)
     anchored = channels.anchors(queries, corpus.symbols) if use_anchors else None
     tested = channels.test_bridge(raw, files, linked) if use_tests else None
     told = None
