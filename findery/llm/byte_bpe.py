@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import ref, text_slices
+from .common import map_arrow, ref, text_slices
 
 #: Where the public vocabulary files lie; every operator takes the path as a parameter.
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -246,7 +246,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", toke
 
     fields = [T.StructField(tokens_out, T.ArrayType(T.IntegerType())), T.StructField(count_out, T.IntegerType())]
     fields += [T.StructField(check_out, T.BooleanType())] if check_out else []
-    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, *fields]))
+    return map_arrow(docs, work, T.StructType([*docs.schema.fields, *fields]))
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, tokens_col: str = "tokens", text_out: str = "decoded") -> DataFrame:
@@ -269,7 +269,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, tokens_col: str = "tokens
                 texts.append(None if ids is None else b"".join([tokens[i] for i in ids]).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_out])
 
-    return encoded.mapInArrow(work, T.StructType([*encoded.schema.fields, T.StructField(text_out, T.StringType())]))
+    return map_arrow(encoded, work, T.StructType([*encoded.schema.fields, T.StructField(text_out, T.StringType())]))
 
 
 def query(spark: SparkSession, sf_dir: str, vocabulary_path: str = DEFAULT_VOCABULARY) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -13,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What separates tokens: anything but letters, digits and combining marks.
 SEPARATOR = r"[^\p{L}\p{N}\p{M}]+"
@@ -90,7 +93,27 @@ def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str, row_b
     return left.join(right, on, how)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+def _trim() -> None:
+    """Returns free memory to the system: workers are reused, and what they keep adds up."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(work):
+    """``work`` (a function of Arrow batches), which gives its memory back at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        _trim()
+
+    return run
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds about ``max_bytes`` of ``column``: what
     is worked on at once follows the texts' sizes, not the number of rows."""
     for batch in batches:
@@ -155,9 +178,26 @@ def rolling(hashed: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray
 
 
 def segment_sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sums of ``values`` between consecutive offsets; 0 for an empty segment."""
-    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-    return total[offsets[1:]] - total[offsets[:-1]]
+    """Sums of ``values`` between consecutive offsets (the last one is their number);
+    0 for an empty segment. Equal segments have equal sums to the last bit."""
+    out = np.zeros(len(offsets) - 1)
+    full = np.diff(offsets) > 0
+    if full.any():
+        out[full] = np.add.reduceat(values.astype(np.float64), offsets[:-1][full])
+    return out
+
+
+def map_arrow(df: DataFrame, work, schema: T.StructType) -> DataFrame:
+    """``df.mapInArrow(work, schema)`` for columns of any name, dots included."""
+    names, made = list(df.columns), [f.name for f in schema.fields]
+    inner = [f"c{i}" for i in range(len(made))]
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in work(b.rename_columns(names) for b in batches):
+            yield batch.rename_columns(inner)
+
+    plain = T.StructType([T.StructField(c, f.dataType) for c, f in zip(inner, schema.fields)])
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(lean(renamed), plain).toDF(*made)
 
 
 def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.ListArray:

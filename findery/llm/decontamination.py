@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import ref, saved, sized_join, text_slices, tokens
+from .common import lean, ref, saved, sized_join, text_slices, tokens
 
 #: Tokens of a shard after which the next one begins; empty positions between documents.
 SHARD_TOKENS = 2_000_000
@@ -108,7 +108,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         yield from flush()
 
     kind = T.StructType([T.StructField("shard", T.LongType()), T.StructField("term", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("positions", T.BinaryType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("starts", T.ArrayType(T.LongType()))])
-    return saved(source.mapInArrow(shards, kind), "positions")
+    return saved(source.mapInArrow(lean(shards), kind), "positions")
 
 
 def _pack_all(at: np.ndarray, bounds: np.ndarray) -> list[bytes]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import text_slices
+from .common import map_arrow, text_slices
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -200,7 +200,7 @@ def extract(pages: DataFrame, html_col: str = "html", text_out: str = "content",
             made = [(None, None, None) if x is None else extract_one(x) for x in batch.column(html_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.string()), pa.array([m[2] for m in made], pa.float64())], names=[*batch.schema.names, *names])
 
-    return pages.mapInArrow(work, T.StructType([*pages.schema.fields, T.StructField(text_out, T.StringType()), T.StructField(tag_out, T.StringType()), T.StructField(sum_out, T.DoubleType())]))
+    return map_arrow(pages, work, T.StructType([*pages.schema.fields, T.StructField(text_out, T.StringType()), T.StructField(tag_out, T.StringType()), T.StructField(sum_out, T.DoubleType())]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

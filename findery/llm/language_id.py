@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, ref, segment_sum, sized_join, text_slices, tokens
+from .common import fresh, lean, map_arrow, ref, segment_sum, sized_join, text_slices, tokens
 
 MAX_N = 4
 _CACHE = 400_000
@@ -85,7 +85,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
                 for n, found in enumerate(grams):
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array([n] * len(found), pa.int32()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], schema=schema)
 
-    counted = sample.select("lang", "text").mapInArrow(count, "lang string, n int, gram string, c long").groupBy("n", "gram", "lang").agg(F.sum("c").alias("c"))
+    counted = sample.select("lang", "text").mapInArrow(lean(count), "lang string, n int, gram string, c long").groupBy("n", "gram", "lang").agg(F.sum("c").alias("c"))
     total: dict[tuple[int, str], dict[str, int]] = {}
     for row in counted.toLocalIterator():  # bounded by the sample
         total.setdefault((row["n"], row["gram"]), {})[row["lang"]] = row["c"]
@@ -153,7 +153,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_out: st
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(confidence, pa.float64()), pa.array(counts, pa.int64())], names=[*batch.schema.names, lang_out, confidence_out, words_out])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(confidence_out, T.DoubleType()), T.StructField(words_out, T.LongType())])
-    return docs.mapInArrow(score, schema)
+    return map_arrow(docs, score, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from xxhash import xxh64_intdigest
 
-from .common import fresh, ref, saved, text_slices
+from .common import fresh, lean, map_arrow, ref, saved, text_slices
 
 SLICE_BITS = 20
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -88,7 +88,7 @@ def _filters(hashed: DataFrame, log_bits: int, hashes: int) -> DataFrame:
             once |= bits
         return pd.DataFrame({"slice": [part["slice"].iloc[0]], "twice": [zlib.compress(twice.tobytes(), 1)]})
 
-    parts = hashed.mapInArrow(build, "slice long, once binary, twice binary")
+    parts = hashed.mapInArrow(lean(build), "slice long, once binary, twice binary")
     return parts.groupBy("slice").applyInPandas(merge, "slice long, twice binary")
 
 
@@ -145,7 +145,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             full = np.array([x != "" for x in lines], bool)
             yield pa.RecordBatch.from_arrays([pa.array(hashed[full].view(np.int64))], names=["h"])
 
-    hashed = saved(source.select("text").mapInArrow(hash_lines, "h long"), "line-hashes")
+    hashed = saved(source.select("text").mapInArrow(lean(hash_lines), "h long"), "line-hashes")
     suspected = _suspect_flags(spark, hashed, hashed.count(), bits_per_line, hashes, max_filter_mb)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +158,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             columns = [batch.column("id").take(pa.array(rows)).cast(arrow_kind), pa.array(th[rows], pa.int64()), pa.array((np.array(at, np.int64) - ends[rows]).astype(np.int32)), pa.array([lines[k] for k in at], pa.string()), pa.array(hashed[at].view(np.int64), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "no", "line", "h"])
 
-    suspects = source.mapInArrow(find, T.StructType([T.StructField("id", kind), T.StructField("th", T.LongType()), T.StructField("no", T.IntegerType()), T.StructField("line", T.StringType()), T.StructField("h", T.LongType())]))
+    suspects = source.mapInArrow(lean(find), T.StructType([T.StructField("id", kind), T.StructField("th", T.LongType()), T.StructField("no", T.IntegerType()), T.StructField("line", T.StringType()), T.StructField("h", T.LongType())]))
     if suspected is None:
         suspects = suspects.join(hashed.groupBy("h").count().where("count > 1").select("h"), "h", "left_semi")
     first = suspects.groupBy("line").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th", "no")).alias("at"))
@@ -214,13 +214,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 columns = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([len(x) for x in numbers], pa.int32())], names=[*names, k_gone])
 
-        done = joined.select(*[ref(c) for c in docs.columns], ref(k_keep)).mapInArrow(cut, T.StructType([*docs.schema.fields, T.StructField(k_gone, T.IntegerType())]))
+        done = map_arrow(joined.select(*[ref(c) for c in docs.columns], ref(k_keep)), cut, T.StructType([*docs.schema.fields, T.StructField(k_gone, T.IntegerType())]))
         return finish(done, ref(k_gone), True)
 
-    plain = docs.mapInArrow(having(False), docs.schema)
-    marked = docs.mapInArrow(having(True), T.StructType([*docs.schema.fields, T.StructField(k_key, T.LongType())]))
+    plain = map_arrow(docs, having(False), docs.schema)
+    marked = map_arrow(docs, having(True), T.StructType([*docs.schema.fields, T.StructField(k_key, T.LongType())]))
     joined = marked.join(keep, ref(id_col).eqNullSafe(ref(k_id)) & (ref(k_key) == ref(k_th)), "left").select(*[ref(c) for c in docs.columns], ref(k_keep))
-    done = joined.mapInArrow(rewrite, T.StructType([*docs.schema.fields, T.StructField(k_gone, T.IntegerType())]))
+    done = map_arrow(joined, rewrite, T.StructType([*docs.schema.fields, T.StructField(k_gone, T.IntegerType())]))
     return finish(plain, F.lit(0), False).unionByName(finish(done, ref(k_gone), True))
 
 

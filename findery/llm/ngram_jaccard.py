@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from xxhash import xxh64_intdigest
 
-from .common import fresh, mix, ref, rolling, saved, text_slices, tokens, word_hashes
+from .common import fresh, lean, mix, ref, rolling, saved, text_slices, tokens, word_hashes
 from .decontamination import _pack_all, _unpack
 
 #: Cells of the sketch of word counts, in slices.
@@ -62,7 +62,7 @@ def _sketch(texts: DataFrame) -> np.ndarray:
         return pd.DataFrame({"slice": part["slice"].iloc[:1], "ranks": [zlib.compress(np.log2(total + 1).astype(np.uint8).tobytes(), 1)]})
 
     out = np.zeros(CELLS, np.uint8)
-    for row in texts.mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, ranks binary").toLocalIterator():
+    for row in texts.mapInArrow(lean(count), "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, ranks binary").toLocalIterator():
         out[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(zlib.decompress(row["ranks"]), np.uint8)
     return out
 
@@ -87,7 +87,7 @@ def _popularity(rows: DataFrame) -> np.ndarray:
         return pd.DataFrame({"slice": part["slice"].iloc[:1], "ranks": [zlib.compress((np.log2(total + 1) * 8).clip(0, 255).astype(np.uint8).tobytes(), 1)]})
 
     out = np.zeros(CELLS, np.uint8)
-    for row in rows.select("offers").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, ranks binary").toLocalIterator():
+    for row in rows.select("offers").mapInArrow(lean(count), "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, ranks binary").toLocalIterator():
         out[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(zlib.decompress(row["ranks"]), np.uint8)
     return out
 
@@ -166,7 +166,7 @@ def _units(docs: DataFrame, n: int, threshold: float, ranks) -> DataFrame:
             yield rows.filter(full)
 
     shape = T.StructType([T.StructField("id", kind), T.StructField("unit", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("offers", T.ArrayType(T.LongType())), T.StructField("prefix", T.BinaryType())])
-    return docs.mapInArrow(work, shape)
+    return docs.mapInArrow(lean(work), shape)
 
 
 def _pack_each(flat: np.ndarray, cut: np.ndarray) -> list[bytes]:
@@ -260,7 +260,7 @@ def _candidates(units: DataFrame, popular, buckets: int, threshold: float) -> Da
             return pd.DataFrame({"unit": [], "grp": [], "own": [], "size": [], "n": []}).astype({"own": bool})
         return pd.concat(found).groupby(["unit", "grp", "own", "size"], sort=False)["n"].sum().reset_index()
 
-    rows = units.select("unit", "offers", "size", "prefix").mapInArrow(blocks, "bucket int, hashes binary, who binary, table binary")
+    rows = units.select("unit", "offers", "size", "prefix").mapInArrow(lean(blocks), "bucket int, hashes binary, who binary, table binary")
     met = rows.groupBy("bucket").applyInPandas(meet, "unit long, grp long, own boolean, size long, n long")
     counted = met.groupBy("unit", "grp").agg(F.sum("n").alias("n"), F.first("size").alias("size"), F.first("own").alias("own"))
     return counted.where(F.col("n") >= 1 + F.floor(F.lit(LONGER) * F.floor(F.col("size") * threshold))).select("unit", "grp", "own")
@@ -328,7 +328,7 @@ def _join(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array(_groups(batch.column("offers"), popular.value))], names=["unit", "grp"])
 
-    members = units.select("unit", "offers").mapInArrow(place, "unit long, grp long")
+    members = units.select("unit", "offers").mapInArrow(lean(place), "unit long, grp long")
     opened = queries.select("grp").distinct()
     roles = members.join(opened, "grp", "left_semi").select("unit", "grp", F.lit(True).alias("member")).unionByName(queries.where("NOT own").select("unit", "grp", F.lit(False).alias("member")))
     roles = roles.groupBy("unit").agg(F.collect_set(F.struct("grp", "member")).alias("roles"))
@@ -348,7 +348,7 @@ def _join(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float)
     weight = involved.select(F.sum(24 + 9 * F.size("roles")).alias("b")).first()["b"] or 0
     picked = F.broadcast(involved) if weight / 1e6 <= 32 else involved
     texts = source.join(picked, F.col("id").eqNullSafe(F.col("k"))).select("unit", "text", "roles")
-    grams = texts.mapInArrow(sets, "unit long, grams binary, grp long, member boolean")
+    grams = texts.mapInArrow(lean(sets), "unit long, grams binary, grp long, member boolean")
     pairs = grams.groupBy("grp").applyInPandas(lambda part: _verify(part, threshold), "a long, b long, both long, jaccard double")
     return rows, pairs
 
