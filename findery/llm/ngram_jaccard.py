@@ -38,7 +38,7 @@ OFFERS = 4
 #: By which part of its size a prefix is lengthened, and so many more tokens must be shared.
 LONGER = 0.05
 #: Prefix tokens that one task gets, and those that it looks at at a time.
-BUCKET_TOKENS, PART_TOKENS = 16_000_000, 2_000_000
+BUCKET_TOKENS, PART_TOKENS = 4_000_000, 1_000_000
 
 
 def _sketch(texts: DataFrame) -> np.ndarray:
