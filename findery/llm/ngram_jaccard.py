@@ -37,6 +37,8 @@ CELLS, SLICE = 1 << 22, 1 << 18
 OFFERS = 4
 #: By which part of its size a prefix is lengthened, and so many more tokens must be shared.
 LONGER = 0.05
+#: Bits of a prefix token's hash: ``_pack_all`` holds no more, and what it cuts off are lost pairs.
+BITS = 42
 #: Prefix tokens that one task gets, and those that it looks at at a time.
 BUCKET_TOKENS, PART_TOKENS = 4_000_000, 1_000_000
 
@@ -158,7 +160,7 @@ def _units(docs: DataFrame, n: int, threshold: float, ranks) -> DataFrame:
                 sizes.append(size)
                 order = np.lexsort((own, rarity))[: size - _needed(size, threshold) + _shared(size)] if size else np.zeros(0, int)
                 offers.append(np.sort(mix(own[order]))[:OFFERS].view(np.int64))
-                flat.append(np.sort(own[order] >> np.uint64(16)).astype(np.int64))
+                flat.append(np.sort(own[order] >> np.uint64(64 - BITS)).astype(np.int64))
                 cut.append(cut[-1] + len(order))
             blobs = _pack_each(np.concatenate(flat), np.array(cut))
             full = pa.array(np.array(sizes) > 0)
@@ -199,7 +201,7 @@ def _candidates(units: DataFrame, popular, buckets: int, threshold: float) -> Da
                 table = np.stack([part.column("unit").to_numpy(), _groups(part.column("offers"), popular.value), part.column("size").to_numpy().astype(np.int64)], axis=1)
                 order = np.argsort(flat, kind="stable")
                 flat, who = flat[order], who[order]
-                bounds = np.searchsorted(flat, (np.arange(buckets + 1, dtype=np.float64) * (2.0**48 / buckets)).astype(np.int64))
+                bounds = np.searchsorted(flat, (np.arange(buckets + 1, dtype=np.float64) * (2.0**BITS / buckets)).astype(np.int64))
                 bounds[-1] = len(flat)
                 packed = _pack_all(flat, bounds)
                 for k in range(buckets):
@@ -208,7 +210,12 @@ def _candidates(units: DataFrame, popular, buckets: int, threshold: float) -> Da
                         used, short = np.unique(own, return_inverse=True)
                         yield pa.RecordBatch.from_pydict({"bucket": [k], "hashes": [packed[k]], "who": [short.astype(np.uint16).tobytes()], "table": [table[used].tobytes()]}, schema=schema)
 
-    def meet_part(flat: np.ndarray, at: np.ndarray, table: np.ndarray) -> list[pd.DataFrame]:
+    def total(found: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        keys, place = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+        return [(keys, np.bincount(place, np.concatenate([c for _, c in found])).astype(np.int64))]
+
+    def meet_part(flat: np.ndarray, at: np.ndarray, groups: np.ndarray, sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(row * groups + group, tokens in common) with ``groups`` numbered in order."""
         order = np.argsort(flat, kind="stable")
         flat, at = flat[order], at[order]
         edges = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1], [True]]))
@@ -218,7 +225,7 @@ def _candidates(units: DataFrame, popular, buckets: int, threshold: float) -> Da
         if not len(flat):
             return []
         run = np.concatenate([[0], np.cumsum(flat[1:] != flat[:-1])])
-        unit, group, size = table[at, 0], table[at, 1], table[at, 2]
+        many, group, size = int(groups.max()) + 1, groups[at], sizes[at]
         # groups of each run, with the span of sizes of those in the run
         order = np.lexsort((group, run))
         r, g, s = run[order], group[order], size[order]
@@ -236,10 +243,9 @@ def _candidates(units: DataFrame, popular, buckets: int, threshold: float) -> Da
             own = g_key[right] == group[left]
             ok = (g_key[right] > group[left]) | (own & g_many[right])
             ok &= (g_max[right] >= threshold * size[left] - 1e-9) & (g_min[right] * threshold - 1e-9 <= size[left])
-            pairs = pd.DataFrame({"unit": unit[left[ok]], "grp": g_key[right[ok]], "own": own[ok], "size": size[left[ok]]})
-            found.append(pairs.groupby(["unit", "grp", "own", "size"], sort=False).size().rename("n").reset_index())
+            found.append(np.unique(at[left[ok]] * many + g_key[right[ok]], return_counts=True))
             a = b
-        return found
+        return total(found)
 
     def meet(part: pd.DataFrame) -> pd.DataFrame:
         hashes = [_unpack(x) for x in part["hashes"]]
@@ -247,18 +253,23 @@ def _candidates(units: DataFrame, popular, buckets: int, threshold: float) -> Da
         tables = [np.frombuffer(x, np.int64).reshape(-1, 3) for x in part["table"]]
         base = np.cumsum([0, *[len(t) for t in tables]])
         table = np.concatenate(tables)
+        keys, groups = np.unique(table[:, 1], return_inverse=True)
         low, high = min(int(h[0]) for h in hashes), max(int(h[-1]) for h in hashes) + 1
         steps = max(1, sum(map(len, hashes)) // PART_TOKENS)
         edges = [low + (high - low) * i // steps for i in range(steps + 1)]
         cuts = [np.searchsorted(h, edges) for h in hashes]
-        found: list[pd.DataFrame] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         for i in range(steps):
             flat = np.concatenate([h[c[i] : c[i + 1]] for h, c in zip(hashes, cuts)])
             at = np.concatenate([w[c[i] : c[i + 1]].astype(np.int64) + b for w, c, b in zip(who, cuts, base)])
-            found += meet_part(flat, at, table)
+            found += meet_part(flat, at, groups, table[:, 2])
+            if sum(len(k) for k, _ in found[1:]) > max(1_000_000, len(found[0][0]) if found else 0):
+                found = total(found)
         if not found:
             return pd.DataFrame({"unit": [], "grp": [], "own": [], "size": [], "n": []}).astype({"own": bool})
-        return pd.concat(found).groupby(["unit", "grp", "own", "size"], sort=False)["n"].sum().reset_index()
+        (pairs, n), = total(found)
+        row, grp = np.divmod(pairs, len(keys))
+        return pd.DataFrame({"unit": table[row, 0], "grp": keys[grp], "own": groups[row] == grp, "size": table[row, 2], "n": n})
 
     rows = units.select("unit", "offers", "size", "prefix").mapInArrow(lean(blocks), "bucket int, hashes binary, who binary, table binary")
     met = rows.groupBy("bucket").applyInPandas(meet, "unit long, grp long, own boolean, size long, n long")
@@ -413,14 +424,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return similar_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=2)
 
 
 SQL = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}]+') AS t FROM documents WHERE text IS NOT NULL
 ), g AS (
-  SELECT doc_id, CASE WHEN len(t) < 3 THEN [array_to_string(t, ' ')] ELSE list_distinct([t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] for i in range(1, len(t) - 1)]) END AS s FROM w WHERE len(t) > 0
+  SELECT doc_id, CASE WHEN len(t) < 2 THEN [t[1]] ELSE list_distinct([t[i] || ' ' || t[i + 1] for i in range(1, len(t))]) END AS s FROM w WHERE len(t) > 0
 ), u AS (
   SELECT list_sort(s) AS s, list_sort(list(doc_id)) AS ids, min(doc_id) AS unit, len(list_sort(s)) AS n FROM g GROUP BY list_sort(s)
 ), x AS (SELECT unit, n, unnest(s) AS gram FROM u), p AS (
