@@ -109,10 +109,11 @@ def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
     return np.array(at), np.array(value)
 
 
-def build(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", per_class: int = 1000, k: int = 30, min_examples: int = 2, block: int = 128) -> Index:
+def build(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", per_class: int = 1000, k: int = 30, block: int = 128) -> Index:
     """The index of a bounded sample: of each label the ``per_class`` documents that
-    come first by a hash of their id. Its terms are those of at least
-    ``min_examples`` examples; their document frequencies count the whole corpus.
+    come first by a hash of their id. Its terms are all of theirs, so examples have
+    their exact vectors; document frequencies count the whole corpus. A query's length
+    is taken over the terms that examples have: others change no order of examples.
 
     Labels other than 0 and 1, null ids or texts are no examples. Without examples
     every document has the base rate (0.0 without any label).
@@ -128,13 +129,10 @@ def build(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ids, marks_of = [r["id"] for r in rows], np.array([r["label"] for r in rows], np.float64)
     ends, codes, words = tokens(pa.array([r["text"] for r in rows], pa.string()))
     bags = [np.unique(codes[ends[i] : ends[i + 1]], return_counts=True) for i in range(len(rows))]
-    seen = np.zeros(len(words), np.int64)
-    for terms, _ in bags:
-        seen[terms] += 1
-    kept = np.flatnonzero(seen >= min_examples)
+    used = np.unique(codes)
     to_term = np.full(len(words), -1, np.int64)
-    to_term[kept] = np.arange(len(kept))
-    vocabulary = {words[w]: i for i, w in enumerate(kept.tolist())}
+    to_term[used] = np.arange(len(used))
+    vocabulary = {words[w]: i for i, w in enumerate(used.tolist())}
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,8 +159,7 @@ def build(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     index = Index(vocabulary, idf, [], marks_of, block, [], [], [], np.zeros((len(vocabulary), 0)), k, float(rate), np.zeros(0), np.zeros(0))
     vectors = []
     for terms, counts in bags:
-        known = to_term[terms] >= 0
-        terms, counts = to_term[terms[known]], counts[known]
+        terms = to_term[terms]
         vectors.append((terms, index.vector(terms, counts)))
     lead = [int(t[np.argmax(df[t])]) if len(t) else -1 for t, _ in vectors]
     order = sorted(range(len(rows)), key=lambda i: (lead[i], i))

@@ -1,9 +1,12 @@
 """What the registered queries and stages must not leave out."""
 
+import math
+from collections import Counter
+
 from corpus_pipeline import remove_near_duplicates
-from findery.llm import ngram_jaccard
+from findery.llm import ngram_jaccard, toxicity
 
-from .test_against_brute_force import grams
+from .test_against_brute_force import grams, words
 
 
 def test_edited_copies_are_similar_by_bigrams(spark, tmp_path):
@@ -16,3 +19,21 @@ def test_edited_copies_are_similar_by_bigrams(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert [(r.doc_a, r.doc_b, round(r.jaccard, 9)) for r in ngram_jaccard.query(spark, str(tmp_path)).collect()] == [(1, 2, round(two, 9))]
     assert sorted(r.doc_id for r in remove_near_duplicates(spark, docs, str(tmp_path)).collect()) == [1, 3]
+
+
+def test_toxicity_neighbours_by_terms_of_one_example(spark):
+    texts = {1: "common words here gravel", 2: "common words here", 3: "common words there also", 4: "gravel gravel unseen", 5: "common here also"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    df = Counter(w for t in texts.values() for w in set(words(t)))
+
+    def vector(text):
+        v = {w: (1 + math.log(c)) * (math.log((1 + len(texts)) / (1 + df[w])) + 0.05) for w, c in Counter(words(text)).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    for r in toxicity.classify(docs, toxicity.build(docs, labels)).collect():
+        own = vector(texts[r.id])
+        cosines = {i: sum(x * vector(texts[i]).get(w, 0) for w, x in own.items()) for i in (1, 2, 3) if i != r.id}
+        want = [i for i in sorted(cosines, key=lambda i: -cosines[i]) if cosines[i] > 0]
+        assert [int(e.split(":")[0]) for e in r.evidence] == want
