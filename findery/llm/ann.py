@@ -10,6 +10,7 @@ Distances are Euclidean on unit vectors (cosine) or on the vectors as they are.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,12 +96,12 @@ def _keep_best(pairs: DataFrame, k: int) -> DataFrame:
     return one.groupBy("u").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "v", "fresh"))), 1, k).alias("near"))
 
 
-def build_graph(points: DataFrame, k: int = 40, sample: int = 40, rounds: int = 6, trees: int = 6, leaf: int = 96, stop: float = 0.002, seed: int = 7) -> DataFrame:
+def build_graph(points: DataFrame, k: int = 40, sample: int = 40, rounds: int | None = None, trees: int = 6, leaf: int = 96, stop: float = 0.002, seed: int = 7) -> DataFrame:
     """(u, near) of ``points`` (id, vec): the NN-descent graph.
 
     ``sample`` bounds how many fresh and how many old neighbours of a node, forward
-    and reverse, meet in a round; it ends after ``rounds`` or when fewer than ``stop``
-    of all edges changed.
+    and reverse, meet in a round; it ends when fewer than ``stop`` of all edges
+    changed, or after ``rounds`` if given.
     """
     first = points.select("vec").first()
     n = points.count()
@@ -129,7 +130,7 @@ def build_graph(points: DataFrame, k: int = 40, sample: int = 40, rounds: int =
                 u, v, d = _best(np.concatenate(us), np.concatenate(vs), np.concatenate(ds).astype(np.float32), k)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(d, pa.float32())], names=["u", "v", "d"])
 
-    for r in range(rounds):
+    for r in itertools.count() if rounds is None else range(rounds):
         edges = graph.select("u", F.explode("near").alias("e")).select("u", "e.v", "e.d", "e.fresh")
         both = edges.select(F.col("u").alias("w"), F.col("v").alias("id"), "fresh").unionByName(edges.select(F.col("v").alias("w"), F.col("u").alias("id"), "fresh"))
         both = both.groupBy("w", "id").agg(F.max("fresh").alias("fresh"))
@@ -193,7 +194,7 @@ def search(queries: DataFrame, points: DataFrame, graph: DataFrame, top: int = 1
         return empty
     k = graph.select(F.max(F.size("near")).alias("k")).first()["k"] or 0
     if n * (4 * len(first["vec"]) + 8 + 4 * k) / 1e6 > limit_mb:
-        return _search_by_joins(queries, points, graph, top, min(ef, 96), entries, seed)
+        return _search_by_joins(queries, points, graph, top, ef, step, entries, seed)
     table = points.orderBy("id").toArrow()  # within limit_mb
     ids = table.column("id").combine_chunks().to_numpy()
     x = _matrix(table.column("vec").combine_chunks())
@@ -232,9 +233,9 @@ def search(queries: DataFrame, points: DataFrame, graph: DataFrame, top: int = 1
     return queries.repartition(parts, "id").mapInArrow(work, "query long, id long, rank int, distance double")
 
 
-def _search_by_joins(queries: DataFrame, points: DataFrame, graph: DataFrame, top: int, ef: int, entries: int, seed: int, rounds: int = 12, step: int = 12) -> DataFrame:
+def _search_by_joins(queries: DataFrame, points: DataFrame, graph: DataFrame, top: int, ef: int, step: int, entries: int, seed: int) -> DataFrame:
     """The same search with each query's list in a table: a round expands the ``step``
-    nearest unexpanded nodes of every list by a join with the graph."""
+    nearest unexpanded nodes of every list by a join with the graph, until none is left."""
     spark = points.sparkSession
     edges = saved(graph.select("u", F.explode("near").alias("e")).select("u", F.col("e.v").alias("v")).join(points.select(F.col("id").alias("v"), "vec"), "v"), "ann-edges")
     spread = points.orderBy(F.xxhash64("id", F.lit(seed))).limit(entries).select(F.col("id").alias("v"), "vec")
@@ -243,7 +244,7 @@ def _search_by_joins(queries: DataFrame, points: DataFrame, graph: DataFrame, to
     start = asked.join(edges.withColumnRenamed("u", "query"), "query").unionByName(asked.crossJoin(F.broadcast(spread)), allowMissingColumns=True)
     beam = start.select("query", "v", distance.alias("d"), F.lit(False).alias("done"))
     order = Window.partitionBy("query").orderBy("d", "v")
-    for _ in range(rounds):
+    while True:
         best = beam.groupBy("query", "v").agg(F.min("d").alias("d"), F.max("done").alias("done"))
         ranked = best.withColumn("r", F.row_number().over(order)).where(F.col("r") <= ef)
         turn = F.row_number().over(Window.partitionBy("query", "done").orderBy("d", "v"))

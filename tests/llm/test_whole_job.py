@@ -1,10 +1,13 @@
 """What the registered queries and stages must not leave out."""
 
+import inspect
 import math
 from collections import Counter
 
+import numpy as np
+
 from corpus_pipeline import remove_near_duplicates
-from findery.llm import ngram_jaccard, toxicity
+from findery.llm import ann, ngram_jaccard, toxicity
 
 from .test_against_brute_force import grams, words
 
@@ -37,3 +40,21 @@ def test_toxicity_neighbours_by_terms_of_one_example(spark):
         cosines = {i: sum(x * vector(texts[i]).get(w, 0) for w, x in own.items()) for i in (1, 2, 3) if i != r.id}
         want = [i for i in sorted(cosines, key=lambda i: -cosines[i]) if cosines[i] > 0]
         assert [int(e.split(":")[0]) for e in r.evidence] == want
+
+
+def test_ann_search_is_the_same_by_joins(spark):
+    # a ring in which nodes know their two neighbours only: a list of 8 takes over 12 rounds to get across
+    n = 400
+    at = [(i, [float(np.cos(2 * np.pi * i / n)), float(np.sin(2 * np.pi * i / n))]) for i in range(n)]
+    points = spark.createDataFrame(at, "id long, vec array<float>")
+    edges = [(i, [(0.1, (i - 1) % n, False), (0.1, (i + 1) % n, False)]) for i in range(n)]
+    graph = spark.createDataFrame(edges, "u long, near array<struct<d:float,v:long,fresh:boolean>>")
+    asked = points.where("id IN (7, 200)")
+    options = {"top": 40, "ef": 60, "step": 2, "entries": 1}
+    both = [sorted((r.query, r.rank, r.id) for r in ann.search(asked, points, graph, limit_mb=limit, **options).select("query", "rank", "id").collect()) for limit in (256, 0)]
+    near = [{(q, i) for q, _, i in rows} for rows in both]
+    assert len(near[0]) == 80 and near[0] == near[1]
+
+
+def test_ann_graph_has_no_bound_of_rounds():
+    assert inspect.signature(ann.build_graph).parameters["rounds"].default is None
