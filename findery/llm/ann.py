@@ -140,8 +140,9 @@ def build_graph(points: DataFrame, k: int = 40, sample: int = 40, rounds: int |
         known = points.join(worst, "id", "left").select("id", "vec", F.coalesce("worst", F.lit(float("inf")).cast("float")).alias("worst"))
         met = picked.join(known.hint("shuffle_hash"), "id").groupBy("w").agg(F.collect_list(F.struct("id", "worst", "fresh", "vec")).alias("members"))
         found = met.where(F.exists("members", lambda m: m["fresh"])).select("members").mapInArrow(compare, _PAIRS)
-        # what met as fresh is old from now on
-        old = edges.select("u", "v", "d", F.lit(False).alias("fresh"))
+        # what a node picked as fresh is old from now on; the rest waits for a later round
+        done = picked.where("fresh").select(F.col("w").alias("u"), F.col("id").alias("v"), F.lit(True).alias("done"))
+        old = edges.join(done, ["u", "v"], "left").select("u", "v", "d", (F.col("fresh") & F.col("done").isNull()).alias("fresh"))
         graph = saved(_keep_best(old.unionByName(found.withColumn("fresh", F.lit(True))), k), "ann-graph")
         changed = graph.select(F.sum(F.size(F.filter("near", lambda e: e["fresh"]))).alias("c")).first()["c"] or 0
         if changed <= stop * n * k:

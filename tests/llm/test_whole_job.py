@@ -58,3 +58,11 @@ def test_ann_search_is_the_same_by_joins(spark):
 
 def test_ann_graph_has_no_bound_of_rounds():
     assert inspect.signature(ann.build_graph).parameters["rounds"].default is None
+
+
+def test_ann_edges_that_were_not_picked_stay_fresh(spark):
+    rng = np.random.default_rng(5)
+    points = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.standard_normal((60, 8)))], "id long, vec array<float>").cache()
+    # one leaf holds all points, so the graph is exact from the start and only marks change
+    fresh = [e.fresh for r in ann.build_graph(points, k=12, sample=3, rounds=1, trees=1, leaf=100).collect() for e in r.near]
+    assert len(fresh) == 720 and 720 * 0.5 < sum(fresh) < 720
