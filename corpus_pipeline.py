@@ -3,8 +3,14 @@
 ``STAGES`` holds (name, function) pairs; each function takes (spark, docs, sf_dir),
 where docs is what the stage before kept, read back from Parquet, and works on all
 of it. All but the last return the columns of ``documents``; the last adds the
-token ids. Scratch tables of the stage before are dropped when the next one
-begins, as its result is written by then.
+token ids, their number and whether they decode to the text, under names that no
+column of ``docs`` has. Scratch tables of a stage are dropped when the next one
+begins on the same folder, as its result is written by then.
+
+Every stage takes an empty table, null ids, texts and other columns, repeated rows
+and texts of any length: a null text is rejected by language ID (it gives no
+evidence), rows with a null id are compared with nothing by the Jaccard join and
+stay, and ties go by the least id, as the operators' docstrings say.
 """
 
 from __future__ import annotations
@@ -12,37 +18,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from findery.llm import byte_bpe, decontamination, language_id, line_dedup, ngram_jaccard
-from findery.llm.common import release, scratch_path
+from findery.llm.common import Run, scratch_path
+
+#: Runs of the stages by folder and stage number.
+_runs: dict[tuple[str, int], Run] = {}
+
+
+def _run(spark: SparkSession, sf_dir: str, stage: int) -> Run:
+    """The run of a stage; those of the stages before it on the same folder are dropped."""
+    for key in [k for k in _runs if k[0] == sf_dir and (k[1] < stage or stage == 0)]:
+        _runs.pop(key).release()
+    run = _runs[sf_dir, stage] = Run(spark)
+    return run
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts whose language cannot be told. The model learns from a bounded
     sample of the labelled rows."""
-    return language_id.keep_identified(docs, language_id.fit(docs))
+    with _run(spark, sf_dir, 0):
+        return language_id.keep_identified(docs, language_id.fit(docs))
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes every repeated line of the corpus but its first occurrence."""
-    release(spark)
-    return line_dedup.dedup_lines(docs, length_col="n_chars")
+    with _run(spark, sf_dir, 1):
+        return line_dedup.dedup_lines(docs, length_col="n_chars")
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each group of similar ones."""
-    release(spark)
-    return ngram_jaccard.keep_one(docs, n=2)
+    with _run(spark, sf_dir, 2):
+        return ngram_jaccard.keep_one(docs)
 
 
 def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of the benchmark."""
-    release(spark)
-    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    with _run(spark, sf_dir, 3):
+        return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds the token ids of the whole text, their number and whether they decode to it."""
-    release(spark)
-    return byte_bpe.encode(docs, byte_bpe.load(), check_out="round_trip")
+    with _run(spark, sf_dir, 4):
+        return byte_bpe.encode(docs, byte_bpe.load(), check_out="round_trip")
 
 
 STAGES = [
@@ -64,16 +82,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             path = scratch_path(spark, f"stage{i}")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
-            _protect(path)
     return docs
 
 
-def _protect(path: str) -> None:
-    """Takes a stage's result out of what ``release`` drops: the next stage reads it."""
-    from findery.llm import common
-
-    common._scratch.remove(path)
-
-
 #: Language ID and the tokenizer have no equivalent in SQL.
 ORACLE_SQL = None

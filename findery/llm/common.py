@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import shutil
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,14 +20,55 @@ from pyspark.sql import types as T
 #: What separates tokens: anything but letters, digits and combining marks.
 SEPARATOR = r"[^\p{L}\p{N}\p{M}]+"
 
-_scratch: list[str] = []
+_M_MMAP_THRESHOLD = -3
+
+
+def _return_large_blocks() -> None:
+    """Has the C library give arrays of 1 MB and up back to the system as they are
+    freed; by itself it raises that size and keeps them in its heap."""
+    try:
+        ctypes.CDLL(None).mallopt(_M_MMAP_THRESHOLD, 1 << 20)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+_return_large_blocks()
+
+
+class Run:
+    """The scratch tables of one run, dropped by ``release``. Tables made while the
+    run is entered (``with``) belong to it; others stay until their owner cleans
+    the shared folder, as a lazy result may still read them."""
+
+    _open: list[Run] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Run:
+        Run._open.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        Run._open.remove(self)
+
+    def release(self) -> int:
+        """Drops the tables. Only for callers that have written what was computed from them."""
+        gone, self.paths = self.paths, []
+        for path in gone:
+            target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        return len(gone)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor reaches: ``spark.checkpoint.dir`` where the
-    cluster names one, otherwise (single-machine tests) a temporary folder."""
+    """The folder that every executor reaches: ``spark.checkpoint.dir``, which a
+    cluster must name. A temporary folder is used only with a local master."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="findery-")
         spark.conf.set("spark.checkpoint.dir", named)
         spark.sparkContext.setCheckpointDir(named)
@@ -36,7 +77,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/findery-{name}-{uuid.uuid4().hex}"
-    _scratch.append(path)
+    if Run._open:
+        Run._open[-1].paths.append(path)
     return path
 
 
@@ -48,19 +90,6 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: int = 0) -> int:
-    """Drop the scratch tables made so far (all but the last ``keep``). Only for
-    callers that have already written whatever was computed from them."""
-    gone, _scratch[:] = _scratch[: len(_scratch) - keep], _scratch[len(_scratch) - keep :]
-    for path in gone:
-        if path.startswith("file://"):
-            shutil.rmtree(path[7:], ignore_errors=True)
-        else:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    return len(gone)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that no column of ``df`` has."""
     have = {c.lower() for c in df.columns}
@@ -79,8 +108,14 @@ def ref(name: str) -> Column:
 
 
 def table_mb(df: DataFrame, row_bytes: int) -> float:
-    """Size of a (saved) table in MB, by its row count."""
-    return df.count() * row_bytes / 1e6
+    """Size of a (saved) table in MB: counted rows of ``row_bytes`` for the columns of
+    fixed width, and the measured bytes of strings, binaries and arrays."""
+    wide = [F.octet_length(ref(f.name)) for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    wide += [F.size(ref(f.name)) * 16 for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
+    total = F.lit(row_bytes).cast("long")
+    for part in wide:
+        total = total + F.greatest(F.coalesce(part, F.lit(0)), F.lit(0))
+    return (df.select(F.sum(total).alias("b")).first()["b"] or 0) / 1e6
 
 
 def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str, row_bytes: int, limit_mb: float = 32) -> DataFrame:
@@ -200,5 +235,36 @@ def map_arrow(df: DataFrame, work, schema: T.StructType) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(lean(renamed), plain).toDF(*made)
 
 
+def merged_counts(parts: DataFrame, slice_size: int, rank) -> DataFrame:
+    """(slice, ranks): sums the count arrays of each slice and maps them by ``rank``
+    (to uint8). ``parts`` is (slice, counts) as ``count_slices`` yields them. The blobs
+    stream through a task, which holds a few slices, however many blobs there are."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for s, blob in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
+                raw = np.frombuffer(zlib.decompress(blob), np.uint8)
+                own = raw if len(raw) == slice_size else raw.view(np.uint32)
+                if s in total:
+                    total[s] += own
+                else:
+                    total[s] = own.astype(np.int64)
+        for s, counts in total.items():
+            yield pa.RecordBatch.from_pydict({"slice": [s], "ranks": [zlib.compress(rank(counts).astype(np.uint8).tobytes(), 1)]}, schema=pa.schema([("slice", pa.int32()), ("ranks", pa.binary())]))
+
+    return parts.repartition("slice").mapInArrow(lean(merge), "slice int, ranks binary")
+
+
+def count_slices(cells: np.ndarray, slice_size: int, first: int = 0) -> Iterator[pa.RecordBatch]:
+    """The slices (numbered from ``first``) of an array of uint32 counts that hold any."""
+    schema = pa.schema([("slice", pa.int32()), ("counts", pa.binary())])
+    for s in range(len(cells) // slice_size):
+        part = cells[s * slice_size : (s + 1) * slice_size]
+        if part.any():
+            part = part.astype(np.uint8) if part.max() < 256 else part
+            yield pa.RecordBatch.from_pydict({"slice": [first + s], "counts": [zlib.compress(part.tobytes(), 1)]}, schema=schema)
+
+
 def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, type=kind))

@@ -11,13 +11,17 @@ fitting size (a group whose members share too little with each other and with al
 queries stays closed). In an opened group the overlap with every member is counted
 exactly, but only if the overlap with the union of all its tokens can reach the
 threshold. Thousands of copies that share their tokens are one or few
-groups, so candidates grow with the number of groups, not of pairs.
+groups, so candidates grow with the number of groups, not of pairs. A large group
+is opened block by block, so a task holds two blocks of it, and what comes out of a
+block is one row for each unit: how many documents it is linked with, and one edge
+to the least unit that it is connected with there.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,73 +33,76 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from xxhash import xxh64_intdigest
 
-from .common import fresh, lean, mix, ref, rolling, saved, text_slices, tokens, word_hashes
+from .common import count_slices, fresh, lean, merged_counts, mix, ref, rolling, saved, sized_join, table_mb, text_slices, tokens, word_hashes
 from .decontamination import _pack_all, _unpack
 
-#: Cells of the sketch of word counts, in slices.
-CELLS, SLICE = 1 << 22, 1 << 18
+#: Cells of the sketches of word and of gram counts, and of a slice of them.
+CELLS, GRAM_CELLS, SLICE = 1 << 22, 1 << 24, 1 << 18
 OFFERS = 4
 #: By which part of its size a prefix is lengthened, and so many more tokens must be shared.
 LONGER = 0.05
 #: Bits of a prefix token's hash: ``_pack_all`` holds no more, and what it cuts off are lost pairs.
 BITS = 42
 #: Prefix tokens that one task gets, and those that it looks at at a time.
-BUCKET_TOKENS, PART_TOKENS = 4_000_000, 1_000_000
+BUCKET_TOKENS, PART_TOKENS = 3_000_000, 1_000_000
+#: Grams (of members, and of queries) that one task holds of an opened group.
+BLOCK_GRAMS = 2_000_000
+#: Roles of a unit in a group: member compared with other members, member compared with queries only, query.
+MEMBER, HOST, QUERY = 0, 1, 2
 
 
-def _sketch(texts: DataFrame) -> np.ndarray:
-    """log2 of the count of each hashed word over all texts: the rarity that orders tokens.
+def _rank(counts: np.ndarray) -> np.ndarray:
+    """Counts as eighths of log2."""
+    return (np.log2(counts + 1) * 8).clip(0, 255)
 
-    Its size is fixed; words that share a cell only lose some of the order's use."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
-        for batch in text_slices(batches, "text"):
-            _, codes, words = tokens(batch.column("text"))
-            at = (mix(word_hashes(words)) & np.uint64(CELLS - 1)).astype(np.int64)
-            np.add.at(cells, at, np.bincount(codes, minlength=len(words)))
-        for s in range(CELLS // SLICE):
-            part = cells[s * SLICE : (s + 1) * SLICE]
-            if part.any():
-                yield pa.RecordBatch.from_pydict({"slice": [s], "counts": [zlib.compress(part.tobytes(), 1)]}, schema=pa.schema([("slice", pa.int32()), ("counts", pa.binary())]))
-
-    def add(part: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in part["counts"])
-        return pd.DataFrame({"slice": part["slice"].iloc[:1], "ranks": [zlib.compress(np.log2(total + 1).astype(np.uint8).tobytes(), 1)]})
-
-    out = np.zeros(CELLS, np.uint8)
-    for row in texts.mapInArrow(lean(count), "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, ranks binary").toLocalIterator():
+def _collected(slices: DataFrame, cells: int) -> np.ndarray:
+    out = np.zeros(cells, np.uint8)
+    for row in slices.toLocalIterator():
         out[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(zlib.decompress(row["ranks"]), np.uint8)
     return out
 
 
+def _sketch(texts: DataFrame, n: int) -> np.ndarray:
+    """Counts of each hashed word, then of each hashed n-gram, over all texts: a gram
+    occurs at most as often as its rarest word, and as its cell says, and the lesser
+    of the two orders tokens by rarity. The size is fixed; what shares a cell only
+    loses some of the order's use."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_word, by_gram = np.zeros(CELLS, np.uint32), np.zeros(GRAM_CELLS, np.uint32)
+        for batch in text_slices(batches, "text"):
+            ends, codes, words = tokens(batch.column("text"))
+            hashed = word_hashes(words)
+            np.add.at(by_word, _at(hashed, CELLS), np.bincount(codes, minlength=len(words)).astype(np.uint32))
+            grams, _ = rolling(hashed[codes], ends, n)
+            np.add.at(by_gram, _at(grams, GRAM_CELLS), np.uint32(1))
+        yield from count_slices(by_word, SLICE)
+        yield from count_slices(by_gram, SLICE, CELLS // SLICE)
+
+    return _collected(merged_counts(texts.mapInArrow(lean(count), "slice int, counts binary"), SLICE, _rank), CELLS + GRAM_CELLS)
+
+
 def _popularity(rows: DataFrame) -> np.ndarray:
     """How many documents offer each hashed key, in eighths of log2: by it a document
     picks its group without any join. Its size is fixed; keys that share a cell only
     make for other groups, not for other results."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
+        cells = np.zeros(CELLS, np.uint32)
         for batch in batches:
-            keys = batch.column("offers").flatten().to_numpy(zero_copy_only=False)
-            np.add.at(cells, _cells(keys), 1)
-        for s in range(CELLS // SLICE):
-            part = cells[s * SLICE : (s + 1) * SLICE]
-            if part.any():
-                yield pa.RecordBatch.from_pydict({"slice": [s], "counts": [zlib.compress(part.tobytes(), 1)]}, schema=pa.schema([("slice", pa.int32()), ("counts", pa.binary())]))
-
-    def add(part: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in part["counts"])
-        return pd.DataFrame({"slice": part["slice"].iloc[:1], "ranks": [zlib.compress((np.log2(total + 1) * 8).clip(0, 255).astype(np.uint8).tobytes(), 1)]})
-
-    out = np.zeros(CELLS, np.uint8)
-    for row in rows.select("offers").mapInArrow(lean(count), "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, ranks binary").toLocalIterator():
-        out[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(zlib.decompress(row["ranks"]), np.uint8)
-    return out
+            np.add.at(cells, _cells(batch.column("offers").flatten().to_numpy(zero_copy_only=False)), np.uint32(1))
+        yield from count_slices(cells, SLICE)
+
+    return _collected(merged_counts(rows.select("offers").mapInArrow(lean(count), "slice int, counts binary"), SLICE, _rank), CELLS)
+
+
+def _at(hashed: np.ndarray, cells: int) -> np.ndarray:
+    return (mix(hashed) & np.uint64(cells - 1)).astype(np.int64)
 
 
 def _cells(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys.astype(np.int64).view(np.uint64)) & np.uint64(CELLS - 1)).astype(np.int64)
+    return _at(keys.astype(np.int64).view(np.uint64), CELLS)
 
 
 def _groups(offers: pa.Array, popular: np.ndarray) -> np.ndarray:
@@ -115,7 +122,7 @@ def gram_sets(texts: pa.Array, n: int, ranks: np.ndarray | None = None):
     sizes = np.diff(ends)
     rarity = None
     if ranks is not None:
-        rarity = ranks[(mix(word_hashes(words)) & np.uint64(CELLS - 1)).astype(np.int64)][codes]
+        rarity = ranks[_at(word_hashes(words), CELLS)][codes]
     grams, starts = rolling(hashed, ends, n)
     least = None
     if rarity is not None:
@@ -124,6 +131,7 @@ def gram_sets(texts: pa.Array, n: int, ranks: np.ndarray | None = None):
         least = rarity[first] if len(first) else np.zeros(0, np.uint8)
         for i in range(1, n):
             least = np.minimum(least, rarity[first + i])
+        least = np.minimum(least, ranks[CELLS + _at(grams, GRAM_CELLS)])
     for i, size in enumerate(sizes.tolist()):
         if size == 0:
             yield np.zeros(0, np.uint64), np.zeros(0, np.uint8)
@@ -147,7 +155,7 @@ def _shared(size: float) -> int:
 
 
 def _units(docs: DataFrame, n: int, threshold: float, ranks) -> DataFrame:
-    """(id, unit, size, offers, prefix) of every document that has tokens."""
+    """(id, unit, size, offers, prefix) of every document; one without tokens has no unit."""
     kind = docs.schema["id"].dataType
     arrow = to_arrow_type(kind)
 
@@ -163,9 +171,8 @@ def _units(docs: DataFrame, n: int, threshold: float, ranks) -> DataFrame:
                 flat.append(np.sort(own[order] >> np.uint64(64 - BITS)).astype(np.int64))
                 cut.append(cut[-1] + len(order))
             blobs = _pack_each(np.concatenate(flat), np.array(cut))
-            full = pa.array(np.array(sizes) > 0)
-            rows = pa.RecordBatch.from_arrays([batch.column("id").cast(arrow), pa.array(np.array(units, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int32)), pa.array([x.tolist() for x in offers], pa.list_(pa.int64())), pa.array(blobs, pa.binary())], names=["id", "unit", "size", "offers", "prefix"])
-            yield rows.filter(full)
+            none = np.array(sizes) == 0
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(arrow), pa.array(np.array(units, np.uint64).view(np.int64), mask=none), pa.array(np.array(sizes, np.int32)), pa.array([x.tolist() for x in offers], pa.list_(pa.int64())), pa.array(blobs, pa.binary())], names=["id", "unit", "size", "offers", "prefix"])
 
     shape = T.StructType([T.StructField("id", kind), T.StructField("unit", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("offers", T.ArrayType(T.LongType())), T.StructField("prefix", T.BinaryType())])
     return docs.mapInArrow(lean(work), shape)
@@ -186,7 +193,7 @@ def _unpack_each(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _candidates(units: DataFrame, popular, buckets: int, threshold: float) -> DataFrame:
-    """(unit, grp, own): which groups each unit queries. Of two groups the unit of the
+    """(unit, grp, own, size): which groups each unit queries. Of two groups the unit of the
     lower one queries the other; ``own`` marks that others of its own group share enough.
     A partner has at least ``threshold`` of the unit's size, so its prefix and the
     unit's share at least what that size needs."""
@@ -274,62 +281,102 @@ def _candidates(units: DataFrame, popular, buckets: int, threshold: float) -> Da
     rows = units.select("unit", "offers", "size", "prefix").mapInArrow(lean(blocks), "bucket int, hashes binary, who binary, table binary")
     met = rows.groupBy("bucket").applyInPandas(meet, "unit long, grp long, own boolean, size long, n long")
     counted = met.groupBy("unit", "grp").agg(F.sum("n").alias("n"), F.first("size").alias("size"), F.first("own").alias("own"))
-    return counted.where(F.col("n") >= 1 + F.floor(F.lit(LONGER) * F.floor(F.col("size") * threshold))).select("unit", "grp", "own")
+    return counted.where(F.col("n") >= 1 + F.floor(F.lit(LONGER) * F.floor(F.col("size") * threshold))).select("unit", "grp", "own", "size")
 
 
-def _verify(part: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Opens one group: its members among themselves and the queries against them."""
-    empty = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "both": np.zeros(0, np.int64), "jaccard": np.zeros(0)})
-    member = part["member"].to_numpy(bool)
-    part = pd.concat([part[member].drop_duplicates("unit"), part[~member].drop_duplicates("unit")])
-    member = part["member"].to_numpy(bool)
-    m = int(member.sum())
+def _verify(part: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, pd.DataFrame]:
+    """Opens one block of a group: its members among themselves (if they are to be) and
+    the queries against them. The similar pairs, as rows of the returned frame, their
+    overlaps and the frame."""
+    part = part.sort_values("kind", kind="stable").drop_duplicates("unit")
+    kind = part["kind"].to_numpy()
+    m = int((kind != QUERY).sum())
+    among = bool((kind == MEMBER).any())
     sets = [np.frombuffer(x, np.uint64) for x in part["grams"]]
-    units = part["unit"].to_numpy(np.int64)
     sizes = np.array([len(s) for s in sets], np.int64)
-    if m == 0 or len(sets) < 2:
-        return empty
-    flat = np.concatenate(sets[:m])
-    owner = np.repeat(np.arange(m), sizes[:m])
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    union, first = np.unique(flat, return_index=True)
-    bounds = np.concatenate([first, [len(flat)]])
-    rows_a, rows_b, overlaps = [], [], []
-    for i, own in enumerate(sets):
-        at = np.searchsorted(union, own)
-        at[at == len(union)] = 0
-        at = at[union[at] == own]
-        if len(at) < _needed(len(own), threshold):
-            continue  # even the whole group's union holds too little of it
-        low, width = bounds[at], bounds[at + 1] - bounds[at]
-        step = np.concatenate([[0], np.cumsum(width)])
-        hits = owner[np.repeat(low - step[:-1], width) + np.arange(step[-1])]
-        both = np.bincount(hits, minlength=m)
-        total = sizes[:m] + len(own) - both
-        good = both >= threshold * total - 1e-9
-        if i < m:
-            good[: i + 1] = False
-        for j in np.flatnonzero(good).tolist():
-            rows_a.append(units[i])
-            rows_b.append(units[j])
-            overlaps.append((int(both[j]), both[j] / total[j]))
-    if not rows_a:
-        return empty
-    return pd.DataFrame({"a": rows_a, "b": rows_b, "both": [x for x, _ in overlaps], "jaccard": [x for _, x in overlaps]})
-
-
-def _join(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(units with their documents, similar pairs of units)."""
+    rows_a, rows_b, overlaps = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if m and len(sets) > 1:
+        flat = np.concatenate(sets[:m])
+        owner = np.repeat(np.arange(m, dtype=np.int32), sizes[:m])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        union, first = np.unique(flat, return_index=True)
+        bounds = np.concatenate([first, [len(flat)]])
+        for i in range(0 if among else m, len(sets)):
+            own = sets[i]
+            at = np.searchsorted(union, own)
+            at[at == len(union)] = 0
+            at = at[union[at] == own]
+            if len(at) < _needed(len(own), threshold):
+                continue  # even the whole group's union holds too little of it
+            low, width = bounds[at], bounds[at + 1] - bounds[at]
+            step = np.concatenate([[0], np.cumsum(width)])
+            both = np.bincount(owner[np.repeat(low - step[:-1], width) + np.arange(step[-1])], minlength=m)
+            good = both >= threshold * (sizes[:m] + len(own) - both) - 1e-9
+            if i < m:
+                good[: i + 1] = False
+            at = np.flatnonzero(good)
+            rows_a.append(np.full(len(at), i)), rows_b.append(at), overlaps.append(both[at])
+    return np.concatenate(rows_a), np.concatenate(rows_b), np.concatenate(overlaps), part
+
+
+def _pairs_of(part: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    a, b, both, part = _verify(part, threshold)
+    units, sizes = part["unit"].to_numpy(np.int64), np.array([len(x) // 8 for x in part["grams"]], np.int64)
+    return pd.DataFrame({"a": units[a], "b": units[b], "both": both, "jaccard": both / (sizes[a] + sizes[b] - both)})
+
+
+def _links_of(part: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """(unit, root, links): of each unit that is similar to any, how many documents it
+    is linked with here, and the least unit that it is connected with."""
+    a, b, _, part = _verify(part, threshold)
+    units, weight = part["unit"].to_numpy(np.int64), part["n"].to_numpy(np.int64)
+    links = np.bincount(a, weight[b], len(units)) + np.bincount(b, weight[a], len(units))
+    root = np.argsort(np.argsort(units))
+    while True:  # least labels flow along all pairs, and each to the label of its label
+        before = root.copy()
+        np.minimum.at(root, a, root[b])
+        np.minimum.at(root, b, root[a])
+        root = np.minimum(root, root[np.argsort(units)][root])
+        if (root == before).all():
+            break
+    some = np.unique(np.concatenate([a, b]))
+    return pd.DataFrame({"unit": units[some], "root": np.sort(units)[root[some]], "links": links[some].astype(np.int64)})
+
+
+def _blocks(roles: DataFrame, block_grams: int) -> DataFrame:
+    """(unit, grp, sub, kind) from (unit, grp, size, member): groups of more than
+    ``block_grams`` grams are opened block by block. Block i meets itself, every later
+    block and every part of the queries, each in a task of its own."""
+    weight = roles.groupBy("grp").agg(F.sum(F.when(F.col("member"), F.col("size")).otherwise(0)).alias("m"), F.sum(F.when(F.col("member"), 0).otherwise(F.col("size"))).alias("q"))
+    big = saved(weight.where((F.col("m") > block_grams) | (F.col("q") > block_grams)).select("grp", F.ceil(F.col("m") / block_grams).cast("int").alias("nb"), F.ceil(F.col("q") / block_grams).cast("int").alias("qb")), "gram-blocks")
+    known = sized_join(roles, big, ["grp"], "left", 16)
+    kind = F.when(F.col("member"), MEMBER).otherwise(QUERY)
+    plain = known.where("nb IS NULL").select("unit", "grp", F.lit(0).cast("long").alias("sub"), kind.alias("kind"))
+    split = known.where("nb > 0").withColumn("wide", (F.col("nb") + F.col("qb")).cast("long")).withColumn("i", F.pmod(F.xxhash64("unit"), F.when(F.col("member"), F.col("nb")).otherwise(F.col("qb"))).cast("int"))
+
+    def at(row, column, kind):
+        return F.struct((row.cast("long") * F.col("wide") + column).alias("sub"), F.lit(kind).alias("kind"))
+
+    i, nb, qb = F.col("i"), F.col("nb"), F.col("qb")
+    host = F.transform(F.sequence(F.lit(0), nb + qb - 1), lambda j: F.when(j > i, at(i, j, HOST)))
+    guest = F.transform(F.sequence(F.lit(0), nb - 1), lambda j: F.when(j < i, at(j, i, QUERY)))
+    of_member = F.concat(F.array(at(i, i, MEMBER)), host, guest)
+    of_query = F.transform(F.sequence(F.lit(0), nb - 1), lambda j: at(j, nb + i, QUERY))
+    places = split.select("unit", "grp", F.explode(F.filter(F.when(F.col("member"), of_member).otherwise(of_query), lambda x: x.isNotNull())).alias("x"))
+    return plain.unionByName(places.select("unit", "grp", "x.sub", "x.kind"))
+
+
+def _join(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, verify, shape: str, block_grams: int = BLOCK_GRAMS) -> tuple[DataFrame, DataFrame]:
+    """(units with their documents, what ``verify`` makes of each opened block)."""
     spark = docs.sparkSession
-    source = docs.select(ref(id_col).alias("id"), ref(text_col).alias("text")).where(F.col("text").isNotNull())
-    ranks = spark.sparkContext.broadcast(_sketch(source.select("text")))
-    rows = saved(_units(source, n, threshold, ranks), "gram-units")
+    source = docs.select(ref(id_col).alias("id"), ref(text_col).alias("text")).where(F.col("id").isNotNull())
+    ranks = spark.sparkContext.broadcast(_sketch(source.select("text"), n))
+    everyone = saved(_units(source, n, threshold, ranks), "gram-units")
+    rows = everyone.where("unit IS NOT NULL")
     # of documents with the same set, the one with the least id stands for the unit
-    copies = rows.groupBy("unit").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("at")).where("n > 1").select("unit", F.col("at.id").alias("first"), F.lit(True).alias("copied"))
-    copies = saved(copies, "gram-copies")
-    side = F.broadcast(copies) if copies.count() * 24 / 1e6 <= 32 else copies
-    units = rows.join(side, "unit", "left").where(F.col("copied").isNull() | F.col("id").eqNullSafe(F.col("first")))
+    copies = saved(rows.groupBy("unit").agg(F.count("*").alias("rows"), F.count_distinct("id").alias("n"), F.min("id").alias("first")).where("rows > 1").select("unit", "n", "first"), "gram-copies")
+    units = sized_join(rows, copies, ["unit"], "left", 24).where("first IS NULL OR id = first")
     popular = spark.sparkContext.broadcast(_popularity(rows))
     total = rows.agg(F.sum(F.length("prefix")).alias("b")).first()["b"] or 0
     buckets = max(1, -(-int(total) // (6 * BUCKET_TOKENS)))
@@ -337,15 +384,16 @@ def _join(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array(_groups(batch.column("offers"), popular.value))], names=["unit", "grp"])
+            yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array(_groups(batch.column("offers"), popular.value)), batch.column("size")], names=["unit", "grp", "size"])
 
-    members = units.select("unit", "offers").mapInArrow(lean(place), "unit long, grp long")
+    members = units.select("unit", "offers", "size").mapInArrow(lean(place), "unit long, grp long, size int")
     opened = queries.select("grp").distinct()
-    roles = members.join(opened, "grp", "left_semi").select("unit", "grp", F.lit(True).alias("member")).unionByName(queries.where("NOT own").select("unit", "grp", F.lit(False).alias("member")))
-    roles = roles.groupBy("unit").agg(F.collect_set(F.struct("grp", "member")).alias("roles"))
+    roles = members.join(opened, "grp", "left_semi").select("unit", "grp", F.col("size").cast("long").alias("size"), F.lit(True).alias("member"))
+    roles = saved(roles.unionByName(queries.where("NOT own").select("unit", "grp", "size", F.lit(False).alias("member"))).distinct(), "gram-places")
+    roles = _blocks(roles, block_grams).groupBy("unit").agg(F.collect_set(F.struct("grp", "sub", "kind")).alias("roles"))
     # one document stands for its unit; its text brings the unit's roles along
-    involved = rows.select("id", "unit").groupBy("unit").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("at"))
-    involved = saved(involved.join(roles, "unit").select(F.col("at.id").alias("k"), "unit", "roles"), "gram-roles")
+    firsts = sized_join(rows.select("id", "unit"), copies, ["unit"], "left", 24).where("first IS NULL OR id = first").select("id", "unit", F.coalesce("n", F.lit(1)).alias("n")).distinct()
+    involved = saved(firsts.join(roles, "unit").select(F.col("id").alias("k"), "unit", "n", "roles"), "gram-roles")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
@@ -354,91 +402,115 @@ def _join(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float)
             fits = np.flatnonzero(units == batch.column("unit").to_numpy(zero_copy_only=False))
             found = batch.column("roles").take(pa.array(fits))
             at = np.repeat(fits, pc.list_value_length(found).to_numpy(zero_copy_only=False)).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(units[at]), pa.array([made[i].tobytes() for i in at], pa.binary()), found.flatten().field("grp"), found.flatten().field("member")], names=["unit", "grams", "grp", "member"])
+            flat = found.flatten()
+            for a in range(0, len(at), 1024):
+                own = at[a : a + 1024]
+                yield pa.RecordBatch.from_arrays([pa.array(units[own]), batch.column("n").take(pa.array(own)), pa.array([made[i].tobytes() for i in own], pa.binary()), *[flat.field(c).slice(a, len(own)) for c in ("grp", "sub", "kind")]], names=["unit", "n", "grams", "grp", "sub", "kind"])
 
-    weight = involved.select(F.sum(24 + 9 * F.size("roles")).alias("b")).first()["b"] or 0
-    picked = F.broadcast(involved) if weight / 1e6 <= 32 else involved
-    texts = source.join(picked, F.col("id").eqNullSafe(F.col("k"))).select("unit", "text", "roles")
-    grams = texts.mapInArrow(lean(sets), "unit long, grams binary, grp long, member boolean")
-    pairs = grams.groupBy("grp").applyInPandas(lambda part: _verify(part, threshold), "a long, b long, both long, jaccard double")
-    return rows, pairs
+    texts = sized_join(source.withColumnRenamed("id", "k"), involved, ["k"], "inner", 24).select("unit", "n", "text", "roles")
+    grams = texts.mapInArrow(lean(sets), "unit long, n long, grams binary, grp long, sub long, kind int")
+    return everyone, grams.groupBy("grp", "sub").applyInPandas(lambda part: verify(part, threshold), shape)
 
 
-def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: float = 0.6) -> DataFrame:
+def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 2, threshold: float = 0.6) -> DataFrame:
     """(doc_a, doc_b, docs_a, docs_b, jaccard, overlap): all pairs of different n-gram
     sets with a Jaccard similarity of at least ``threshold``. ``docs_a`` and ``docs_b``
     list the documents that have the one and the other set (any of the one is as
     similar to any of the other), ``doc_a`` < ``doc_b`` are their least ids. Documents
     with the same set have one row of similarity 1, with both lists the same and the
-    two least ids.
+    two least ids. Where copies are many, ``classes`` says the same in one row a document.
 
-    Every document is compared; nothing is capped. Defined results: null, empty and
-    tokenless texts are similar to nothing; a text of fewer than ``n`` tokens has its
-    whole token sequence as its one gram; rows with the same id and the same set
-    count once; null ids are left out of the lists.
+    Every document is compared; nothing is capped. Defined results are those of ``classes``.
     """
-    rows, pairs = _join(docs, id_col, text_col, n, threshold)
-    ids = saved(rows.where("id IS NOT NULL").groupBy("unit").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.first("size").alias("size")), "gram-ids")
+    rows, pairs = _join(docs, id_col, text_col, n, threshold, _pairs_of, "a long, b long, both long, jaccard double")
+    ids = saved(rows.where("unit IS NOT NULL").groupBy("unit").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.first("size").alias("size")), "gram-ids")
     same = ids.where(F.size("ids") > 1).select(F.element_at("ids", 1).alias("doc_a"), F.element_at("ids", 2).alias("doc_b"), F.col("ids").alias("docs_a"), F.col("ids").alias("docs_b"), F.lit(1.0).alias("jaccard"), F.col("size").cast("long").alias("overlap"))
-    weight = ids.select(F.sum(24 + 8 * F.size("ids")).alias("b")).first()["b"] or 0
-    known = F.broadcast(ids) if weight / 1e6 <= 32 else ids
-    both = pairs.join(known.select(F.col("unit").alias("a"), F.col("ids").alias("x")), "a").join(known.select(F.col("unit").alias("b"), F.col("ids").alias("y")), "b")
+    both = sized_join(pairs, ids.select(F.col("unit").alias("a"), F.col("ids").alias("x")), ["a"], "inner", 16)
+    both = sized_join(both, ids.select(F.col("unit").alias("b"), F.col("ids").alias("y")), ["b"], "inner", 16)
     swap = F.element_at("x", 1) > F.element_at("y", 1)
     both = both.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("docs_a"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("docs_b"), "jaccard", F.col("both").alias("overlap"))
     both = both.select(F.element_at("docs_a", 1).alias("doc_a"), F.element_at("docs_b", 1).alias("doc_b"), "docs_a", "docs_b", "jaccard", "overlap")
     return same.unionByName(both)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100) -> DataFrame:
-    """(node, root): connected components, the root being the least node. Every round
-    hooks each root to the least root next to it and halves the paths; each round's
-    table is written, so lineage stays short."""
-    both = saved(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct(), "edges")
-    roots = saved(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")).select(F.col("u").alias("node"), "root"), "roots")
-    for _ in range(rounds):
-        near = both.join(roots.select(F.col("node").alias("v"), F.col("root").alias("theirs")), "v").groupBy("u").agg(F.min("theirs").alias("best"))
-        hooked = roots.join(near, roots["node"] == near["u"]).select("node", F.least("root", "best").alias("root"), (F.col("best") < F.col("root")).alias("moved"))
-        jump = hooked.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        following = saved(hooked.join(jump, "root", "left").select("node", F.least("root", F.coalesce("further", "root")).alias("root"), (F.col("moved") | (F.coalesce("further", "root") < F.col("root"))).alias("moved")), "roots")
-        roots = following.select("node", "root")
-        if following.where("moved").isEmpty():
-            break
-    return roots
-
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of the nodes of ``edges`` (u, v): one node stands for each connected
+    component. Each round every node goes to the one of its neighbours and itself that
+    comes first in an order drawn anew, and the edges are those of what is left, until
+    none is: a round leaves a constant part of the nodes, whatever the shape of the
+    component, and only edges of what is left are read again."""
+    edges, r, steps = saved(edges.where("u <> v").distinct(), "edges"), 0, []
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        turn = lambda c: F.struct(F.xxhash64(c, F.lit(r)).alias("o"), F.col(c).alias("x"))  # noqa: B023, E731
+        to = saved(both.groupBy("u").agg(F.least(F.first(turn("u")), F.min(turn("v"))).alias("t")).select(F.col("u").alias("node"), F.col("t.x").alias("root")), "hooks")
+        steps.append(to)
+        moved = edges.join(to.select(F.col("node").alias("u"), F.col("root").alias("a")), "u").join(to.select(F.col("node").alias("v"), F.col("root").alias("b")), "v")
+        edges, r = saved(moved.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges"), r + 1
+    if not steps:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    follow = lambda later, step: saved(step.join(later.select(F.col("node").alias("root"), F.col("root").alias("end")), "root", "left").select("node", F.coalesce("end", "root").alias("root")), "roots")
+    return reduce(follow, reversed(steps[:-1]), steps[-1])
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 2, threshold: float = 0.6, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+    """(id, class_id, n_links) of every document: ``n_links`` is the number of other
+    documents whose n-gram set has a Jaccard similarity of at least ``threshold`` with
+    its own (1 for copies), ``class_id`` the least id of all that are connected with it
+    by such links (its own, if it has none).
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: float = 0.6) -> DataFrame:
+    Every document is compared; nothing is capped. Defined results: null, empty and
+    tokenless texts are similar to nothing; a text of fewer than ``n`` tokens has its
+    whole token sequence as its one gram; rows with the same id are one document, which
+    has the links of all its texts, and those with the same set count once; rows with a
+    null id are compared with nothing and have no row; texts of any length are compared
+    whole; an empty table gives an empty table.
+    """
+    rows, found = _join(docs, id_col, text_col, n, threshold, _links_of, "unit long, root long, links long", block_grams)
+    found = saved(found, "gram-links")
+    ids = saved(rows.select("id", "unit").distinct(), "gram-ids")
+    # the texts of a document with several belong together
+    several = ids.groupBy("id").agg(F.min("unit").alias("least"), F.max("unit").alias("most")).where("least < most").select("id", "least")
+    edges = found.select(F.col("unit").alias("u"), F.col("root").alias("v")).unionByName(ids.join(several, "id").where("unit <> least").select(F.col("unit").alias("u"), F.col("least").alias("v")))
+    roots = components(edges)
+    per_unit = ids.where("unit IS NOT NULL").groupBy("unit").agg((F.count("*") - 1).alias("copies"))
+    links = per_unit.join(found.groupBy("unit").agg(F.sum("links").alias("links")), "unit", "left").join(roots.select(F.col("node").alias("unit"), "root"), "unit", "left")
+    links = links.where("copies > 0 OR links > 0 OR root IS NOT NULL").select("unit", (F.col("copies") + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("root", "unit").alias("root"))
+    placed = saved(ids.join(links, "unit", "left"), "gram-placed")
+    least = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("least"))
+    placed = sized_join(placed, saved(least, "gram-least"), ["root"], "left", 16)
+    return placed.groupBy("id").agg(F.coalesce(F.min("least"), F.first("id")).alias("class_id"), F.coalesce(F.sum("links"), F.lit(0)).alias("n_links"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 2, threshold: float = 0.6) -> DataFrame:
     """``docs`` with one document of each group of similar ones: that with the least
-    id. Groups are connected by pairs of at least ``threshold``; a document that is
-    similar to none stays, and so do rows with a null id. Rows that repeat the id
-    that stays all stay."""
-    rows, pairs = _join(docs, id_col, text_col, n, threshold)
-    ids = saved(rows.where("id IS NOT NULL").select("id", "unit").distinct(), "gram-ids")
-    roots = components(saved(pairs.select("a", "b"), "gram-pairs"))
-    placed = ids.join(roots, ids["unit"] == roots["node"], "left").select("id", F.coalesce("root", "unit").alias("root"))
-    first = placed.groupBy("root").agg(F.min("id").alias("kept"), F.count_distinct("id").alias("size")).where("size > 1")
+    id. Groups are the classes of ``classes``; a document that is similar to none
+    stays, and so do rows with a null id. Rows that repeat the id that stays all stay."""
     k_gone = fresh(docs, "gone")[0]
-    gone = placed.join(first.select("root", "kept"), "root").where(F.col("id") != F.col("kept")).select(F.col("id").alias(k_gone)).distinct()
-    gone = saved(gone.join(first.select(F.col("kept").alias(k_gone)), k_gone, "left_anti"), "gram-gone")
-    side = F.broadcast(gone) if gone.count() * 16 / 1e6 <= 32 else gone
+    gone = saved(classes(docs, id_col, text_col, n, threshold).where(F.col("class_id") < F.col("id")).select(F.col("id").alias(k_gone)), "gram-gone")
+    side = F.broadcast(gone) if table_mb(gone, 16) <= 32 else gone
     return docs.join(side, ref(id_col) == side[k_gone], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=2)
+    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("id", "doc_id")
 
 
 SQL = r"""
-WITH w AS (
+WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}]+') AS t FROM documents WHERE text IS NOT NULL
 ), g AS (
   SELECT doc_id, CASE WHEN len(t) < 2 THEN [t[1]] ELSE list_distinct([t[i] || ' ' || t[i + 1] for i in range(1, len(t))]) END AS s FROM w WHERE len(t) > 0
-), u AS (
-  SELECT list_sort(s) AS s, list_sort(list(doc_id)) AS ids, min(doc_id) AS unit, len(list_sort(s)) AS n FROM g GROUP BY list_sort(s)
+), d AS (SELECT doc_id, list_sort(s) AS s FROM g), u AS (
+  SELECT s, min(doc_id) AS unit, count(*) AS docs, len(s) AS n FROM d GROUP BY s
 ), x AS (SELECT unit, n, unnest(s) AS gram FROM u), p AS (
-  SELECT a.unit AS a, b.unit AS b, count(*) AS both, any_value(a.n) + any_value(b.n) - count(*) AS total
+  SELECT a.unit AS a, b.unit AS b
   FROM x a JOIN x b ON a.gram = b.gram AND a.unit < b.unit GROUP BY a.unit, b.unit HAVING count(*) >= 0.6 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9
+), e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r AS (
+  SELECT unit AS node, unit AS reached FROM u UNION SELECT r.node, e.b FROM r JOIN e ON r.reached = e.a
+), c AS (SELECT node, min(reached) AS class_id FROM r GROUP BY node), l AS (
+  SELECT u.unit, any_value(u.docs) - 1 + coalesce(sum(o.docs), 0) AS links FROM u LEFT JOIN e ON u.unit = e.a LEFT JOIN u o ON e.b = o.unit GROUP BY u.unit
 )
-SELECT p.a AS doc_a, p.b AS doc_b, ua.ids AS docs_a, ub.ids AS docs_b, p.both / p.total AS jaccard, p.both AS overlap
-FROM p JOIN u ua ON p.a = ua.unit JOIN u ub ON p.b = ub.unit
-UNION ALL SELECT ids[1], ids[2], ids, ids, 1.0, n FROM u WHERE len(ids) > 1
+SELECT t.doc_id, coalesce(c.class_id, t.doc_id) AS class_id, CAST(coalesce(l.links, 0) AS BIGINT) AS n_links
+FROM documents t LEFT JOIN d USING (doc_id) LEFT JOIN u ON d.s = u.s LEFT JOIN c ON c.node = u.unit LEFT JOIN l ON l.unit = u.unit
 """

@@ -43,13 +43,13 @@ def dedup_brute(rows):
     return out
 
 
-def grams(text, n=3):
+def grams(text, n):
     w = words(text)
     return {tuple(w)} if 0 < len(w) < n else {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
 
 
-def jaccard_brute(texts, threshold=0.6):
-    sets = {i: g for i, t in texts.items() if (g := grams(t))}
+def jaccard_brute(texts, threshold=0.6, n=2):
+    sets = {i: g for i, t in texts.items() if (g := grams(t, n))}
     ids = sorted(sets)
     return {(a, b): j for k, a in enumerate(ids) for b in ids[k + 1 :] if (j := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= threshold - 1e-9}
 
@@ -221,10 +221,11 @@ def test_ann_recall(spark, sf):
         assert sum(len(got[i] & want[i]) for i in ids) / (10 * len(ids)) >= 0.9
 
 
-def test_ngram_jaccard(docs, rows):
-    want = jaccard_brute({r.doc_id: r.text for r in rows})
+@pytest.mark.parametrize("n", [2, 3])
+def test_ngram_jaccard(docs, rows, n):
+    want = jaccard_brute({r.doc_id: r.text for r in rows}, n=n)
     got = {}
-    for r in ngram_jaccard.similar_pairs(docs).collect():
+    for r in ngram_jaccard.similar_pairs(docs, n=n).collect():
         for a in r.docs_a:
             for b in r.docs_b:
                 if a != b:
@@ -232,6 +233,37 @@ def test_ngram_jaccard(docs, rows):
     assert set(got) == set(want) and all(got[p] == pytest.approx(want[p]) for p in want)
 
 
+def classes_brute(pairs, ids):
+    """id -> (least id connected, number of links)."""
+    root, links = {i: i for i in ids}, Counter()
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return {i: (find(i), links[i]) for i in ids}
+
+
+@pytest.mark.parametrize("block", [60, 2_000_000])
+def test_ngram_jaccard_classes(docs, rows, block):
+    # blocks of 60 grams: every group is opened in many parts
+    want = classes_brute(jaccard_brute({r.doc_id: r.text for r in rows}), [r.doc_id for r in rows])
+    got = {r.id: (r.class_id, r.n_links) for r in ngram_jaccard.classes(docs, block_grams=block).collect()}
+    assert got == want
+
+
+def test_components_of_a_long_chain(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1, 3000)] + [(5000, 5001), (7, 7)], "u long, v long")
+    roots = {r.node: r.root for r in ngram_jaccard.components(chain).collect()}
+    assert len({roots[i] for i in range(1, 3001)}) == 1 and roots[5000] == roots[5001] != roots[1] and len(roots) == 3002
+
+
 def density_brute(tree):
     """(tag, children or text) trees: composite text density by recursion."""
     body = [0, 0, 0, 0]

@@ -126,9 +126,12 @@ def test_ann(spark):
 def test_ngram_jaccard(docs, none):
     rows = ngram_jaccard.similar_pairs(docs).collect()
     assert [(r.doc_a, r.doc_b, r.jaccard) for r in rows] == [(7, 8, 1.0)]
+    got = {r.id: (r.class_id, r.n_links) for r in ngram_jaccard.classes(docs.unionByName(docs.where("doc_id = 7").selectExpr("2L AS doc_id", *[f"`{c}`" for c in docs.columns[1:]]))).collect()}
+    # 2 has a null text and the text of 7 and 8; rows without an id have no row
+    assert got == {1: (1, 0), 2: (2, 2), 3: (3, 0), 4: (4, 0), 5: (5, 0), 6: (6, 0), 7: (2, 2), 8: (2, 2)}
     kept = ngram_jaccard.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 1, 2, 3, 4, 5, 6, 7]
-    assert ngram_jaccard.similar_pairs(none).count() == 0 and ngram_jaccard.keep_one(none).count() == 0
+    assert ngram_jaccard.similar_pairs(none).count() == 0 and ngram_jaccard.classes(none).count() == 0 and ngram_jaccard.keep_one(none).count() == 0
 
 
 def test_html_extract(spark):

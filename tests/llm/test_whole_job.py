@@ -20,7 +20,8 @@ def test_edited_copies_are_similar_by_bigrams(spark, tmp_path):
     assert two >= 0.6 > three
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    assert [(r.doc_a, r.doc_b, round(r.jaccard, 9)) for r in ngram_jaccard.query(spark, str(tmp_path)).collect()] == [(1, 2, round(two, 9))]
+    assert [(r.doc_a, r.doc_b, round(r.jaccard, 9)) for r in ngram_jaccard.similar_pairs(docs).collect()] == [(1, 2, round(two, 9))]
+    assert sorted(tuple(r) for r in ngram_jaccard.query(spark, str(tmp_path)).collect()) == [(1, 1, 1), (2, 1, 1), (3, 3, 0)]
     assert sorted(r.doc_id for r in remove_near_duplicates(spark, docs, str(tmp_path)).collect()) == [1, 3]
 
 
