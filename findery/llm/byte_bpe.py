@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import map_arrow, ref, text_slices
+from .common import fresh, map_arrow, ref, text_slices
 
 #: Where the public vocabulary files lie; every operator takes the path as a parameter.
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -32,7 +32,8 @@ _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A coarser cut at white space; no piece of PATTERN reaches across it.
 _CHUNK = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 _PIECE = regex.compile(PATTERN.replace(r"[^\s", f"[^{_WHITE}").replace(r"\s", f"[{_WHITE}]").replace(r"\S", f"[^{_WHITE}]"))
-_CACHE = 250_000
+#: Entries after which a memo begins anew (``shorter`` has at most one for each token).
+_CACHE, _PAIRS = 150_000, 1_000_000
 _LONG = 256
 
 
@@ -198,6 +199,8 @@ class Encoder:
     def encode(self, text: str) -> np.ndarray:
         if len(self.pieces) > _CACHE:
             self.pieces.clear()
+        if len(self.compatible) > _PAIRS:
+            self.compatible.clear()
         return np.frombuffer(b"".join(map(self.pieces.__getitem__, _CHUNK.findall(text))), np.int32)
 
     def decode(self, ids) -> str:
@@ -223,12 +226,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", toke
     number and, if ``check_out`` is given, whether decoding gives the text back.
 
     Defined results: a null text has null ids, count and check; an empty text has no
-    ids. Rows are independent, so repeated rows repeat their result. Output columns
-    that clash with columns of ``docs`` are refused.
+    ids; texts of any length are encoded whole. Rows are independent, so repeated rows
+    repeat their result; an empty table gives an empty table. Outputs get underscores in
+    front where ``docs`` has a column of the name (in any case of letters).
     """
-    names = [tokens_out, count_out, *([check_out] if check_out else [])]
-    if clash := set(names) & set(docs.columns):
-        raise ValueError(f"output columns already exist: {sorted(clash)}")
+    names = fresh(docs, tokens_out, count_out, *([check_out] if check_out else []))
+    tokens_out, count_out, check_out = [*names, None][:3]
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,21 +255,20 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", toke
 def decode(encoded: DataFrame, vocabulary: Vocabulary, tokens_col: str = "tokens", text_out: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its token ids.
 
-    Null ids give a null text, no ids an empty one, and a null or unknown id among
-    others is an error; ids whose bytes are no UTF-8 decode with U+FFFD.
+    A null list gives a null text, an empty one an empty text; a null or unknown id
+    among others stands for U+FFFD, and so do bytes that are no UTF-8. The output gets
+    underscores in front where ``encoded`` has a column of the name.
     """
-    if text_out in encoded.columns:
-        raise ValueError(f"output column already exists: {text_out}")
+    (text_out,) = fresh(encoded, text_out)
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = shared.value.tokens
+        tokens, lost = shared.value.tokens, "\ufffd".encode()
         for batch in batches:
             texts = []
             for ids in batch.column(tokens_col).to_pylist():
-                if ids is not None and any(i is None or not 0 <= i < len(tokens) for i in ids):
-                    raise ValueError("ids hold one that the vocabulary lacks")
-                texts.append(None if ids is None else b"".join([tokens[i] for i in ids]).decode("utf-8", "replace"))
+                known = [] if ids is None else [lost if i is None or not 0 <= i < len(tokens) else tokens[i] for i in ids]
+                texts.append(None if ids is None else b"".join(known).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_out])
 
     return map_arrow(encoded, work, T.StructType([*encoded.schema.fields, T.StructField(text_out, T.StringType())]))

@@ -14,15 +14,22 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import map_arrow, text_slices
+from .common import fresh, map_arrow, text_slices
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_OTHER = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_VALUE = re.compile(r"=\s*$")
+#: Levels of nesting after which elements no longer nest (as in browsers).
+_DEEPEST = 512
+#: What may stand in the head; anything else ends it.
+_IN_HEAD = frozenset("title meta link script style base basefont bgsound noframes noscript template head html".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SKIP = frozenset("script style noscript template textarea title head svg iframe select".split())
 _RAW = frozenset("script style textarea title iframe".split())
@@ -33,6 +40,67 @@ _SIBLINGS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": (
 _SPACE = re.compile(r"\s+")
 
 
+def _tokens(source: str):
+    """(text, closing, name, attributes, jump) in order: a text, or a tag (with no text).
+    ``jump`` skips the content of the tag just given. Each mark is looked up in a sorted
+    list, so time grows with the page's length, whatever its markup."""
+    where = {c: [] for c in "<>\"'"}
+    for found in re.finditer("[<>\"']", source):
+        where[found[0]].append(found.start())
+    size, at = len(source), 0
+    ends: dict[str, list[tuple[int, int]]] = {}
+
+    def after(mark: str, begin: int) -> int:
+        k = bisect_left(where[mark], begin)
+        return where[mark][k] if k < len(where[mark]) else -1
+
+    def tag_end(begin: int) -> int:
+        """Where the tag that began before ``begin`` ends; quoted values may hold its mark."""
+        plain, here = after(">", begin), begin
+        while True:
+            close = after(">", here)
+            if close < 0:
+                return plain  # a quote that never ends: the first mark counts
+            quotes = [q for q in (after('"', here), after("'", here)) if 0 <= q < close]
+            if not quotes:
+                return close
+            q = min(quotes)
+            here = q + 1
+            if _VALUE.search(source, max(begin, q - 8), q):
+                shut = after(source[q], q + 1)
+                if shut < 0:
+                    return plain
+                here = shut + 1
+
+    def jump(name: str) -> None:
+        nonlocal at
+        if name not in ends:
+            ends[name] = [(m.start(), m.end()) for m in re.finditer(f"</{name}\\s*>", source, re.I)]
+        k = bisect_left(ends[name], (at, 0))
+        at = ends[name][k][1] if k < len(ends[name]) else size
+
+    text = begin = 0
+    while 0 <= (begin := after("<", begin)):
+        other = _OTHER.match(source, begin)
+        found = None if other else _NAME.match(source, begin)
+        if not other and not found:
+            begin += 1  # just a character
+            continue
+        if begin > text:
+            yield source[text:begin], False, "", "", jump
+        if other:
+            at = other.end()
+        else:
+            end = tag_end(found.end())
+            if end < 0:
+                return  # the page ends within a tag
+            at = end + 1
+            yield None, found[1] == "/", found[2].lower(), source[found.end() : end], jump
+        text = begin = at
+    if text < size:
+        yield source[text:], False, "", "", jump
+
+
 class Dom:
     """Nodes in document order (so a parent has a smaller number than its children);
     node 0 is the body. ``texts`` holds (node, text) in order; a null text is a line break."""
@@ -41,21 +109,20 @@ class Dom:
         self.parent, self.tag = [-1], ["body"]
         self.texts: list[tuple[int, str | None]] = []
         stack = [0]
-        at, skip, skipping = 0, 0, ""
-        size = len(source)
-        while at < size:
-            found = _TOKEN.search(source, at)
-            begin = found.start() if found else size
-            if begin > at and not skipping:
-                self.texts.append((stack[-1], source[at:begin]))
-            if not found:
-                break
-            at = found.end()
-            name = found[2]
-            if name is None:
+        skip, skipping = 0, ""
+        for text, closing, name, rest, jump in _tokens(source):
+            if text is not None:
+                if skipping == "head" and text.strip():
+                    skipping = ""
+                if not skipping:
+                    self.texts.append((stack[-1], text))
                 continue
-            name = name.lower()
-            closing = found[1] == "/"
+            if skipping == "head" and not closing:
+                if name in _RAW or name in ("noscript", "template"):
+                    jump(name)
+                    continue
+                if name not in _IN_HEAD:
+                    skipping = ""
             if skipping:
                 if name == skipping:
                     skip += -1 if closing else 1
@@ -75,10 +142,9 @@ class Dom:
                     self.texts.append((stack[-1], None))
                 continue
             if name in _SKIP:
-                if not found[3].rstrip().endswith("/"):
+                if not rest.rstrip().endswith("/"):
                     if name in _RAW:
-                        end = re.compile(f"</{name}\\s*>", re.I).search(source, at)
-                        at = end.end() if end else size
+                        jump(name)
                     else:
                         skipping, skip = name, 1
                 continue
@@ -87,7 +153,7 @@ class Dom:
             self.tag.append(name)
             if name in _BLOCK:
                 self.texts.append((stack[-1], None))
-            if name not in _VOID and not found[3].endswith("/"):
+            if name not in _VOID and not rest.endswith("/") and len(stack) < _DEEPEST:
                 stack.append(len(self.tag) - 1)
 
     def _imply(self, stack: list[int], name: str) -> None:
@@ -187,13 +253,14 @@ def extract(pages: DataFrame, html_col: str = "html", text_out: str = "content",
     Defined results: a null page has null text, tag and sum; an empty one, or one
     without text, has an empty text. Equal sums go to the node first in the document
     (the outer one). Broken markup is read leniently; scripts, styles, comments and
-    the head count neither as text nor as tags. Rows are independent, so repeated
-    rows repeat their result. Output columns that clash with columns of ``pages``
-    are refused.
+    the head count neither as text nor as tags; the head ends at its end tag, at the
+    body's start or at the first tag or text that can't stand in it. Elements more than
+    512 deep don't nest any further. Pages of any length are read whole, in time that
+    grows with their length. Rows are independent, so repeated rows repeat their result;
+    an empty table gives an empty table. Output columns get underscores in front where
+    ``pages`` has a column of the name (in any case of letters).
     """
-    names = [text_out, tag_out, sum_out]
-    if clash := set(names) & set(pages.columns):
-        raise ValueError(f"output columns already exist: {sorted(clash)}")
+    text_out, tag_out, sum_out = names = fresh(pages, text_out, tag_out, sum_out)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, html_col):

@@ -109,12 +109,12 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_out: st
 
     Defined results: a null or empty text, one without letters or without any known
     character has language null, confidence 0.0 and 0 words. Equal scores go to the
-    language first in alphabetical order. Rows are independent, so repeated rows
-    repeat their result; columns that clash with the three outputs are refused.
+    language first in alphabetical order. Texts of any length are scored whole. Rows are
+    independent, so repeated rows repeat their result; an empty table gives an empty
+    table. Outputs get underscores in front where ``docs`` has a column of the name (in
+    any case of letters).
     """
-    clash = {lang_out, confidence_out, words_out} & set(docs.columns)
-    if clash:
-        raise ValueError(f"output columns already exist: {sorted(clash)}")
+    lang_out, confidence_out, words_out = fresh(docs, lang_out, confidence_out, words_out)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,232 +1,180 @@
-"""Corpus-wide line deduplication with a pair of Bloom filters.
-
-Every line's hash sets bits of a filter *once*; a bit that is set again goes to
-the filter *twice*. Filters of partitions merge associatively (``twice`` gains
-what both had once), so a line that occurs twice anywhere has all its bits in
-``twice``: no repeat is missed, and a single line is suspected only by chance.
-Only suspected lines shuffle. They are confirmed by their text, and the first
-occurrence is chosen by an aggregate with map-side combine, so a line shared by
-a billion documents is no hot key.
+"""Corpus-wide line deduplication with pairs of Bloom filters.
+
+Lines are told apart by a 128-bit hash. Each task sends, for every distinct line of
+its texts, the hash and one place where it stands to the bucket of the hash; of a
+line that it sees again it already knows that it is a repeat, so a line that a
+billion documents share comes to its bucket once a task. A bucket has two Bloom
+filters: a bit that is set while it is in *once* goes to *twice*, so a line that
+comes again has all its bits in *twice*, no repeat is missed, and a single line is
+suspected only by chance. Only suspects go on: they are confirmed by their whole
+hash, the first occurrence is chosen by an aggregate with map-side combine, and the
+numbers of the lines that go are joined with the documents. Buckets, not filters,
+grow in number with the input, and it is one plan at every size.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from .common import fresh, lean, map_arrow, ref, saved, text_slices
 
-SLICE_BITS = 20
+#: Lines of a bucket (on average), and lines that a task gathers before it sends them.
+BUCKET_LINES, FLUSH_LINES = 500_000, 400_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
-def _line_hashes(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """(offsets of each text's lines, trimmed lines, hashes); a null text has one blank line."""
-    parts = pc.split_pattern(pc.fill_null(texts, ""), "\n")
+def _lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, line number, hash as two numbers) of every line that isn't blank."""
+    parts = pc.split_pattern(texts, "\n")
     ends = parts.offsets.to_numpy().astype(np.int64)
-    lines = pc.utf8_trim(parts.values.slice(int(ends[0]), int(ends[-1] - ends[0])), " ").to_pylist()
-    return ends - ends[0], lines, np.fromiter((xxh64_intdigest(x, 42) for x in lines), np.uint64, len(lines))
+    trimmed = pc.utf8_trim(parts.values.slice(int(ends[0]), int(ends[-1] - ends[0])), " ")
+    ends = ends - ends[0]
+    full = np.flatnonzero(pc.binary_length(trimmed).to_numpy(zero_copy_only=False))
+    owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))[full]
+    hashed = np.frombuffer(b"".join([xxh3_128_digest(x) for x in trimmed.take(pa.array(full)).to_pylist()]), np.uint64).reshape(-1, 2)
+    return owner, full - ends[owner], hashed
 
 
-def _text_hash(texts: list[str | None]) -> list[int | None]:
-    return [None if t is None else int(np.uint64(xxh64_intdigest(t, 42)).view(np.int64)) for t in texts]
+def _text_hash(texts: list[str]) -> np.ndarray:
+    """Spark's ``xxhash64`` of each text."""
+    return np.array([xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64)
 
 
 def _positions(hashed: np.ndarray, log_bits: int, hashes: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        spread = hashed.view(np.uint64) ^ (hashed.view(np.uint64) >> np.uint64(31))
+        spread = hashed ^ (hashed >> np.uint64(31))
         return ((spread[:, None] * _ODD[None, :hashes]) >> np.uint64(64 - log_bits)).astype(np.int64)
 
 
-def _pack(where: np.ndarray) -> bytes:
-    bits = np.zeros(1 << SLICE_BITS, np.bool_)
-    bits[where] = True
-    return zlib.compress(np.packbits(bits).tobytes(), 1)
+def suspects(chunks: list[np.ndarray], bits_per_line: int, hashes: int) -> np.ndarray:
+    """Which of the hashes are suspected to be in several chunks; each chunk has
+    distinct ones. All that are come out True, others by chance."""
+    log_bits = max(10, int(np.ceil(np.log2(max(1, sum(map(len, chunks)) * bits_per_line)))))
+    once, twice = np.zeros(1 << log_bits, bool), np.zeros(1 << log_bits, bool)
+    for chunk in chunks:
+        where = _positions(chunk, log_bits, hashes)
+        twice[where[once[where]]] = True
+        once[where] = True
+    return np.concatenate([twice[_positions(chunk, log_bits, hashes)].all(axis=1) for chunk in chunks])
 
 
-def _bits(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob), np.uint8)
-
-
-def _filters(hashed: DataFrame, log_bits: int, hashes: int) -> DataFrame:
-    """(slice, twice): the merged filter of bits set at least twice."""
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b.column(0).drop_null().to_numpy(zero_copy_only=False) for b in batches]
-        if not parts:
-            return
-        where = np.sort(_positions(np.ascontiguousarray(np.concatenate(parts)), log_bits, hashes).ravel())
-        if not len(where):
-            return
-        once, counts = np.unique(where, return_counts=True)
-        twice = once[counts > 1]
-        out: dict[str, list] = {"slice": [], "once": [], "twice": []}
-        for s in np.unique(once >> SLICE_BITS).tolist():
-            low, high = s << SLICE_BITS, (s + 1) << SLICE_BITS
-            out["slice"].append(s)
-            for name, all_ in (("once", once), ("twice", twice)):
-                a, b = np.searchsorted(all_, [low, high])
-                out[name].append(_pack(all_[a:b] - low))
-        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("slice", pa.int64()), ("once", pa.binary()), ("twice", pa.binary())]))
-
-    def merge(part: pd.DataFrame) -> pd.DataFrame:
-        once = np.zeros(1 << (SLICE_BITS - 3), np.uint8)
-        twice = once.copy()
-        for a, b in zip(part["once"], part["twice"]):
-            bits = _bits(a)
-            twice |= _bits(b) | (once & bits)
-            once |= bits
-        return pd.DataFrame({"slice": [part["slice"].iloc[0]], "twice": [zlib.compress(twice.tobytes(), 1)]})
-
-    parts = hashed.mapInArrow(lean(build), "slice long, once binary, twice binary")
-    return parts.groupBy("slice").applyInPandas(merge, "slice long, twice binary")
-
-
-def _probe(twice, log_bits: int, hashes: int):
-    """A function of hashes (an array) that says which are suspected."""
-
-    def suspected(hashed: np.ndarray) -> np.ndarray:
-        where = _positions(np.ascontiguousarray(hashed), log_bits, hashes)
-        bits = twice.value
-        return ((bits[where >> 3] >> (7 - (where & 7)).astype(np.uint8)) & 1).all(axis=1)
-
-    return suspected
-
-
-def _suspect_flags(spark: SparkSession, hashed: DataFrame, n_lines: int, bits_per_line: int, hashes: int, max_filter_mb: float):
-    """Builds the filters; None where they would pass ``max_filter_mb``."""
-    log_bits = max(SLICE_BITS, int(np.ceil(np.log2(max(1, n_lines * bits_per_line)))))
-    if (1 << log_bits) / 8e6 > max_filter_mb:
-        return None
-    bits = np.zeros(1 << (log_bits - 3), np.uint8)
-    wide = 1 << (SLICE_BITS - 3)
-    for row in _filters(hashed, log_bits, hashes).toLocalIterator():
-        bits[row["slice"] * wide : (row["slice"] + 1) * wide] = _bits(bytes(row["twice"]))
-    return _probe(spark.sparkContext.broadcast(bits), log_bits, hashes)
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, dropped_col: str | None = None, bits_per_line: int = 16, hashes: int = 4, max_filter_mb: float = 256) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, dropped_col: str | None = None, bits_per_line: int = 16, hashes: int = 4, bucket_lines: int = BUCKET_LINES) -> DataFrame:
     """``docs`` with every repeated line removed but for its first occurrence.
 
     Lines end at newlines and are compared without leading and trailing spaces.
     The first occurrence has the least (id, text hash, line number), null ids last.
     Other columns, whatever their names, pass through; ``length_col`` (if given) is
-    set to the new text's length (where lines went) and ``dropped_col`` is added with the number of
-    lines removed.
+    set to the new text's length where lines went, and ``dropped_col`` is added with
+    the number of lines removed (with underscores in front if ``docs`` has that name).
 
     Defined results: blank lines are never repeats and stay; a null text stays null
     and an empty one empty; rows with the same id and text count as one document
     and all get that document's result; a document whose lines all go keeps its
-    row, with an empty text; an empty table gives an empty table.
+    row, with an empty text; texts of any length are read whole; an empty table gives
+    an empty table. Lines are taken as equal if their 128-bit hashes are: among 10^12
+    different lines any two agree with a chance under 10^-14.
 
-    The filters take ``bits_per_line`` bits for each line and are broadcast while
-    they stay under ``max_filter_mb``; beyond that a count by hash (8 bytes a line,
-    combined on the map side) finds the suspects and a join marks them.
+    The filters take ``bits_per_line`` bits for each line; there are as many pairs of
+    them as ``bucket_lines`` asks for.
     """
-    spark = docs.sparkSession
     names = list(docs.columns)
     source = docs.select(ref(id_col).alias("id"), ref(text_col).alias("text")).where(F.col("text").isNotNull())
     kind = source.schema["id"].dataType
     arrow_kind = to_arrow_type(kind)
+    n_lines = source.select(F.sum(1 + F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))).alias("n")).first()["n"] or 0
+    buckets = max(1, -(-int(n_lines) // bucket_lines))
+    packed = pa.schema([("part", pa.int32()), ("hashes", pa.binary()), ("again", pa.binary()), ("doc", pa.binary()), ("no", pa.binary()), ("ids", pa.list_(arrow_kind)), ("ths", pa.list_(pa.int64()))])
+
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            base = np.cumsum([0, *[len(x[0]) for x in held]])
+            ids, ths = pa.concat_arrays([x[0] for x in held]), np.concatenate([x[1] for x in held])
+            doc = np.concatenate([x[2] + b for x, b in zip(held, base)]).astype(np.int32)
+            no, hashed = np.concatenate([x[3] for x in held]).astype(np.int32), np.concatenate([x[4] for x in held])
+            held.clear()
+            order = np.lexsort((hashed[:, 1], hashed[:, 0]))
+            hashed, doc, no = hashed[order], doc[order], no[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (hashed[1:] != hashed[:-1]).any(axis=1)
+            again = np.diff(np.append(np.flatnonzero(new), len(order))) > 1
+            first = (hashed[new, 0] % np.uint64(buckets)).astype(np.int32)
+            # what stands here again is a repeat for sure and passes its bucket by
+            part = np.empty(len(order), np.int32)
+            part[new], part[~new] = first, buckets + (hashed[~new, 1] % np.uint64(buckets)).astype(np.int32)
+            flags = np.ones(len(order), bool)
+            flags[new] = again
+            order = np.argsort(part, kind="stable")
+            cuts = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(order))
+            for a, b in zip(cuts, cuts[1:]):
+                at = order[a:b]
+                used, short = np.unique(doc[at], return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array([part[at[0]]], pa.int32()), *[pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in (hashed[at], flags[at], short.astype(np.int32), no[at])], pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), ids.take(pa.array(used))), pa.array([ths[used].tolist()], pa.list_(pa.int64()))], schema=packed)
 
-    def hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text"):
-            _, lines, hashed = _line_hashes(batch.column("text"))
-            full = np.array([x != "" for x in lines], bool)
-            yield pa.RecordBatch.from_arrays([pa.array(hashed[full].view(np.int64))], names=["h"])
-
-    hashed = saved(source.select("text").mapInArrow(lean(hash_lines), "h long"), "line-hashes")
-    suspected = _suspect_flags(spark, hashed, hashed.count(), bits_per_line, hashes, max_filter_mb)
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
-            ends, lines, hashed = _line_hashes(batch.column("text"))
-            flags = np.ones(len(lines), bool) if suspected is None else suspected(hashed)
-            at = [k for k in np.flatnonzero(flags).tolist() if lines[k] != ""]
-            rows = np.searchsorted(ends, at, "right") - 1
-            th = np.array(_text_hash(batch.column("text").to_pylist()), np.int64)
-            columns = [batch.column("id").take(pa.array(rows)).cast(arrow_kind), pa.array(th[rows], pa.int64()), pa.array((np.array(at, np.int64) - ends[rows]).astype(np.int32)), pa.array([lines[k] for k in at], pa.string()), pa.array(hashed[at].view(np.int64), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "no", "line", "h"])
-
-    suspects = source.mapInArrow(lean(find), T.StructType([T.StructField("id", kind), T.StructField("th", T.LongType()), T.StructField("no", T.IntegerType()), T.StructField("line", T.StringType()), T.StructField("h", T.LongType())]))
-    if suspected is None:
-        suspects = suspects.join(hashed.groupBy("h").count().where("count > 1").select("h"), "h", "left_semi")
-    first = suspects.groupBy("line").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th", "no")).alias("at"))
+            owner, no, hashed = _lines(batch.column("text"))
+            if len(owner):
+                held.append((batch.column("id").cast(arrow_kind), _text_hash(batch.column("text").to_pylist()), owner, no, hashed))
+            if sum(len(x[2]) for x in held) >= FLUSH_LINES:
+                yield from flush()
+        if held:
+            yield from flush()
+
+    def judge(part: pd.DataFrame) -> pd.DataFrame:
+        hashed = [np.frombuffer(x, np.uint64).reshape(-1, 2) for x in part["hashes"]]
+        again = np.concatenate([np.frombuffer(x, bool) for x in part["again"]])
+        if part["part"].iloc[0] < buckets:
+            again = again | suspects([h[:, 0] for h in hashed], bits_per_line, hashes)
+        base = np.cumsum([0, *[len(x) for x in part["ids"]]])
+        doc = np.concatenate([np.frombuffer(x, np.int32) + b for x, b in zip(part["doc"], base)])[again]
+        no, both = np.concatenate([np.frombuffer(x, np.int32) for x in part["no"]])[again], np.concatenate(hashed)[again].view(np.int64)
+        ids = pd.Series([i for x in part["ids"] for i in x], dtype=object)
+        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1], "id": ids.iloc[doc].to_numpy(), "th": np.concatenate([np.asarray(x, np.int64) for x in part["ths"]])[doc], "no": no})
+
+    shape = T.StructType([T.StructField("part", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in ("hashes", "again", "doc", "no")], T.StructField("ids", T.ArrayType(kind)), T.StructField("ths", T.ArrayType(T.LongType()))])
+    found = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("id", kind), T.StructField("th", T.LongType()), T.StructField("no", T.IntegerType())])
+    suspected = saved(source.mapInArrow(lean(scatter), shape).groupBy("part").applyInPandas(judge, found), "line-suspects")
+    first = suspected.groupBy("a", "b").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th", "no")).alias("at"))
     # a suspect that occurs once is its own first occurrence, so what goes is every suspect but these
-    k_id, k_th, k_key, k_keep, k_gone = fresh(docs, "k_id", "k_th", "k_key", "k_keep", "k_gone")
-    keep = first.groupBy(F.col("at.id").alias(k_id), F.col("at.th").alias(k_th)).agg(F.collect_set("at.no").alias(k_keep))
-
-    def having(suspects: bool):
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in text_slices(batches, text_col):
-                ends, lines, hashed = _line_hashes(batch.column(text_col))
-                flags = suspected(hashed) & np.array([x != "" for x in lines], bool)
-                counts = np.concatenate([[0], np.cumsum(flags)])
-                own = (counts[ends[1:]] - counts[ends[:-1]] > 0) == suspects
-                out = batch.filter(pa.array(own))
-                if suspects:
-                    out = out.append_column(k_key, pa.array(_text_hash(out.column(text_col).to_pylist()), pa.int64()))
-                yield out
-
-        return work
-
-    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    k_id, k_th, k_key, k_gone, k_count = fresh(docs, "k_id", "k_th", "k_key", "k_gone", "k_count")
+    both = suspected.select("id", "th", "no", F.lit(False).alias("stays")).unionByName(first.select("at.id", "at.th", "at.no", F.lit(True).alias("stays")))
+    gone = both.groupBy("id", "th", "no").agg(F.max("stays").alias("stays")).where("NOT stays").groupBy("id", "th").agg(F.collect_list("no").alias(k_gone))
+    gone = gone.select(F.col("id").alias(k_id), F.col("th").alias(k_th), ref(k_gone))
+    keyed = docs.withColumn(k_key, F.when(ref(text_col).isNotNull(), F.xxhash64(ref(text_col))))
+    joined = keyed.join(gone, ref(id_col).eqNullSafe(ref(k_id)) & (ref(k_key) == ref(k_th)), "left").select(*[ref(c) for c in names], ref(k_gone))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, text_col):
-            ends, lines, hashed = _line_hashes(batch.column(text_col))
-            flags = suspected(hashed) & np.array([x != "" for x in lines], bool)
-            gone, texts = [], []
-            for i, (text, kept) in enumerate(zip(batch.column(text_col).to_pylist(), batch.column(k_keep).to_pylist())):
-                drop = flags[ends[i] : ends[i + 1]].copy()
-                if kept:
-                    drop[kept] = False
-                n = int(drop.sum())
-                gone.append(n)
-                texts.append("\n".join([x for x, d in zip(text.split("\n"), drop) if not d]) if n else text)
-            columns = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.int32())], names=[*names, k_gone])
-
-    def finish(df: DataFrame, gone: Column, changed: bool) -> DataFrame:
-        length = F.length(ref(text_col)).cast("long")
-        out = [length.alias(c) if changed and c == length_col else ref(c) for c in docs.columns]
-        return df.select(*out, *([gone.cast("int").alias(dropped_col)] if dropped_col else []))
-
-    if suspected is None:
-        # without filters: mark the lines by number
-        lost = suspects.join(first, "line").where(~(F.col("id").eqNullSafe(F.col("at.id")) & (F.col("th") == F.col("at.th")) & (F.col("no") == F.col("at.no"))))
-        lost = lost.groupBy(F.col("id").alias(k_id), F.col("th").alias(k_th)).agg(F.collect_set("no").alias(k_keep))
-        joined = docs.withColumn(k_key, F.xxhash64(ref(text_col))).join(lost, ref(id_col).eqNullSafe(ref(k_id)) & (ref(k_key) == ref(k_th)), "left")
-
-        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in text_slices(batches, text_col):
-                texts = batch.column(text_col).to_pylist()
-                numbers = [set(x or ()) for x in batch.column(k_keep).to_pylist()]
-                texts = ["\n".join([x for i, x in enumerate(t.split("\n")) if i not in gone]) if gone else t for t, gone in zip(texts, numbers)]
-                columns = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in names]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([len(x) for x in numbers], pa.int32())], names=[*names, k_gone])
-
-        done = map_arrow(joined.select(*[ref(c) for c in docs.columns], ref(k_keep)), cut, T.StructType([*docs.schema.fields, T.StructField(k_gone, T.IntegerType())]))
-        return finish(done, ref(k_gone), True)
-
-    plain = map_arrow(docs, having(False), docs.schema)
-    marked = map_arrow(docs, having(True), T.StructType([*docs.schema.fields, T.StructField(k_key, T.LongType())]))
-    joined = marked.join(keep, ref(id_col).eqNullSafe(ref(k_id)) & (ref(k_key) == ref(k_th)), "left").select(*[ref(c) for c in docs.columns], ref(k_keep))
-    done = map_arrow(joined, rewrite, T.StructType([*docs.schema.fields, T.StructField(k_gone, T.IntegerType())]))
-    return finish(plain, F.lit(0), False).unionByName(finish(done, ref(k_gone), True))
+            counts = pc.fill_null(pc.list_value_length(batch.column(k_gone)), 0).cast(pa.int32())
+            texts = batch.column(text_col)
+            some = np.flatnonzero(counts.to_numpy())
+            if len(some):
+                texts = texts.to_pylist()
+                for i in some.tolist():
+                    drop = set(batch.column(k_gone)[i].as_py())
+                    texts[i] = "\n".join([x for no, x in enumerate(texts[i].split("\n")) if no not in drop])
+                texts = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([*[texts if c == text_col else batch.column(c) for c in names], counts], names=[*names, k_count])
+
+    done = map_arrow(joined, cut, T.StructType([*docs.schema.fields, T.StructField(k_count, T.IntegerType())]))
+    length = lambda c: F.when(ref(k_count) > 0, F.length(ref(text_col))).otherwise(ref(c)).cast(docs.schema[c].dataType).alias(c)
+    return done.select(*[length(c) if c == length_col else ref(c) for c in names], *([ref(k_count).alias(fresh(docs, dropped_col)[0])] if dropped_col else []))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return dedup_lines(docs, dropped_col="n_dropped").select("doc_id", "text", "n_dropped")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return dedup_lines(docs, dropped_col="n_dropped")
 
 
 SQL = r"""

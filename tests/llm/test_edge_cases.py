@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, repeats, empty tables and clashing names: every operator."""
 
+import time
+
 import pytest
 
 from findery.llm import ann, byte_bpe, decontamination, html_extract, language_id, license_scan, line_dedup, lm_scoring, ngram_jaccard, toxicity
@@ -42,8 +44,12 @@ def test_line_dedup(docs, none):
     assert by[5] == [(LONG, 0)]
     assert line_dedup.dedup_lines(docs).columns == docs.columns
     assert line_dedup.dedup_lines(none, dropped_col="n").count() == 0
-    # without filters (they would be too large) the result is the same
-    again = line_dedup.dedup_lines(docs, dropped_col="n", max_filter_mb=0).collect()
+    clash = line_dedup.dedup_lines(docs, length_col="h", dropped_col="GONE")
+    assert clash.columns == [*docs.columns, "_GONE"]
+    # the length is set only where lines went
+    assert {(r.doc_id, r.h) for r in clash.collect() if r.doc_id in (5, 8, None)} == {(5, 2), (8, 0), (None, 5)}
+    # with many buckets the result is the same
+    again = line_dedup.dedup_lines(docs, dropped_col="n", bucket_lines=3).collect()
     key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "", r.n)
     assert sorted(map(key, out)) == sorted(map(key, again))
 
@@ -57,8 +63,13 @@ def test_language_id(docs, none, labelled, spark):
     assert language_id.identify(none, model).count() == 0
     empty = language_id.fit(labelled.where("false"))
     assert {r.pred_lang for r in language_id.identify(docs, empty).collect()} == {None}
-    with pytest.raises(ValueError):
-        language_id.identify(docs.withColumnRenamed("h", "pred_lang"), model)
+    clash = docs.withColumnRenamed("h", "Pred_Lang").withColumnRenamed("gone", "confidence")
+    out = language_id.identify(clash, model)
+    assert out.columns == [*clash.columns, "_pred_lang", "_confidence", "n_words"] and out.count() == docs.count()
+    # the very long text is English words in part; equal scores go to the first language
+    tied = spark.createDataFrame([(1, "katze cat"), (2, "katze cat"), (3, "cat katze")], "doc_id long, text string")
+    even = language_id.fit(spark.createDataFrame([(1, "katze cat", "de"), (2, "katze cat", "en")], "doc_id long, text string, lang string"))
+    assert {r.pred_lang for r in language_id.identify(tied, even).collect()} == {"de"}
 
 
 def test_lm_scoring(docs, none):
@@ -81,7 +92,7 @@ def test_decontamination(docs, none, spark):
     assert decontamination.decontaminate(docs, tests.where("false")).count() == docs.count()
 
 
-def test_byte_bpe(docs, none):
+def test_byte_bpe(docs, none, spark):
     vocabulary = byte_bpe.load()
     rows = byte_bpe.encode(docs, vocabulary, check_out="ok").collect()
     by = {r.doc_id: r for r in rows}
@@ -90,8 +101,14 @@ def test_byte_bpe(docs, none):
     back = byte_bpe.decode(byte_bpe.encode(docs, vocabulary), vocabulary)
     assert all(r.decoded == r.text for r in back.collect())
     assert byte_bpe.encode(none, vocabulary).count() == 0
-    with pytest.raises(ValueError):
-        byte_bpe.encode(docs.withColumnRenamed("h", "tokens"), vocabulary)
+    clash = docs.withColumnRenamed("h", "Tokens").withColumnRenamed("gone", "decoded")
+    encoded = byte_bpe.encode(clash, vocabulary)
+    assert encoded.columns == [*clash.columns, "_tokens", "n_tokens"]
+    back = byte_bpe.decode(encoded, vocabulary, "_tokens")
+    assert back.columns == [*encoded.columns, "_decoded"] and all(r._decoded == r.text for r in back.collect())
+    odd = spark.createDataFrame([([None, 0, -1, 10**9],), (None,), ([],)], "tokens array<int>")
+    first = vocabulary.tokens[0].decode("utf-8", "replace")
+    assert [r.decoded for r in byte_bpe.decode(odd, vocabulary).collect()] == ["\ufffd" + first + "\ufffd\ufffd", None, ""]
 
 
 def test_license_scan(docs, none, spark):
@@ -139,5 +156,28 @@ def test_html_extract(spark):
     got = {r.page_id: r.content for r in html_extract.extract(pages).collect()}
     assert got == {1: None, 2: "", 3: "", 4: "broken markup", 5: "deep"}
     assert html_extract.extract(pages.where("false")).count() == 0
-    with pytest.raises(ValueError):
-        html_extract.extract(pages.withColumnRenamed("page_id", "content"))
+    clash = html_extract.extract(pages.withColumnRenamed("page_id", "Content"))
+    assert clash.columns == ["Content", "html", "_content", "content_tag", "density_sum"] and clash.count() == 6
+
+
+@pytest.mark.parametrize(
+    ("page", "content"),
+    [
+        ("<html><head><title>t</title><p>Hello world", "Hello world"),
+        ("<title>t</title>Bare text<p>more", "Bare text\nmore"),
+        ("<head><script>if (a < b) x()</script><style>p > a {}</style><body><p>one two three", "one two three"),
+        ("<p x='a>b'>kept</p>", "kept"),
+        ("<p x=\">an odd quote</p>", "an odd quote"),
+        ("a < b and c > d", "a < b and c > d"),
+        ("<p>cut off <a hr", "cut off"),
+    ],
+)
+def test_html_markup_that_browsers_take(page, content):
+    assert html_extract.extract_one(page)[0] == content
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a \"", "<a =\"", "<p =\"x>", "<p><b>", "</p><b>", "<!-", "<script>", "<a ='\">", "</div><p>"])
+def test_html_time_grows_with_the_length(part):
+    began = time.perf_counter()
+    html_extract.extract_one("<p><div>" + part * 20_000)
+    assert time.perf_counter() - began < 10
