@@ -8,7 +8,9 @@ of the token's class after its predecessor's and of the word within its class.
 Texts are tokenised once, into slices of word codes that are written to the shared
 folder; every later pass reads those. A round of clustering counts, by map-side
 aggregation, the classes left and right of each word of one part of the vocabulary,
-shuffles these sparse counts by word, and moves the words of that part together.
+shuffles these sparse counts by word, and moves the words of that part together. Counts
+are summed as they stream in, so a task holds its words' sums, however many slices
+send some.
 """
 
 from __future__ import annotations
@@ -17,14 +19,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import mix, ref, saved, segment_sum, text_slices, tokens, word_hashes
+from .common import lean, mix, ref, saved, segment_sum, text_slices, tokens, word_hashes
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -55,7 +56,7 @@ def encode_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array([batch.column("id").to_pylist()], arrow.field("ids").type), pa.array([sizes.tolist()], pa.list_(pa.int32())), pa.array([_pack(hashes)], pa.binary()), pa.array([_pack(rank[codes])], pa.binary())], schema=arrow)
 
     shape = T.StructType([T.StructField("ids", T.ArrayType(kind)), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("words", T.BinaryType()), T.StructField("codes", T.BinaryType())])
-    return saved(source.mapInArrow(work, shape), "lm-slices")
+    return saved(source.mapInArrow(lean(work), shape), "lm-slices")
 
 
 def count_words(slices: DataFrame) -> DataFrame:
@@ -73,7 +74,7 @@ def count_words(slices: DataFrame) -> DataFrame:
             words, n = words[n > 0], n[n > 0]  # a slice may list a word (the empty one) that no token is
             yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(n)], names=["word", "n"])
 
-    return saved(slices.mapInArrow(work, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
+    return saved(slices.mapInArrow(lean(work), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
 
 
 class _Classes:
@@ -155,7 +156,7 @@ def class_bigrams(lookup: _Classes, classes: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["cell", "n"])
 
     out = np.zeros(k * k, np.int64)
-    for row in lookup.slices.mapInArrow(work, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most k * k
+    for row in lookup.slices.mapInArrow(lean(work), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most k * k
         out[row["cell"]] = row["n"]
     return out.reshape(k, k)
 
@@ -238,20 +239,30 @@ def _round(lookup: _Classes, pairs: np.ndarray, classes: int, part: int, parts:
                         at = slice(int(ends[a]), int(ends[b]))
                         yield pa.RecordBatch.from_pydict({"bucket": [s], "words": [_pack(hashes[order[a:b]])], "class": [_pack(classed[order[a:b]].astype(np.uint16))], "sizes": [_pack(sizes[a:b].astype(np.uint16))], "context": [_pack(context[at])], "counts": [_pack(n[at].astype(np.int32))]}, schema=schema)
 
-    def move(part: pd.DataFrame) -> pd.DataFrame:
-        words = np.concatenate([_unpack(x, np.int64) for x in part["words"]])
-        current = np.concatenate([_unpack(x, np.uint16) for x in part["class"]]).astype(np.int64)
-        sizes = np.concatenate([_unpack(x, np.uint16) for x in part["sizes"]]).astype(np.int64)
-        context = np.concatenate([_unpack(x, np.uint16) for x in part["context"]]).astype(np.int64)
-        counts = np.concatenate([_unpack(x, np.int32) for x in part["counts"]])
+    def summed(parts: list[tuple]) -> tuple:
+        """(words, classes, contexts a word, contexts, counts) of all parts."""
+        words, current, sizes, context, counts = map(np.concatenate, zip(*parts))
         distinct, first, who = np.unique(words, return_index=True, return_inverse=True)
         keys, at = np.unique(np.repeat(who, sizes) * 2 * k + context, return_inverse=True)
-        n = np.bincount(at, weights=counts)
-        best = _moves(distinct, np.bincount(keys // (2 * k), minlength=len(distinct)), keys % (2 * k), n, current[first], pairs, classes)
-        return pd.DataFrame({"word": distinct, "class": best})
+        return distinct, current[first], np.bincount(keys // (2 * k), minlength=len(distinct)), (keys % (2 * k)).astype(np.uint16), np.bincount(at, weights=counts).astype(np.int64)
 
-    rows = lookup.slices.mapInArrow(count, "bucket int, words binary, class binary, sizes binary, context binary, counts binary")
-    return rows.groupBy("bucket").applyInPandas(move, "word long, class int")
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
+        waiting = 0
+        for batch in batches:
+            for row in zip(*[batch.column(c).to_pylist() for c in ("words", "class", "sizes", "context", "counts")]):
+                words, current, sizes, context, counts = [_unpack(x, kind) for x, kind in zip(row, (np.int64, np.uint16, np.uint16, np.uint16, np.int32))]
+                parts.append((words, current, sizes.astype(np.int64), context, counts.astype(np.int64)))
+                waiting += len(context)
+                if waiting > 1_000_000:
+                    parts, waiting = [summed(parts)], 0
+        if parts:
+            words, current, sizes, context, counts = summed(parts)
+            best = _moves(words, sizes, context.astype(np.int64), counts, current.astype(np.int64), pairs, classes)
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(best, pa.int32())], names=["word", "class"])
+
+    rows = lookup.slices.mapInArrow(lean(count), "bucket int, words binary, class binary, sizes binary, context binary, counts binary")
+    return rows.repartition(buckets, "bucket").mapInArrow(lean(move), "word long, class int")
 
 
 def cluster(slices: DataFrame, counts: DataFrame, classes: int = 64, min_count: int = 5, sweeps: int = 3, parts: int = 2, limit_mb: float = 128) -> DataFrame:
@@ -262,7 +273,7 @@ def cluster(slices: DataFrame, counts: DataFrame, classes: int = 64, min_count:
     """
     begin = F.pmod(F.xxhash64("word"), F.lit(classes)).cast("int")
     table = saved(counts.where(F.col("n") >= min_count).select("word", "n", begin.alias("class")), "lm-classes")
-    buckets = max(1, -(-table.count() // 20_000))
+    buckets = max(1, -(-table.count() // 5_000))
     for r in range(sweeps * parts):
         lookup = _Classes(slices, table.withColumn("emission", F.lit(0.0)), limit_mb)
         pairs = class_bigrams(lookup, classes)
@@ -283,7 +294,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", class
 
     Defined results: a null text has null figures; one without tokens has 0 tokens, a
     log probability of 0 and no perplexity; repeated rows count each time and repeat
-    their result; an empty table gives an empty table.
+    their result; texts of any length are scored whole; an empty table gives an empty
+    table; a word that would gain as much in several classes goes to the first of them.
     """
     slices = encode_words(docs, id_col, text_col)
     counts = count_words(slices)
@@ -322,7 +334,7 @@ def _score(lookup: _Classes, transitions: np.ndarray, rare: float, classes: int)
                 yield pa.RecordBatch.from_arrays([batch.column("ids")[i].values.cast(arrow), pa.array(sizes, pa.int64(), mask=gone), pa.array(total, pa.float64(), mask=gone), pa.array(perplexity, pa.float64(), mask=sizes <= 0)], names=["id", "n_tokens", "log_prob", "perplexity"])
 
     shape = T.StructType([T.StructField("id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("log_prob", T.DoubleType()), T.StructField("perplexity", T.DoubleType())])
-    return lookup.slices.mapInArrow(work, shape)
+    return lookup.slices.mapInArrow(lean(work), shape)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
