@@ -6,7 +6,8 @@ whole shard, with a gap between documents, so a phrase is found by intersecting
 lists shifted by the terms' offsets in the phrase, from the rarest term on, and
 never crosses from one document to another. Building needs no shuffle, and the
 stored index serves any later benchmark. A query sends to each shard only the
-lists of terms that the benchmark has.
+lists of terms that the benchmark has, and the windows of tests whose rarest term
+the shard holds.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import lean, ref, saved, sized_join, text_slices, tokens
+from .common import lean, ref, saved, sized_join, table_mb, text_slices, tokens
 
 #: Tokens of a shard after which the next one begins; empty positions between documents.
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 1_000_000
 GAP = 64
 
 
@@ -157,9 +158,13 @@ def find(index: DataFrame, tests: DataFrame, test_id: str = "item_id", test_text
     ``rare`` distinct terms is matched by phrase only.
 
     Rows with the same id count as one document, and tests with the same id as one
-    test; null texts have no tokens; null ids are ids like others.
+    test; null texts have no tokens; null ids are ids like others; texts of any length
+    are indexed and matched whole; of equally rare terms the alphabetically first leads;
+    without documents or tests nothing is found. A window with ``slack`` must fit into
+    the gap between documents, or it is an error.
     """
-    spark = index.sparkSession
+    if n + slack >= GAP:
+        raise ValueError(f"n + slack must be under {GAP}")
     queries = tests.select(ref(test_id).alias("test"), ref(test_text).alias("text")).where("text IS NOT NULL")
     test_type = queries.schema["test"].dataType
     id_type = index.schema["ids"].dataType.elementType
@@ -170,24 +175,31 @@ def find(index: DataFrame, tests: DataFrame, test_id: str = "item_id", test_text
             spelled = [[words[c] for c in codes[ends[i] : ends[i + 1]].tolist()] for i in range(len(ends) - 1)]
             yield pa.RecordBatch.from_arrays([batch.column("test"), pa.array(spelled, pa.list_(pa.string()))], names=["test", "words"])
 
-    worded = saved(queries.mapInArrow(split, T.StructType([T.StructField("test", test_type), T.StructField("words", T.ArrayType(T.StringType()))])).where(F.size("words") >= min_tokens), "tests")
-    terms = saved(worded.select(F.explode("words").alias("term")).distinct(), "test-terms")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("term", pa.string()), ("key", pa.string()), ("window", pa.list_(pa.string())), ("totals", pa.list_(pa.int64()))])
+        for batch in batches:
+            for key, words, known in zip(*[batch.column(c).to_pylist() for c in ("key", "words", "known")]):
+                totals = {x["term"]: x["total"] for x in known}
+                made = [w for _, w in windows(words, n)]
+                leads = [min(w, key=lambda t: (totals[t], t)) for w in made]  # noqa: B023
+                yield pa.RecordBatch.from_pydict({"term": leads, "key": [key] * len(made), "window": made, "totals": [[totals[t] for t in w] for w in made]}, schema=schema)
+
+    worded = queries.mapInArrow(split, T.StructType([T.StructField("test", test_type), T.StructField("words", T.ArrayType(T.StringType()))])).where(F.size("words") >= min_tokens)
+    worded = saved(worded.withColumn("key", F.xxhash64("test", "words").cast("string")), "tests")
+    each = worded.select("key", "words").dropDuplicates(["key"])
+    parts = each.select("key", F.explode(F.array_distinct("words")).alias("term"))
+    terms = saved(parts.select("term").distinct(), "test-terms")
     lists = sized_join(index.where("term IS NOT NULL"), terms, ["term"], "left_semi", 24)
     counts = saved(lists.groupBy("term").agg(F.sum("n").alias("total")), "test-counts")
-    # the test side goes to every shard; its size is the benchmark's, not the corpus's
-    packed = [(r["test"], r["words"]) for r in worded.toLocalIterator()]
-    totals = {r["term"]: r["total"] for r in counts.toLocalIterator()}
-    shared = spark.sparkContext.broadcast((packed, totals))
+    known = parts.join(counts, "term", "left").groupBy("key").agg(F.collect_list(F.struct("term", F.coalesce("total", F.lit(0)).alias("total"))).alias("known"))
+    made = saved(each.join(known, "key").mapInArrow(cut, "term string, key string, window array<string>, totals array<long>"), "test-windows")
+    routed = sized_join(lists.select("shard", "term"), made, ["term"], "inner", 32).select("shard", "key", "window", "totals")
 
     def match(part: pd.DataFrame) -> pd.DataFrame:
-        packed, totals = shared.value
-        ids = starts = None
-        blobs: dict[str, bytes] = {}
-        for term, blob, own, first in zip(part["term"], part["positions"], part["ids"], part["starts"]):
-            if term is None:
-                ids, starts = list(own), np.asarray(first, np.int64)
-            else:
-                blobs[term] = blob
+        head = part["starts"].first_valid_index()
+        ids, starts = list(part["ids"][head]), np.asarray(part["starts"][head], np.int64)
+        own = part[part["term"].notna()]
+        blobs: dict[str, bytes] = dict(zip(own["term"], own["positions"]))
         opened: dict[str, np.ndarray] = {}
 
         def positions(term: str) -> np.ndarray:
@@ -195,57 +207,51 @@ def find(index: DataFrame, tests: DataFrame, test_id: str = "item_id", test_text
                 opened[term] = _unpack(blobs[term])
             return opened[term]
 
-        rows = []
-        for test, words in packed:
-            found: dict[tuple[int, str], list[int]] = {}
-            for begin, window in windows(words, n):
-                offsets: dict[str, int] = {}
-                for i, w in enumerate(window):
-                    offsets.setdefault(w, i)
-                order = sorted(offsets, key=lambda w: (totals.get(w, 0), w))
-                lead = order[0]
-                if lead not in blobs:
-                    # the rarest term is not here: no phrase, and no proximity to it
-                    continue
-                anchors = positions(lead) - offsets[lead]
-                exact = anchors
-                for w, i in sorted(((w, i) for i, w in enumerate(window)), key=lambda x: (totals.get(x[0], 0), x[1])):
-                    if not len(exact):
+        found: dict[tuple[int, str, str], list[int]] = {}
+        asked = part[part["key"].notna()]
+        for key, window, totals in zip(asked["key"], asked["window"], asked["totals"]):
+            offsets: dict[str, int] = {}
+            for i, w in enumerate(window):
+                offsets.setdefault(w, i)
+            rank = dict(zip(window, totals))
+            order = sorted(offsets, key=lambda w: (rank[w], w))
+            lead = order[0]
+            anchors = positions(lead) - offsets[lead]
+            exact = anchors
+            for w, i in sorted(((w, i) for i, w in enumerate(window)), key=lambda x: (rank[x[0]], x[1])):
+                if not len(exact):
+                    break
+                exact = exact[_near(positions(w), exact + i, 0)] if w in blobs else exact[:0]
+            near = anchors[:0]
+            if len(order) >= rare:
+                near = anchors
+                for w in order[1:rare]:
+                    if not len(near):
                         break
-                    exact = exact[_near(positions(w), exact + i, 0)] if w in blobs else exact[:0]
-                near = anchors[:0]
-                if len(order) >= rare:
-                    near = anchors
-                    for w in order[1:rare]:
-                        if not len(near):
-                            break
-                        near = near[_near(positions(w), near + offsets[w], slack)] if w in blobs else near[:0]
-                for kind, hits in (("phrase", exact), ("proximity", near)):
-                    if len(hits):
-                        lead_at = hits + offsets[lead]
-                        docs = np.searchsorted(starts, lead_at, "right") - 1
-                        for d in np.unique(docs).tolist():
-                            at = int((hits[docs == d] - starts[d]).min())
-                            entry = found.setdefault((d, kind), [0, at])
-                            entry[0] += 1
-                            entry[1] = min(entry[1], at)
-            for (d, kind), (count, at) in found.items():
-                if kind == "phrase" or (d, "phrase") not in found:
-                    rows.append((ids[d], test, kind, count, max(0, at)))
-        return pd.DataFrame(rows, columns=["id", "test", "kind", "windows", "first_token"]).astype({"windows": "int64", "first_token": "int64"})
-
-    heads = index.where("term IS NULL")
-    shape = T.StructType([T.StructField("id", id_type), T.StructField("test", test_type), T.StructField("kind", T.StringType()), T.StructField("windows", T.LongType()), T.StructField("first_token", T.LongType())])
-    hits = lists.unionByName(heads).groupBy("shard").applyInPandas(match, shape)
-    best = hits.groupBy("id", "test").agg(F.min("kind").alias("kind"), F.max(F.struct(F.col("kind") == "phrase", "windows")).alias("w"), F.min("first_token").alias("first_token"))
-    return best.select("id", "test", "kind", F.col("w.windows").alias("windows"), "first_token")
+                    near = near[_near(positions(w), near + offsets[w], slack)] if w in blobs else near[:0]
+            for kind, hits in (("phrase", exact), ("proximity", near)):
+                if len(hits):
+                    docs, first = np.unique(np.searchsorted(starts, hits + offsets[lead], "right") - 1, return_index=True)
+                    for d, at in zip(docs.tolist(), (hits[first] - starts[docs]).tolist()):  # hits are in order
+                        entry = found.setdefault((d, key, kind), [0, at])
+                        entry[0] += 1
+                        entry[1] = min(entry[1], at)
+        rows = [(ids[d], key, kind, count, max(0, at)) for (d, key, kind), (count, at) in found.items() if kind == "phrase" or (d, key, "phrase") not in found]
+        return pd.DataFrame(rows, columns=["id", "key", "kind", "windows", "first_token"]).astype({"windows": "int64", "first_token": "int64"})
+
+    shape = T.StructType([T.StructField("id", id_type), T.StructField("key", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("windows", T.LongType()), T.StructField("first_token", T.LongType())])
+    everything = lists.select("shard", "term", "positions").unionByName(index.where("term IS NULL").select("shard", "ids", "starts"), allowMissingColumns=True).unionByName(routed, allowMissingColumns=True)
+    hits = sized_join(everything.groupBy("shard").applyInPandas(match, shape), worded.select("key", "test").distinct(), ["key"], "inner", 40)
+    best = hits.groupBy("id", "test").agg(F.min("kind").alias("kind"), F.max(F.struct(F.col("kind") == "phrase", "windows")).alias("w"), F.min(F.struct(F.col("kind") == "proximity", "first_token")).alias("f"))
+    return best.select("id", "test", "kind", F.col("w.windows").alias("windows"), F.col("f.first_token").alias("first_token"))
 
 
 def decontaminate(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit_mb: float = 32, **options) -> DataFrame:
-    """The rows of ``docs`` that hold no test passage, by phrase or proximity."""
+    """The rows of ``docs`` that hold no test passage, by phrase or proximity. Defined
+    results are those of ``find``; texts without tokens, null ones included, stay."""
     found = find(build_index(docs, id_col, text_col), tests, **options)
     leaked = saved(found.select(F.col("id").alias("leaked")).distinct(), "leaked")
-    side = F.broadcast(leaked) if leaked.count() * 16 / 1e6 <= limit_mb else leaked
+    side = F.broadcast(leaked) if table_mb(leaked, 16) <= limit_mb else leaked
     return docs.join(side, ref(id_col).eqNullSafe(side["leaked"]), "left_anti")
 
 

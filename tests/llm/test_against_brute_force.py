@@ -154,6 +154,125 @@ def test_decontamination_by_proximity(spark):
     assert got[3] == "phrase" and got[1] == "proximity" and 2 not in got
 
 
+def near_brute(texts, tests, n=13, rare=8, slack=4, least=5):
+    """(doc, test) -> (kind, windows, first token), by the definition."""
+    docs = {i: words(t) for i, t in texts.items()}
+    total = Counter(w for t in docs.values() for w in t)
+    out = {}
+    for d, own in docs.items():
+        at = {}
+        for p, w in enumerate(own):
+            at.setdefault(w, []).append(p)
+        for q, text in tests.items():
+            w = words(text)
+            made = [w[i : i + n] for i in range(max(1, len(w) - n + 1))] if len(w) >= least else []
+            hits = {"phrase": [], "proximity": []}
+            for window in made:
+                exact = [p for p in range(len(own) - len(window) + 1) if own[p : p + len(window)] == window]
+                order = sorted(set(window), key=lambda t: (total[t], t))
+                shift = {t: window.index(t) for t in order}
+                near = []
+                if len(order) >= rare:
+                    starts = [p - shift[order[0]] for p in at.get(order[0], [])]
+                    near = [s for s in starts if all(any(abs(p - s - shift[t]) <= slack for p in at.get(t, [])) for t in order[1:rare])]
+                for kind, found in (("phrase", exact), ("proximity", near)):
+                    if found:
+                        hits[kind].append(max(0, min(found)))
+            for kind in ("phrase", "proximity"):
+                if hits[kind]:
+                    out[d, q] = (kind, len(hits[kind]), min(hits[kind]))
+                    break
+    return out
+
+
+def test_decontamination_by_the_definition(spark):
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{i}" for i in range(60)]
+    tests = {i: " ".join(rng.choice(vocabulary, size)) for i, size in enumerate([3, 6, 13, 20, 40, 25])}
+    texts = {}
+    for i in range(60):
+        own = list(rng.choice(vocabulary, 40))
+        passage = tests[int(rng.integers(6))].split()
+        for _ in range(int(rng.integers(0, 6))):
+            passage.insert(int(rng.integers(len(passage))), "x") if rng.random() < 0.5 else passage.pop()
+        texts[i] = " ".join([*own[:20], *passage, *own[20:]] if i % 3 else own)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    found = decontamination.find(decontamination.build_index(docs), spark.createDataFrame(list(tests.items()), "item_id long, text string")).collect()
+    want = near_brute(texts, tests)
+    assert {(r.id, r.test): (r.kind, r.windows, r.first_token) for r in found} == want
+    assert {"phrase", "proximity"} == {k for k, _, _ in want.values()}
+
+
+def diagonals_brute(text, body, k=4, shift=6, least=0.7):
+    """(start, end, coverage, votes) of a template's places in a text."""
+    own, model = words(text), words(body)
+    grams = {}
+    for a in range(len(model) - k + 1):
+        grams.setdefault(tuple(model[a : a + k]), []).append(a)
+    votes = Counter(p - a for p in range(len(own) - k + 1) for a in grams.get(tuple(own[p : p + k]), []))
+    reach, clusters = min(shift, len(model) // 2), []
+    for d in sorted(votes):
+        if clusters and d - clusters[-1][-1] <= reach:
+            clusters[-1].append(d)
+        else:
+            clusters.append([d])
+    out = []
+    for cluster in clusters:
+        where = {}
+        for d in sorted(cluster, key=lambda d: (-votes[d], d)):
+            for j, w in enumerate(model):
+                if j not in where and 0 <= j + d < len(own) and own[j + d] == w:
+                    where[j] = j + d
+        if len(where) / len(model) >= least:
+            out.append((min(where.values()), max(where.values()) + 1, round(len(where) / len(model), 9), sum(votes[d] for d in cluster)))
+    return out
+
+
+def test_license_scan_by_the_definition(spark, docs, rows):
+    from findery.llm.license_texts import TEMPLATES
+
+    got = sorted((r.id, r.template, r.start, r.end, round(r.coverage, 9), r.votes) for r in license_scan.scan(docs, license_scan.template_table(spark)).collect())
+    want = sorted((r.doc_id, t, *x) for r in rows for t, body in TEMPLATES.items() for x in diagonals_brute(r.text, body))
+    assert got == want and len(want) > 0
+
+
+def test_license_scan_tells_copies_in_a_row_apart(spark):
+    line = "Released under the MIT License.\n"
+    docs = spark.createDataFrame([(1, line * 4)], "doc_id long, text string")
+    templates = spark.createDataFrame([("t", line)], "template string, body string")
+    got = sorted((r.start, r.end) for r in license_scan.scan(docs, templates).collect())
+    assert got == [(0, 5), (5, 10), (10, 15), (15, 20)]
+
+
+def language_brute(model, text):
+    """Posterior of the best language by the definition, word for word."""
+    scores, used = [0.0] * len(model.languages), 0
+    for word in words(text):
+        if not any(c.isalpha() for c in word):
+            continue
+        values = model.grams[0].get(word)
+        for n in (4, 3, 2, 1):
+            if values is None:
+                marked = "^" + word + "$"
+                found = [model.grams[n][marked[i : i + n]] for i in range(len(marked) - n + 1) if marked[i : i + n] in model.grams[n]]
+                values = tuple(sum(x) / len(found) for x in zip(*found)) if found else None
+        if values is not None and any(values):
+            used += 1
+            scores = [a + b for a, b in zip(scores, values)]
+    if not used:
+        return None, 0.0, 0
+    best = max(range(len(scores)), key=lambda i: (scores[i], -i))
+    return model.languages[best], 1 / sum(math.exp(s - scores[best]) for s in scores), used
+
+
+def test_language_id_by_the_definition(docs, rows):
+    model = language_id.fit(docs, rows_per_language=20)
+    for r in language_id.identify(docs, model).collect():
+        lang, confidence, used = language_brute(model, r.text)
+        assert r.n_words == used and r.confidence == pytest.approx(confidence, abs=1e-3)
+        assert r.pred_lang == lang or confidence < 0.51  # near ties fall by rounding
+
+
 def test_byte_bpe_equals_tiktoken(docs, spark):
     import base64
 
