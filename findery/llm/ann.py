@@ -178,14 +178,15 @@ def _beam(x: np.ndarray, adjacency: np.ndarray, q: np.ndarray, entries: np.ndarr
     return ids[order], d[order]
 
 
-def search(queries: DataFrame, points: DataFrame, graph: DataFrame, top: int = 10, ef: int = 240, step: int = 8, entries: int = 48, limit_mb: float = 256, seed: int = 7) -> DataFrame:
+def search(queries: DataFrame, points: DataFrame, graph: DataFrame, top: int = 10, ef: int = 240, step: int = 8, entries: int = 48, limit_mb: float = 64, seed: int = 7) -> DataFrame:
     """(query, id, rank, distance): the ``top`` points nearest each query (id, vec), by
     greedy search with a list of ``ef``. A query that is a point itself starts from
     its own neighbours and is not its own result; others start from ``entries`` points
     spread over the table.
 
     Up to ``limit_mb`` of vectors and edges, every task searches a copy of the whole
-    graph; beyond it, rounds of joins move all queries' lists along the graph.
+    graph; beyond it, rounds of joins move all queries' lists along the graph. Both use
+    the same lists, steps and end.
     """
     spark = points.sparkSession
     n = points.count()
@@ -239,10 +240,12 @@ def _search_by_joins(queries: DataFrame, points: DataFrame, graph: DataFrame, to
     nearest unexpanded nodes of every list by a join with the graph, until none is left."""
     spark = points.sparkSession
     edges = saved(graph.select("u", F.explode("near").alias("e")).select("u", F.col("e.v").alias("v")).join(points.select(F.col("id").alias("v"), "vec"), "v"), "ann-edges")
-    spread = points.orderBy(F.xxhash64("id", F.lit(seed))).limit(entries).select(F.col("id").alias("v"), "vec")
+    spread = saved(points.orderBy(F.xxhash64("id", F.lit(seed))).limit(entries).select(F.col("id").alias("v"), "vec"), "ann-entries")
     asked = saved(queries.select(F.col("id").alias("query"), F.col("vec").alias("q")), "ann-queries")
     distance = F.aggregate(F.zip_with("q", "vec", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    start = asked.join(edges.withColumnRenamed("u", "query"), "query").unionByName(asked.crossJoin(F.broadcast(spread)), allowMissingColumns=True)
+    places = [r["v"] for r in spread.select("v").collect()]  # at most ``entries``
+    spread_too = asked.withColumn("v", F.explode(F.array(*[F.lit(v) for v in places]))).join(F.broadcast(spread), "v")
+    start = asked.join(edges.withColumnRenamed("u", "query"), "query").unionByName(spread_too)
     beam = start.select("query", "v", distance.alias("d"), F.lit(False).alias("done"))
     order = Window.partitionBy("query").orderBy("d", "v")
     while True:
@@ -259,20 +262,24 @@ def _search_by_joins(queries: DataFrame, points: DataFrame, graph: DataFrame, to
     return ranked.select("query", F.col("v").alias("id"), "rank", F.sqrt("d").alias("distance"))
 
 
-def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", top: int = 10, cosine: bool = True, **options) -> DataFrame:
-    """(query, id, rank, distance): the ``top`` nearest other vectors of every vector.
+def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", top: int = 10, cosine: bool = True, every: int = 1, **options) -> DataFrame:
+    """(query, id, rank, distance): the ``top`` nearest other vectors of the vectors whose
+    id is divisible by ``every``, among all.
 
-    Every row is a query. Defined results: rows with a null id or vector, an empty
+    The graph has every row, and every row is a query unless ``every`` is set. Vectors
+    may have any number of entries. Defined results: rows with a null id or vector, an empty
     vector, a null or non-finite entry, or another number of entries than most are
     left out; of rows with the same id the least vector counts; equal distances go by
     id; with fewer than ``top`` others all of them are returned; a vector alone has
-    none. A zero vector stays zero under cosine.
+    none; an empty table gives an empty table. A zero vector stays zero under cosine.
     """
     points = saved(_clean(vectors, id_col, vector_col, cosine), "ann-points")
     build = {k: options.pop(k) for k in ("k", "sample", "rounds", "trees", "leaf", "stop", "seed") if k in options}
-    return search(points, points, build_graph(points, **build), top, **options)
+    asked = points if every == 1 else points.where(F.col("id") % every == 0)
+    return search(asked, points, build_graph(points, **build), top, **options)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    """Every vector whose id is divisible by 100 is searched among all."""
+    found = neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=100)
     return found.select(F.col("query").alias("vec_id"), F.col("id").alias("neighbour_id"), "rank", "distance")
