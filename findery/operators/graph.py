@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from findery.functions import text
 
+from .index import settled
+
 _JS_TRIES = ("", ".js", ".ts", ".jsx", ".tsx", "/index.js", "/index.ts")
 
 
@@ -56,25 +58,27 @@ def _candidates(files: DataFrame, pattern: str, suffixes: tuple[str, ...]) -> Da
     return own.select(F.col("path").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))).alias("ref"))
 
 
-def authored_edges(files: DataFrame) -> DataFrame:
+def authored_edges(files: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """(src, dst) of ``files`` (path, ord, text): imports of Python, JavaScript and
-    TypeScript (relative ones), Rust and Go that lead to a file of the corpus."""
+    TypeScript (relative ones), Rust and Go that lead to a file of the corpus. Given
+    ``sources``, only those files are read for imports."""
+    sources = files if sources is None else sources
     known = files.select(F.col("path").alias("dst"))
     modules = python_modules(files)
-    python = resolve_modules(_python_refs(files), modules).select("src", F.col("path").alias("dst"))
-    js = _candidates(files, r"""(?Ud)(?:from|require\(|import\(|import)\s*['"](\.{1,2}/[^'"]*)['"]""", (".js", ".ts", ".jsx", ".tsx"))
+    python = resolve_modules(_python_refs(sources), modules).select("src", F.col("path").alias("dst"))
+    js = _candidates(sources, r"""(?Ud)(?:from|require\(|import\(|import)\s*['"](\.{1,2}/[^'"]*)['"]""", (".js", ".ts", ".jsx", ".tsx"))
     base = text.normalize_path(F.concat_ws("/", text.parent(F.col("src")), F.col("ref")))
     tries = js.select("src", "ref", base.alias("base")).select("src", "ref", F.posexplode(F.array(*[F.concat(F.col("base"), F.lit(x)) for x in _JS_TRIES])).alias("at", "dst"))
     script = tries.join(known, "dst").groupBy("src", "ref").agg(F.min_by("dst", "at").alias("dst")).select("src", "dst")
     folder = F.when(F.col("src").rlike(r"(^|/)(mod|lib|main)\.rs$"), text.parent(F.col("src"))).otherwise(F.regexp_replace("src", r"\.rs$", ""))
-    mods = _candidates(files, r"(?Udm)^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+(\w+)\s*;", (".rs",))
+    mods = _candidates(sources, r"(?Udm)^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+(\w+)\s*;", (".rs",))
     rust_tries = mods.select("src", F.explode(F.array(folder, text.parent(F.col("src")))).alias("at"), "ref")
-    uses = _candidates(files, r"(?Ud)\buse\s+(?:crate|super|self)::(\w+)", (".rs",))
+    uses = _candidates(sources, r"(?Ud)\buse\s+(?:crate|super|self)::(\w+)", (".rs",))
     root = F.regexp_extract("src", r"^(.*?(?:^|/)src)/", 1)
     rust_tries = rust_tries.unionByName(uses.select("src", F.explode(F.array(F.when(root != "", root).otherwise(text.parent(F.col("src"))), text.parent(F.col("src")), folder)).alias("at"), "ref"))
     rust_paths = rust_tries.select("src", F.explode(F.array(F.concat_ws("/", "at", F.concat("ref", F.lit(".rs"))), F.concat_ws("/", "at", "ref", F.lit("mod.rs")))).alias("dst"))
     rust = rust_paths.select("src", text.normalize_path(F.col("dst")).alias("dst")).join(known, "dst").select("src", "dst")
-    go = _candidates(files, r'(?Ud)"([^"\s]+)"', (".go",)).select("src", F.element_at(F.split("ref", "/"), -1).alias("name"))
+    go = _candidates(sources, r'(?Ud)"([^"\s]+)"', (".go",)).select("src", F.element_at(F.split("ref", "/"), -1).alias("name"))
     packages = files.where(F.col("path").endswith(".go") & F.col("path").contains("/")).select(F.col("path").alias("dst"), text.parent_name(F.col("path")).alias("name"))
     golang = go.join(packages, "name").select("src", "dst")
     return python.unionByName(script).unionByName(rust).unionByName(golang).where("src <> dst").distinct()
@@ -86,8 +90,9 @@ def symmetric(edges: DataFrame) -> DataFrame:
 
 def replace_authored(edges: DataFrame, changed: DataFrame, files: DataFrame) -> DataFrame:
     """Authored edges with those of the ``changed`` files (path) read anew; an edge
-    that the other side still authors stays in the symmetric view."""
-    fresh = authored_edges(files).join(changed.select(F.col("path").alias("src")), "src", "left_semi")
+    that the other side still authors stays in the symmetric view. Only the changed
+    files' texts are read."""
+    fresh = authored_edges(files, files.join(changed.select("path"), "path", "left_semi").select(files.columns))
     return edges.join(changed.select(F.col("path").alias("src")), "src", "left_anti").select("src", "dst").unionByName(fresh.select("src", "dst"))
 
 
@@ -108,25 +113,32 @@ def _degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.count("*").alias("degree"))
 
 
-def pagerank(seeds: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: int = 3, least: float = 1e-12, checkpoint_every: int = 4) -> DataFrame:
+def _spread(edges: DataFrame) -> DataFrame:
+    """(src, dst, degree), computed once for all rounds."""
+    edges = settled(edges.select("src", "dst"))
+    return settled(edges.join(_degrees(edges), "src"))
+
+
+def pagerank(seeds: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: int = 3, least: float = 1e-12, settle_every: int = 4) -> DataFrame:
     """(query_id, node, w): a random walk that restarts at the seeds (query_id, node,
     w), ``rounds`` steps. A node without edges keeps what would have left it."""
     total = F.sum("w").over(Window.partitionBy("query_id"))
-    start = seeds.withColumn("w", F.col("w") / total)
-    spread = edges.join(_degrees(edges), "src")
+    start = settled(seeds.withColumn("w", F.col("w") / total))
+    spread = _spread(edges)
     now = start
     for i in range(rounds):
         moved = now.join(spread, now["node"] == spread["src"], "left")
         passed = moved.select("query_id", F.coalesce("dst", "node").alias("node"), (F.lit(alpha) * F.col("w") / F.coalesce("degree", F.lit(1))).alias("w"))
         now = passed.unionByName(start.select("query_id", "node", (F.lit(1 - alpha) * F.col("w")).alias("w"))).groupBy("query_id", "node").agg(F.sum("w").alias("w")).where(F.col("w") > least)
-        if (i + 1) % checkpoint_every == 0 and i + 1 < rounds:
-            now = now.checkpoint()
+        if (i + 1) % settle_every == 0 and i + 1 < rounds:
+            now = settled(now)
     return now
 
 
 def propagate(weights: DataFrame, edges: DataFrame, beta: float = 1.0, share: float = 0.5) -> DataFrame:
     """One step: each node keeps its weight and gives ``share`` of it to its neighbours,
     divided by their degree to the power ``beta``; then weights sum to 1 again."""
+    edges, weights = settled(edges.select("src", "dst")), settled(weights.select("query_id", "node", "w"))
     degree = _degrees(edges)
     near = edges.join(degree.select(F.col("src").alias("dst"), "degree"), "dst")
     given = weights.join(near, weights["node"] == near["src"]).select("query_id", F.col("dst").alias("node"), (F.lit(share) * F.col("w") / F.pow("degree", F.lit(beta))).alias("w"))
@@ -136,8 +148,8 @@ def propagate(weights: DataFrame, edges: DataFrame, beta: float = 1.0, share: fl
 
 def heat(weights: DataFrame, edges: DataFrame, coefficients: tuple[float, ...] = (0.6, 0.3, 0.1)) -> DataFrame:
     """A truncated heat kernel: the weighted sum of 0, 1, 2 ... steps of the walk."""
-    spread = edges.join(_degrees(edges), "src")
-    step, out = weights.select("query_id", "node", "w"), None
+    spread = _spread(edges)
+    step, out = settled(weights.select("query_id", "node", "w")), None
     for i, c in enumerate(coefficients):
         if i:
             step = step.join(spread, step["node"] == spread["src"]).groupBy("query_id", F.col("dst").alias("node")).agg(F.sum(F.col("w") / F.col("degree")).alias("w"))
@@ -146,16 +158,17 @@ def heat(weights: DataFrame, edges: DataFrame, coefficients: tuple[float, ...] =
     return out.groupBy("query_id", "node").agg(F.sum("w").alias("w"))
 
 
-def hops(seeds: DataFrame, edges: DataFrame, most: int = 3, checkpoint_every: int = 3) -> DataFrame:
+def hops(seeds: DataFrame, edges: DataFrame, most: int = 3) -> DataFrame:
     """(query_id, node, hops): the distance from the nearest seed (query_id, node)."""
-    seen = seeds.select("query_id", "node").distinct().withColumn("hops", F.lit(0))
+    edges = settled(edges.select("src", "dst"))
+    seen = settled(seeds.select("query_id", "node").distinct().withColumn("hops", F.lit(0)))
     front = seen
     for i in range(1, most + 1):
         reached = front.join(edges, front["node"] == edges["src"]).select("query_id", F.col("dst").alias("node")).distinct()
         front = reached.join(seen.select("query_id", "node"), ["query_id", "node"], "left_anti").withColumn("hops", F.lit(i))
+        if i < most:
+            front = settled(front)
         seen = seen.unionByName(front)
-        if i % checkpoint_every == 0 and i < most:
-            front, seen = front.checkpoint(), seen.checkpoint()
     return seen
 
 

@@ -8,9 +8,10 @@ a document's rows is all that an update takes.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findery.functions import text
@@ -23,17 +24,19 @@ def sized_broadcast(df: DataFrame, row_bytes: int, limit_mb: float = 32) -> Data
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed to the shared folder (``spark.checkpoint.dir``; a temporary
-    one only where that is unset): plans that read it several times stay small, and
-    lost executors cost nothing."""
+    """``df`` written to the shared folder and read back: plans that read it several
+    times stay small, and lost executors cost nothing. A cluster must name the folder in
+    ``spark.checkpoint.dir``; a temporary one is used only with a local master."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="findery-")
         spark.conf.set("spark.checkpoint.dir", named)
-        spark.sparkContext.setCheckpointDir(named)
-    elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint()
+    path = f"{named.rstrip('/')}/findery-settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def postings(docs: DataFrame, doc: str = "doc", body: str = "text", field: str = "body") -> DataFrame:
@@ -74,7 +77,8 @@ def definitions(files: DataFrame) -> DataFrame:
     examples define nothing; ``n_files`` counts the definers."""
     prod = files.where(text.path_prior(F.col("path")) == 1.0)
     found = prod.select("path", "ord", F.explode(text.definitions(F.col("path"), F.col("text"))).alias("symbol"))
-    return found.withColumn("n_files", F.count("*").over(Window.partitionBy("symbol"))).select("symbol", "path", "ord", "n_files")
+    # counted with map-side combine: names like ``main`` are hot keys
+    return found.join(found.groupBy("symbol").agg(F.count("*").alias("n_files")), "symbol").select("symbol", "path", "ord", "n_files")
 
 
 def vocabulary(*posted: DataFrame, paths: DataFrame | None = None) -> DataFrame:

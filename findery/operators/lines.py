@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,63 @@ def hit_lines(docs: DataFrame, selected: DataFrame, terms: DataFrame, doc: str =
     return lines.where(F.exists("wanted", lambda t: F.contains("low", t))).select("query_id", "doc", (F.col("at") + 1).alias("line"))
 
 
+def window_spans_from(n: int, hits: list[int], starts: list[int], radius: int = 30, gap: int = 5) -> list[tuple[int, int]]:
+    """Windows around hit lines that begin at the last of the preferred ``starts`` (lines
+    of definitions) in them before the hit and end before the next one; windows at most
+    ``gap`` lines apart merge."""
+    if not hits:
+        return [(1, min(n, 2 * radius))]
+    places, out = sorted(starts), []
+    for hit in sorted(hits):
+        a, b = max(1, hit - radius), min(n, hit + radius)
+        before, behind = bisect_right(places, hit), bisect_left(places, a)
+        if before > behind:
+            a = places[before - 1]
+        if before < len(places) and places[before] <= b:
+            b = places[before] - 1
+        if out and a <= out[-1][1] + gap:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+_COLUMN_0 = re.compile(r"(?:async\s+def|def|class)\s|@")
+
+
+def column_blocks(source: str) -> list[tuple[int, int]]:
+    """Spans of a Python source cut wherever a definition or decorator begins in the first
+    column; what stands before the first one is a span too."""
+    own = splitlines(source)
+    starts = [i for i, line in enumerate(own, 1) if _COLUMN_0.match(line)]
+    if not starts:
+        return [(1, len(own))] if own else []
+    head = [(1, starts[0] - 1)] if starts[0] > 1 else []
+    return head + [(a, b - 1) for a, b in zip(starts, [*starts[1:], len(own) + 1])]
+
+
+_RUBY_START = re.compile(r"[ \t]*(?:def|class|module)\s+\S")
+
+
+def ruby_starts(source: str) -> list[int]:
+    """Lines on which a Ruby method, class or module begins, however deep."""
+    return [i for i, line in enumerate(splitlines(source), 1) if _RUBY_START.match(line)]
+
+
+def line_slices(files: DataFrame, asked: DataFrame, most: int = 200) -> DataFrame:
+    """(path, start, stop, n_lines, lines, cut) of the line ranges ``asked`` (path, start,
+    stop) of ``files`` (path, text): at most ``most`` lines each, which ``cut`` says. A
+    range that begins before line 1 or after the last, or ends before it begins, has null
+    lines. Nothing but the table's own paths can be read."""
+    known = files.select("path", text.split_lines(F.col("text")).alias("all"))
+    rows = asked.join(known, "path").withColumn("n_lines", F.size("all"))
+    stop = F.least("stop", F.col("start") + F.lit(most - 1), "n_lines")
+    good = (F.col("start") >= 1) & (F.col("stop") >= F.col("start")) & (F.col("start") <= F.col("n_lines"))
+    capped = good & (F.col("start") + F.lit(most - 1) < F.least("stop", "n_lines"))
+    part = F.when(good, F.slice("all", F.greatest("start", F.lit(1)), F.greatest(stop - F.col("start") + 1, F.lit(0))))
+    return rows.select("path", "start", "stop", "n_lines", part.alias("lines"), capped.alias("cut"))
+
+
 def merge_spans(spans: DataFrame, keys: list[str], gap: int = 1) -> DataFrame:
     """(keys, a, b): unions of inclusive spans that overlap or lie at most ``gap`` apart."""
     own = Window.partitionBy(*keys).orderBy("a", "b")

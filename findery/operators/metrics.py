@@ -240,3 +240,68 @@ def gold_hunks(patch: str) -> list[tuple[str, int, int]]:
             if size:
                 out.append((path, begin, begin + size - 1))
     return out
+
+
+# ---- what agent runs did
+
+
+def tool_calls(transcripts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, turn, at, name, input): the tool calls of transcript turns, whose
+    ``content`` is an array of (type, name, input), in order."""
+    rows = transcripts.select(*keys, "turn", F.posexplode("content").alias("at", "part"))
+    return rows.where("part.type = 'tool_use'").select(*keys, "turn", "at", "part.name", "part.input")
+
+
+def gold_in(paths: Column, gold: Column) -> Column:
+    """The gold files that a list of paths holds: as they are, below a folder, or by the
+    end of their own path."""
+    plain = F.transform(paths, lambda p: F.regexp_replace(p, r"^(\./)+", ""))
+    return F.filter(gold, lambda g: F.exists(plain, lambda p: (p == g) | F.endswith(p, F.concat(F.lit("/"), g)) | F.endswith(g, p)))
+
+
+def run_touches(runs: DataFrame, touches: DataFrame, keys: list[str]) -> DataFrame:
+    """``runs`` (keys, gold_files, success, hit_turn_cap, ...) with what each saw and read of
+    its gold files: ``touches`` is (keys, path, seen, read), the turns (null: never)."""
+    each = touches.groupBy(*keys).agg(F.min("seen").alias("first_seen"), F.min("read").alias("first_read"), F.count("seen").alias("n_seen"), F.count("read").alias("n_read"))
+    rows = runs.join(each, keys, "left").fillna({"n_seen": 0, "n_read": 0})
+    n = F.size("gold_files")
+    return rows.withColumns({"any_seen": F.col("n_seen") > 0, "any_read": F.col("n_read") > 0, "all_seen": F.col("n_seen") >= n, "all_read": F.col("n_read") >= n})
+
+
+def convergence(touched: DataFrame) -> DataFrame:
+    """(arm, n, n_success, n_turn_cap, n_failed_other, answer_turn_median, answer_turn_mean,
+    capped_seen, capped_read, capped_never, capped_first_seen): how runs of each arm ended,
+    and what those cut off by the turn limit had met. Runs with an error don't count."""
+    good, capped = F.col("success"), F.col("hit_turn_cap")
+    count = lambda c: F.count_if(c)
+    return touched.where("error IS NULL").groupBy("arm").agg(
+        F.count("*").alias("n"), count(good).alias("n_success"), count(capped).alias("n_turn_cap"), count(~good & ~capped).alias("n_failed_other"),
+        F.percentile(F.when(good, F.col("turns_used")), F.lit(0.5)).alias("answer_turn_median"), F.avg(F.when(good, F.col("turns_used"))).alias("answer_turn_mean"),
+        count(capped & F.col("any_seen")).alias("capped_seen"), count(capped & F.col("any_read")).alias("capped_read"), count(capped & ~F.col("any_seen")).alias("capped_never"),
+        F.array_sort(F.collect_list(F.when(capped, F.col("first_seen")))).alias("capped_first_seen"),
+    )
+
+
+def failures(touched: DataFrame) -> DataFrame:
+    """(arm, n, n_failed, never_answered, answered_wrong, n_seen, n_read, n_never_seen,
+    first_seen_median, first_read_median) over the runs that failed."""
+    failed = ~F.col("success")
+    return touched.where("error IS NULL").groupBy("arm").agg(
+        F.count("*").alias("n"), F.count_if(failed).alias("n_failed"), F.count_if(failed & F.col("hit_turn_cap")).alias("never_answered"), F.count_if(failed & ~F.col("hit_turn_cap")).alias("answered_wrong"),
+        F.count_if(failed & F.col("any_seen")).alias("n_seen"), F.count_if(failed & F.col("any_read")).alias("n_read"), F.count_if(failed & ~F.col("any_seen")).alias("n_never_seen"),
+        F.percentile(F.when(failed, F.col("first_seen")), F.lit(0.5)).alias("first_seen_median"), F.percentile(F.when(failed, F.col("first_read")), F.lit(0.5)).alias("first_read_median"),
+    )
+
+
+#: Figures of a payload that differ between equal runs.
+VOLATILE = frozenset({"index_ms", "query_ms", "cache", "engine_sha", "engine_dirty"})
+
+
+def payload_differences(a, b, at: str = "$") -> list[str]:
+    """Where two JSON payloads differ, volatile figures aside: paths into them."""
+    if isinstance(a, dict) and isinstance(b, dict):
+        return [d for k in sorted((a.keys() | b.keys()) - VOLATILE) for d in (payload_differences(a[k], b[k], f"{at}.{k}") if k in a and k in b else [f"{at}.{k}"])]
+    if isinstance(a, list) and isinstance(b, list):
+        found = [d for i, (x, y) in enumerate(zip(a, b)) for d in payload_differences(x, y, f"{at}[{i}]")]
+        return found + ([f"{at}.length"] if len(a) != len(b) else [])
+    return [] if a == b and type(a) is type(b) else [at]

@@ -11,6 +11,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -176,19 +177,28 @@ def pack_query(files: list[tuple[str, str, float]], weights: dict[str, float], a
 
     taken = {(r.path, r.a, r.b) for r in chosen}
     rest = [r for path, _, _ in files for r in regions.get(path, []) if (r.path, r.a, r.b) not in taken]
-    every = {id(r): weight(r.terms) for r in rest}
-    while rest and spent < params.budget:
-        worth = [(weight(r.terms - covered) + 0.25 * every[id(r)] + 0.1) * (0.3 + scores[r.path]) / r.cost + params.name_weight * r.name for r in rest]
+    # regions with the same terms weigh the same: each set is weighed once for what is covered
+    kinds: dict[frozenset[str], int] = {}
+    kind = np.array([kinds.setdefault(r.terms, len(kinds)) for r in rest], np.int64)
+    every = 0.25 * np.array([weight(t) for t in kinds])
+    factor, cost, name = np.array([0.3 + scores[r.path] for r in rest]), np.array([r.cost for r in rest], np.float64), params.name_weight * np.array([r.name for r in rest])
+    left, fresh = np.arange(len(rest)), None
+    while len(left) and spent < params.budget:
+        if fresh is None:
+            fresh = np.array([weight(t - covered) for t in kinds])
+        k = kind[left]
+        worth = (fresh[k] + every[k] + 0.1) * factor[left] / cost[left] + name[left]
         # the order that is left after each step decides later ties
-        order = sorted(range(len(rest)), key=lambda i: -worth[i])
-        rest = [rest[i] for i in order]
-        best = rest.pop(0)
+        left = left[np.argsort(-worth, kind="stable")]
+        best, left = rest[left[0]], left[1:]
         if spent + best.tokens > params.budget:
             if best.tokens > 200:
                 continue
             break
         spent += best.tokens
-        covered |= best.terms
+        if not best.terms <= covered:
+            covered |= best.terms
+            fresh = None
         chosen.append(best)
     if params.pad_lines == 0:
         out = []

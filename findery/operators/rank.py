@@ -115,8 +115,8 @@ def feedback_terms(picks: DataFrame, posted: DataFrame, terms: DataFrame, n_docs
     if docs is not None:
         source = source.join(docs.where("prior = 1.0").select("doc"), "doc", "left_semi")
     source = source.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("n") <= params.feedback_files)
-    chosen = sized_broadcast(source.select("query_id", "doc", "rank"), 64)
-    own = posted.join(chosen, "doc")
+    chosen = sized_broadcast(settled(source.select("query_id", "doc", "rank")), 64)
+    own = settled(posted.join(chosen, "doc"))
     df = posted.join(own.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     weight = F.col("tf") * F.log(F.lit(1.0) + F.lit(n_docs) / (F.col("df") + 1))
     fresh = own.join(df, "term").join(terms.select("query_id", "term"), ["query_id", "term"], "left_anti")

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findery.functions import text
-from findery.operators import graph, history, index, lines, metrics, pack, rank
+from findery.operators import fusion, graph, history, index, lines, metrics, pack, rank
+from findery.sources import corpus
 from findery.sources.corpus import describe
 
 from . import retrieval
@@ -528,3 +529,98 @@ def select_files(spark, sf_dir):
 def pack_bundles(spark, sf_dir):
     corpus, asked = _corpus(spark, sf_dir), _questions(spark, sf_dir)
     return pack.bundles(retrieval.pack_bundles(corpus, asked, retrieval.select_files(corpus, asked)))
+
+
+# ---- fusion, neighbourhoods, slices, upkeep
+
+
+@query(f"""WITH {_postings('documents', 'doc_id', 'p')}, {_QUESTIONS}, asked AS (SELECT DISTINCT term FROM terms), k AS (SELECT d.lang, p.* FROM p JOIN documents d ON d.doc_id = p.doc),
+s AS (SELECT lang, doc, sum(tf) AS n FROM k GROUP BY lang, doc), a AS (SELECT lang, count(*) AS docs, avg(n) AS avg_len FROM s GROUP BY lang),
+h AS (SELECT * FROM k JOIN asked USING (term)), f AS (SELECT lang, term, count(*) AS df FROM h GROUP BY lang, term),
+c AS (SELECT lang, doc, term, ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / avg_len)) AS c FROM h JOIN f USING (lang, term) JOIN s USING (lang, doc) JOIN a USING (lang))
+SELECT lang, doc AS doc_id, round(sum(c ORDER BY term), 6) AS score FROM c GROUP BY lang, doc""")
+def candidate_bm25(spark, sf_dir):
+    lang = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("lang").alias("query_id"))
+    own = index.postings(_documents(spark, sf_dir)).select("doc", "term", "tf").join(lang, "doc")
+    asked = rank.query_terms(_questions(spark, sf_dir)).select("term").distinct()
+    terms = asked.withColumn("query_id", F.explode(F.array(*[F.lit(r["query_id"]) for r in lang.select("query_id").distinct().collect()])))  # one a language
+    found = fusion.candidate_bm25(terms, own)
+    return found.select(F.col("query_id").alias("lang"), F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_postings('documents', 'doc_id', 'p')}, {_QUESTIONS}, {_bm25('p', 'bm')}, {_PICKS}, {_postings('benchmark', 'item_id', 'b')},
+na AS (SELECT doc AS query_id, sqrt(sum(tf * tf)) AS na FROM b GROUP BY doc), nb AS (SELECT doc, sqrt(sum(tf * tf)) AS nb FROM p GROUP BY doc),
+d AS (SELECT b.doc AS query_id, p.doc AS doc, sum(b.tf * p.tf) AS dot FROM b JOIN p USING (term) GROUP BY b.doc, p.doc),
+c AS (SELECT query_id, doc, round(dot / (na * nb), 6) AS cosine FROM d JOIN na USING (query_id) JOIN nb USING (doc)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, doc) AS rank FROM c),
+u AS (SELECT query_id, doc, 0 AS i, rank FROM picks UNION ALL SELECT query_id, doc, 1, rank FROM r WHERE rank <= 10)
+SELECT query_id, doc AS doc_id, round(sum(1.0::DOUBLE / (60 + rank) ORDER BY i), 9) AS score FROM u GROUP BY query_id, doc""")
+def rank_fusion(spark, sf_dir):
+    _, body, scores = _scores(spark, sf_dir)
+    asked = index.postings(_questions(spark, sf_dir).select(F.col("query_id").alias("doc"), F.col("question").alias("text")))
+    near = rank.tf_cosine(asked.select(F.col("doc").alias("query_id"), "term", "tf"), body)
+    near = rank.ranked(near.withColumn("cosine", F.round("cosine", 6)), "cosine", "doc").where("rank <= 10")
+    found = fusion.reciprocal_ranks(rank.top_picks(rank.normalize(scores)), near)
+    return found.select("query_id", F.col("doc").alias("doc_id"), F.round("score", 9).alias("score"))
+
+
+@query(r"""WITH f AS (SELECT DISTINCT regexp_extract(url, '[^/]*$') AS path FROM pages WHERE regexp_extract(url, '[^/]*$') <> '' UNION SELECT DISTINCT regexp_extract(url, '[^/]*/[^/]*$') FROM pages WHERE regexp_extract(url, '[^/]*/[^/]*$') <> ''),
+u AS (SELECT DISTINCT url AS frame FROM pages WHERE url <> '')
+SELECT frame, arg_max(path, length(path)) AS path FROM u JOIN f ON ends_with(frame, path) GROUP BY frame""")
+def stack_frames(spark, sf_dir):
+    urls = _table(spark, sf_dir, "pages").select(F.col("url").alias("frame"))
+    tails = urls.select(F.explode(F.array(F.regexp_extract("frame", r"[^/]*$", 0), F.regexp_extract("frame", r"[^/]*/[^/]*$", 0))).alias("path")).where("path <> ''").distinct()
+    return fusion.resolve_frames(urls, tails)
+
+
+@query(f"""WITH {_PAIRS}, {_SEEDS}, r0 AS (SELECT query_id, node AS doc, 0 AS hop, row_number() OVER (PARTITION BY query_id ORDER BY w DESC, node) AS place FROM seeds),
+v1 AS (SELECT query_id, other AS doc, min(place) AS via FROM r0 JOIN pairs ON doc = path GROUP BY query_id, other),
+n1 AS (SELECT v1.*, row_number() OVER (PARTITION BY query_id ORDER BY via, doc) AS r FROM v1 WHERE NOT EXISTS (SELECT 1 FROM r0 WHERE r0.query_id = v1.query_id AND r0.doc = v1.doc)),
+s1 AS (SELECT query_id, count(*) AS size FROM r0 GROUP BY query_id), r1 AS (SELECT query_id, doc, 1 AS hop, r AS place FROM n1 JOIN s1 USING (query_id) WHERE size + r <= 800),
+b1 AS (SELECT query_id, doc, hop FROM r0 UNION ALL SELECT query_id, doc, hop FROM r1),
+v2 AS (SELECT query_id, other AS doc, min(place) AS via FROM r1 JOIN pairs ON doc = path GROUP BY query_id, other),
+n2 AS (SELECT v2.*, row_number() OVER (PARTITION BY query_id ORDER BY via, doc) AS r FROM v2 WHERE NOT EXISTS (SELECT 1 FROM b1 WHERE b1.query_id = v2.query_id AND b1.doc = v2.doc)),
+s2 AS (SELECT query_id, count(*) AS size FROM b1 GROUP BY query_id)
+SELECT query_id, doc, hop FROM b1 UNION ALL SELECT query_id, doc, 2 FROM n2 JOIN s2 USING (query_id) WHERE size + r <= 800""")
+def neighbourhood_2hops(spark, sf_dir):
+    seeds = _weights(spark, sf_dir).select("query_id", F.col("node").alias("doc"), F.col("w").alias("score"))
+    return fusion.neighbourhood(seeds, _edges(spark, sf_dir))
+
+
+@query(f"WITH {_LINES} SELECT doc AS doc_id, CAST(len(l) AS INTEGER) AS n_lines, CASE WHEN len(l) >= 2 THEN md5(array_to_string(l[2:4], chr(10))) END AS content, len(l) >= 2 AND 4 < least(6, len(l)) AS cut FROM ls")
+def line_slices(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("path"), "text")
+    asked = docs.select("path", F.lit(2).alias("start"), F.lit(6).alias("stop"))
+    found = lines.line_slices(docs, asked, most=3)
+    return found.select(F.col("path").alias("doc_id"), "n_lines", F.md5(F.array_join("lines", "\n")).alias("content"), "cut")
+
+
+@query("SELECT c_nationkey AS repo, count(*) AS n FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000) GROUP BY c_nationkey")
+def missing_repositories(spark, sf_dir):
+    tasks = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("repo"))
+    present = _table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("repo"))
+    return corpus.missing_repositories(tasks, present)
+
+
+@query(f"""WITH {_postings('documents', 'doc_id', 'p')}, {_postings('benchmark', 'item_id', 'b')}
+SELECT doc, term, tf, first_pos FROM p WHERE doc NOT IN (SELECT item_id FROM benchmark) UNION ALL SELECT doc, term, tf, first_pos FROM b""")
+def replaced_postings(spark, sf_dir):
+    fresh = _questions(spark, sf_dir).select(F.col("query_id").alias("doc"), F.col("question").alias("text"))
+    updated = index.replace_documents(index.postings(_documents(spark, sf_dir)), fresh.select("doc"), index.postings(fresh))
+    return updated.select("doc", "term", "tf", F.col("first_pos").cast("long").alias("first_pos"))
+
+
+@query(f"""WITH {_postings('documents', 'doc_id', 'p')}, {_QUESTIONS}, {_bm25('p', 'bm')}, v AS (SELECT DISTINCT term FROM p),
+c AS (SELECT query_id, count(v.term) AS matched, count(*) AS total FROM terms LEFT JOIN v USING (term) GROUP BY query_id), t AS (SELECT query_id, max(score) AS top FROM bm GROUP BY query_id)
+SELECT query_id, total = 0 OR coalesce(top, 0) < 12 OR matched / total < 0.45 AS low_confidence FROM c LEFT JOIN t USING (query_id)""")
+def low_confidence(spark, sf_dir):
+    terms, body, scores = _scores(spark, sf_dir)
+    best = scores.groupBy("query_id").agg(F.max("score").alias("top"))
+    rows = index.coverage(terms, index.vocabulary(body)).join(best, "query_id", "left")
+    return rows.select("query_id", index.low_confidence(F.coalesce("top", F.lit(0.0)), F.col("matched"), F.col("total")).alias("low_confidence"))
+
+
+@query("""WITH f AS (SELECT DISTINCT url AS path, CASE WHEN contains(url, '/') THEN regexp_replace(url, '/[^/]*$', '') ELSE '.' END AS folder FROM pages WHERE url IS NOT NULL)
+SELECT a.path AS src, b.path AS dst FROM f a JOIN f b ON a.folder = b.folder AND a.path <> b.path""")
+def same_folder_pages(spark, sf_dir):
+    return graph.same_folder(_table(spark, sf_dir, "pages").where("url IS NOT NULL").select(F.col("url").alias("path")).distinct())

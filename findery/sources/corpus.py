@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import subprocess
 
 import pandas as pd
@@ -30,7 +32,7 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     base = os.path.abspath(root)
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load("file://" + base)
     path = F.expr(f"substring(path, {len('file:' + base) + 2})")
-    rows = rows.select(path.alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content").where(~F.col("path").rlike(r"(^|/)\.git/"))
+    rows = rows.select(path.alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content").where(~F.col("path").rlike(r"(^|/)\.(git|findery_cache)/"))
     kept = tracked_files(root)
     return rows if kept is None else rows.join(F.broadcast(spark.createDataFrame([(p,) for p in kept], "path string")), "path", "left_semi")
 
@@ -79,6 +81,43 @@ def documentation(scanned: DataFrame, limit: int = MAX_DOCS) -> DataFrame:
 # ---- records
 
 
+def blobs_at(spark: SparkSession, root: str, wanted: list[tuple[str, str]]) -> DataFrame:
+    """(rev, path, text) of files as they were at a revision; null where there was none.
+    ``wanted`` are (rev, path) pairs, such as the gold files of a set of tasks."""
+
+    def show(rev: str, path: str) -> str | None:
+        done = subprocess.run(["git", "-C", root, "show", f"{rev}:{path}"], capture_output=True)
+        return None if done.returncode else done.stdout.decode("utf-8", "replace")
+
+    return spark.createDataFrame([(rev, path, show(rev, path)) for rev, path in wanted], "rev string, path string, text string")
+
+
+def path_aliases(root: str) -> dict[str, list[str]]:
+    """Import aliases of a TypeScript project: prefix -> folders, from the ``paths`` of the
+    root's ``tsconfig.json`` or ``tsconfig.base.json``. Comments and trailing commas are
+    read over; a file that can't be read has none."""
+    for name in ("tsconfig.json", "tsconfig.base.json"):
+        try:
+            with open(os.path.join(root, name), encoding="utf-8", errors="replace") as source:
+                plain = re.sub(r"(?<!:)//[^\n]*", "", source.read())
+            options = json.loads(re.sub(r",\s*(?=[}\]])", "", plain)).get("compilerOptions") or {}
+        except (OSError, ValueError, AttributeError):
+            continue
+        base, bare, out = options.get("baseUrl") or ".", lambda x: x.removesuffix("/*"), {}
+        for alias, folders in (options.get("paths") or {}).items():
+            found = [bare(f) for f in folders if isinstance(f, str)] if isinstance(folders, list) else []
+            if found:
+                out[bare(alias)] = found if base == "." else [os.path.normpath(os.path.join(base, f)) for f in found]
+        if out:
+            return out
+    return {}
+
+
+def missing_repositories(tasks: DataFrame, present: DataFrame, key: str = "repo") -> DataFrame:
+    """(repo, n): how many tasks need a repository that ``present`` (repo) lacks."""
+    return tasks.groupBy(key).agg(F.count("*").alias("n")).join(present.select(key).distinct(), key, "left_anti")
+
+
 def strided(rows: DataFrame, order: str, offset: int = 0, stride: int = 1, limit: int | None = None) -> DataFrame:
     """Every ``stride``-th row from ``offset`` on, in the order of a column. Numbers come
     from counts by partition of the sorted rows, not from one global window."""
@@ -122,6 +161,31 @@ def closed_before(rows: DataFrame, base: str = "base_date", closed: str = "close
     return rows.where(F.to_timestamp(closed) < F.to_timestamp(base))
 
 
+def snippets(found: DataFrame) -> DataFrame:
+    """(query_id, bundle): ranked chunks (query_id, rank, path, start_line, end_line, score,
+    text) as one text, each under a heading with its place and score, in a fence."""
+    block = F.concat(F.lit("### "), "path", F.lit(":"), "start_line", F.lit("-"), "end_line", F.format_string(" (score=%.3f)", "score"), F.lit("\n```\n"), "text", F.lit("\n```"))
+    rows = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))).alias("b"))
+    return rows.select("query_id", F.array_join("b.block", "\n\n").alias("bundle"))
+
+
+def trajectories(tasks: DataFrame, packed: DataFrame, version: str, budget: int) -> DataFrame:
+    """One-step trajectory records of retrieval runs: ``tasks`` (instance_id, repo_url,
+    base_commit) with the files and spans of ``packed`` (query_id, path, spans)."""
+    spans = F.transform("spans", lambda s: F.struct(s["a"].alias("start"), s["b"].alias("end")))
+    found = packed.where(F.size("spans") > 0).groupBy(F.col("query_id").cast("string").alias("instance_id")).agg(F.array_sort(F.collect_list(F.struct("path", spans.alias("spans")))).alias("f"))
+    files, by = F.coalesce("f.path", F.array().cast("array<string>")), F.map_from_entries(F.coalesce("f", F.array().cast("array<struct<path:string,spans:array<struct<start:int,end:int>>>>")))
+    rows = tasks.withColumn("instance_id", F.col("instance_id").cast("string")).join(found, "instance_id", "left")
+    step = F.struct(files.alias("files"), by.alias("spans"))
+    data = F.struct(F.array(step).alias("pred_steps"), files.alias("pred_files"), by.alias("pred_spans"))
+    return rows.select("instance_id", F.coalesce("repo_url", F.lit("")).alias("repo_url"), F.col("base_commit").alias("commit"), data.alias("traj_data"), F.lit("").alias("model_patch"), F.lit(version).alias("engine_version"), F.lit(budget).alias("engine_budget"))
+
+
+def append_records(rows: DataFrame, path: str) -> None:
+    """Appends results as JSON lines; ``pending`` then leaves out what is done."""
+    rows.write.mode("append").json(path)
+
+
 def payload(results: DataFrame) -> DataFrame:
     """(query_id, json): each query's files, regions, bundle and figures as one JSON text."""
     return results.select("query_id", F.to_json(F.struct(*[c for c in results.columns if c != "query_id"])).alias("json"))

@@ -1,9 +1,12 @@
+import io
+import json
 import subprocess
 
 import pytest
 
 from findery.operators import channels, graph, history, index, lines, metrics, pack
-from findery.plans import retrieval
+from findery import cli
+from findery.plans import cache, retrieval
 from findery.sources import commits, corpus
 from findery.streaming import refresh
 
@@ -87,7 +90,10 @@ def test_splice_reverses_at_a_place():
 def test_blocks_and_windows():
     source = "import x\n\n@dec\nclass A:\n    def one(self):\n        pass\n\n    def two(self):\n        pass\n"
     assert lines.python_blocks(source) == [(1, 2), (3, 9), (5, 7), (8, 9)]
-    assert lines.window_spans(200, [10, 50, 150], 10) == [(1, 60), (140, 160)] or lines.window_spans(200, [10, 50, 150], 10) == [(1, 20), (40, 60), (140, 160)]
+    assert lines.window_spans(200, [10, 50, 150], 10) == [(1, 20), (40, 60), (140, 160)]
+    assert lines.window_spans_from(100, [30, 60], [25, 50, 70], 10) == [(25, 40), (50, 69)] and lines.window_spans_from(50, [], [3]) == [(1, 50)]
+    assert lines.column_blocks("import x\n\n@d\ndef f():\n  pass\nclass A:\n  pass\n") == [(1, 2), (3, 3), (4, 5), (6, 7)]
+    assert lines.ruby_starts("class A\n  def b\n  end\nend\n") == [1, 2]
     assert lines.window_spans(100, []) == [(1, 60)]
 
 
@@ -153,3 +159,162 @@ def test_stream_upkeep(spark, tmp_path):
     spark.createDataFrame([("b.py", None, 4)], schema).coalesce(1).write.mode("append").parquet(str(feed))
     refresh.maintain(spark.readStream.schema(schema).parquet(str(feed)), at, str(tmp_path / "cp")).awaitTermination()
     assert {(r.doc, r.term) for r in refresh.read_index(spark, at).collect()} == {("a.py", "alpha"), ("a.py", "delta")}
+
+
+def greedy_brute(files, weights, params):
+    """Pass 2 of packing as it is defined: weigh and sort all that is left in each step."""
+    best = {p: max(r, key=lambda x: x[3]) for p, r in files.items()}
+    covered = frozenset().union(*[r[2] for r in best.values()])
+    spent, out = sum(r[1] for r in best.values()), [r[0] for r in best.values()]
+    rest = [r for rows in files.values() for r in rows if r is not best[r[4]]]
+    weigh = lambda t: sum(weights[x] for x in sorted(t))
+    while rest and spent < params.budget:
+        rest.sort(key=lambda r: -((weigh(r[2] - covered) + 0.25 * weigh(r[2]) + 0.1) * 1.3 / r[1] ** params.length_exponent))
+        top = rest.pop(0)
+        if spent + top[1] > params.budget:
+            if top[1] > 200:
+                continue
+            break
+        spent, covered = spent + top[1], covered | top[2]
+        out.append(top[0])
+    return out
+
+
+def test_packing_is_the_defined_greedy_choice():
+    import random
+
+    rng = random.Random(4)
+    names = ["alpha", "beta", "gamma", "delta"]
+    files, regions = [], {}
+    for i in range(3):
+        source, rows = "", []
+        for j in range(30):
+            own = rng.sample(names, rng.randint(1, 3))
+            body = f"def f{j}():\n" + "".join(f"    {w} = 0\n" for w in own) + "    pass\n" * rng.randint(0, 3)
+            a = source.count("\n") + 1
+            source += body
+            hits = len(own)
+            tokens = len(body.split())
+            gain = (sum({"alpha": 1.0, "beta": 2.0, "gamma": 0.5, "delta": 1.5}[w] for w in sorted(own)) + 0.5 * hits) * 1.3 / tokens**0.85
+            rows.append(((f"{i}.py", a), tokens, frozenset(own), gain, f"{i}.py"))
+        files.append((f"{i}.py", source, 1.0))
+        regions[f"{i}.py"] = rows
+    weights = {"alpha": 1.0, "beta": 2.0, "gamma": 0.5, "delta": 1.5}
+    params = pack.PackParams(budget=260, pad_lines=0)
+    got = {(p, a) for p, spans, _ in pack.pack_query(files, weights, {}, params, pack.count_words) for a, _ in spans}
+    assert got == set(greedy_brute(regions, weights, params)) and len(got) > 6
+
+
+def test_packing_many_regions_is_quick():
+    import time
+
+    files = [(f"f{i}.py", "\n".join(f"def fun{i}_{j}(alpha{j % 7}):\n    return beta{j % 5} + gamma{j % 11} * delta\n" for j in range(400)), 1.0 / (i + 1)) for i in range(16)]
+    began = time.perf_counter()
+    out = pack.pack_query(files, {w: 1.0 + k / 10 for k, w in enumerate(["alpha", "beta", "gamma", "delta", "fun", "return"])}, {}, pack.PackParams(), pack.count_words)
+    assert len(out) == 16 and time.perf_counter() - began < 8
+
+
+def test_import_edges_of_rust_and_go_and_replacing(spark):
+    rows = [("src/lib.rs", "mod a;\nuse crate::b::X;"), ("src/a.rs", ""), ("src/b/mod.rs", ""), ("pkg/tool/t.go", ""), ("main.go", 'import "example/pkg/tool"'), ("x.py", "import y"), ("y.py", "")]
+    files = corpus.describe(spark.createDataFrame(rows, "path string, text string"))
+    edges = graph.authored_edges(files)
+    assert {tuple(r) for r in edges.collect()} == {("src/lib.rs", "src/a.rs"), ("src/lib.rs", "src/b/mod.rs"), ("main.go", "pkg/tool/t.go"), ("x.py", "y.py")}
+    new = corpus.describe(spark.createDataFrame([(p, "import x" if p == "y.py" else t) for p, t in rows], "path string, text string"))
+    again = graph.replace_authored(edges, spark.createDataFrame([("y.py",)], "path string"), new)
+    assert {tuple(r) for r in again.collect()} == {tuple(r) for r in graph.authored_edges(new).collect()}
+
+
+def test_region_choice_within_files_of_functions(spark):
+    files = spark.createDataFrame([("a.py", "def f():\n    pass\n\ndef g():\n    pass\n")], "path string, text string")
+    spans = spark.createDataFrame([(1, "a.py", 2, 2)], "instance_id int, path string, a int, b int")
+    assert {r.name for r in metrics.overlapping(metrics.functions_of(files), spans).collect()} == {"f"}
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    (tmp_path / "tsconfig.json").write_text('{// a comment\n"compilerOptions": {"baseUrl": "web", "paths": {"@/*": ["src/*"], "lib": ["vendor/lib"],},},}')
+    assert corpus.path_aliases(str(tmp_path)) == {"@": ["web/src"], "lib": ["web/vendor/lib"]} and corpus.path_aliases(str(tmp_path / "no")) == {}
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e@x", *a], check=True, capture_output=True)
+    run("init", "-q"), run("add", "."), run("commit", "-qm", "one")
+    assert [r.text is None for r in corpus.blobs_at(spark, str(tmp_path), [("HEAD", "tsconfig.json"), ("HEAD", "none")]).orderBy("path").collect()] == [True, False]
+    found = spark.createDataFrame([(1, 2, "b.py", 3, 4, 0.5, "y"), (1, 1, "a.py", 1, 2, 0.75, "x")], "query_id int, rank int, path string, start_line int, end_line int, score double, text string")
+    assert corpus.snippets(found).first().bundle == "### a.py:1-2 (score=0.750)\n```\nx\n```\n\n### b.py:3-4 (score=0.500)\n```\ny\n```"
+    tasks = spark.createDataFrame([("1", None, "abc"), ("2", "u", "def")], "instance_id string, repo_url string, base_commit string")
+    packed = spark.createDataFrame([(1, "b.py", [(1, 2)]), (1, "a.py", [(3, 4)])], "query_id int, path string, spans array<struct<a:int,b:int>>")
+    rows = {r.instance_id: r for r in corpus.trajectories(tasks, packed, "1", 100).collect()}
+    assert rows["1"].traj_data.pred_files == ["a.py", "b.py"] and rows["1"].traj_data.pred_spans["b.py"][0].end == 2 and rows["2"].traj_data.pred_files == []
+    corpus.append_records(tasks, str(tmp_path / "out")), corpus.append_records(tasks, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 4
+    asked = spark.createDataFrame([("a", 0, 3), ("a", 2, 9), ("a", 5, 6)], "path string, start int, stop int")
+    sliced = lines.line_slices(spark.createDataFrame([("a", "1\n2\n3\n4\n")], "path string, text string"), asked, most=2)
+    assert {r.start: (r.lines, r.cut) for r in sliced.collect()} == {0: (None, False), 2: (["2", "3"], True), 5: (None, False)}
+
+
+@pytest.fixture
+def tree(tmp_path):
+    root = tmp_path / "tree"
+    root.mkdir()
+    (root / "app.py").write_text("def run_server(port):\n    return port\n")
+    (root / "util.py").write_text("import app\n\ndef helper():\n    return app.run_server(1)\n")
+    (root / "NOTES.md").write_text("frobnicate quuxify glorp\n")
+    return root
+
+
+def test_command_line_contract(spark, tree):
+    def call(*args):
+        out, err = io.StringIO(), io.StringIO()
+        return cli.main([*args, str(tree), "--no-cache"], out, err), out.getvalue(), err.getvalue()
+
+    code, out, _ = call("--json", "run server port")
+    got = json.loads(out)
+    assert code == 0 and "app.py" in [f["path"] for f in got["files"]] and got["stats"]["files_indexed"] == 2 and got["bundle"].startswith("### ")
+    code, out, err = call("--json", "frobnicate quuxify glorp")
+    got = json.loads(out)
+    assert code == 1 and (got["files"], got["regions"], got["bundle"]) == ([], {}, "") and got["stats"]["matched_query_terms"] > 0 and "can be packed" in err
+    code, out, err = call("--json", "zzqxv yyqkw")
+    assert code == 1 and json.loads(out)["stats"]["matched_query_terms"] == 0 and "none of the question" in err
+    code, out, err = call("--files-only", "--explain", "run server port")
+    assert code == 0 and "app.py" in out.split("\n") and "channel" in err
+    for wrong in (["--budget", "0"], ["--k", "-1"], ["--len-exp", "nan"]):
+        with pytest.raises(SystemExit) as ended:
+            cli.main([*wrong, "q", str(tree)])
+        assert ended.value.code == 2
+
+
+def test_cache_kinds_and_incremental_equals_rebuild(spark, tree, tmp_path):
+    at = "file://" + str(tmp_path / "store")
+    kinds = [cache.load_or_build(spark, str(tree), at)[1] for _ in range(2)]
+    (tree / "util.py").write_text("def helper():\n    return run_client(2, 3, 4)\n")
+    updated, kind = cache.load_or_build(spark, str(tree), at)
+    assert [*kinds, kind] == ["full", "unchanged", "incremental"]
+    rebuilt, _ = cache.load_or_build(spark, str(tree), at, use_cache=False)
+    for part in ("body", "sizes", "paths", "symbols", "authored"):
+        a, b = getattr(updated, part), getattr(rebuilt, part)
+        assert sorted(map(str, a.select(b.columns).collect())) == sorted(map(str, b.collect())), part
+    (tree / "new.py").write_text("def added(): pass\n")
+    assert cache.load_or_build(spark, str(tree), at)[1] == "full"
+    assert cache.load_or_build(spark, str(tree), at, with_docs=False)[1] == "full" and cache.load_or_build(spark, str(tree), at, with_docs=False, reindex=True)[1] == "full"
+
+
+def test_agent_run_analysis(spark):
+    runs = spark.createDataFrame(
+        [("i1", "a", ["x.py"], True, False, 4, None), ("i2", "a", ["x.py", "y.py"], False, True, 9, None), ("i3", "a", ["z.py"], False, False, 5, None), ("i4", "a", ["z.py"], False, True, 9, None), ("i5", "a", ["z.py"], True, False, 1, "api")],
+        "instance_id string, arm string, gold_files array<string>, success boolean, hit_turn_cap boolean, turns_used int, error string",
+    )
+    touches = spark.createDataFrame([("i1", "a", "x.py", 1, 2), ("i2", "a", "x.py", 3, None), ("i2", "a", "y.py", None, None), ("i3", "a", "z.py", 2, 4)], "instance_id string, arm string, path string, seen int, read int")
+    touched = metrics.run_touches(runs, touches, ["instance_id", "arm"])
+    got = {r.instance_id: (r.any_seen, r.any_read, r.all_seen, r.all_read) for r in touched.collect()}
+    assert got == {"i1": (True, True, True, True), "i2": (True, False, False, False), "i3": (True, True, True, True), "i4": (False,) * 4, "i5": (False,) * 4}
+    c = metrics.convergence(touched).first()
+    assert (c.n, c.n_success, c.n_turn_cap, c.n_failed_other, c.answer_turn_median, c.capped_seen, c.capped_read, c.capped_never, c.capped_first_seen) == (4, 1, 2, 1, 4.0, 1, 0, 1, [3])
+    f = metrics.failures(touched).first()
+    assert (f.n, f.n_failed, f.never_answered, f.answered_wrong, f.n_seen, f.n_read, f.n_never_seen, f.first_seen_median) == (4, 3, 2, 1, 2, 1, 1, 2.5)
+    turns = spark.createDataFrame([("i1", 1, [("text", None, None), ("tool_use", "grep", "q"), ("tool_use", "read", "x.py")])], "instance_id string, turn int, content array<struct<type:string,name:string,input:string>>")
+    assert [(r.turn, r.at, r.name) for r in metrics.tool_calls(turns, ["instance_id"]).collect()] == [(1, 1, "grep"), (1, 2, "read")]
+    row = spark.createDataFrame([(["./src/x.py", "lib/y.py"], ["x.py", "src/x.py", "z.py", "a/lib/y.py"])], "p array<string>, g array<string>")
+    assert row.select(metrics.gold_in("p", "g").alias("h")).first().h == ["x.py", "src/x.py", "a/lib/y.py"]
+
+
+def test_payload_differences():
+    a = {"files": [{"path": "a", "score_rank": 0}], "stats": {"index_ms": 1, "n": 2}}
+    assert metrics.payload_differences(a, {"files": [{"path": "a", "score_rank": 0}], "stats": {"index_ms": 9, "n": 2}}) == []
+    assert metrics.payload_differences(a, {"files": [{"path": "b", "score_rank": 0}, 1], "stats": {"n": 2.0}}) == ["$.files[0].path", "$.files.length", "$.stats.n"]
