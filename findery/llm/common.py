@@ -244,12 +244,12 @@ def merged_counts(parts: DataFrame, slice_size: int, rank) -> DataFrame:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for s, blob in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
-                raw = np.frombuffer(zlib.decompress(blob), np.uint8)
-                own = raw if len(raw) == slice_size else raw.view(np.uint32)
-                if s in total:
-                    total[s] += own
-                else:
-                    total[s] = own.astype(np.int64)
+                raw = zlib.decompress(blob)
+                at = np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8, slice_size // 8)))
+                own = np.frombuffer(raw, np.uint8 if len(raw) == slice_size // 8 + len(at) else np.uint32, offset=slice_size // 8)
+                if s not in total:
+                    total[s] = np.zeros(slice_size, np.int64)
+                total[s][at] += own.astype(np.int64) + 1
         for s, counts in total.items():
             yield pa.RecordBatch.from_pydict({"slice": [s], "ranks": [zlib.compress(rank(counts).astype(np.uint8).tobytes(), 1)]}, schema=pa.schema([("slice", pa.int32()), ("ranks", pa.binary())]))
 
@@ -257,13 +257,15 @@ def merged_counts(parts: DataFrame, slice_size: int, rank) -> DataFrame:
 
 
 def count_slices(cells: np.ndarray, slice_size: int, first: int = 0) -> Iterator[pa.RecordBatch]:
-    """The slices (numbered from ``first``) of an array of uint32 counts that hold any."""
+    """The slices (numbered from ``first``) of an array of uint32 counts that hold any:
+    a bit for each cell that isn't 0, and the counts of those, less 1."""
     schema = pa.schema([("slice", pa.int32()), ("counts", pa.binary())])
     for s in range(len(cells) // slice_size):
         part = cells[s * slice_size : (s + 1) * slice_size]
         if part.any():
-            part = part.astype(np.uint8) if part.max() < 256 else part
-            yield pa.RecordBatch.from_pydict({"slice": [first + s], "counts": [zlib.compress(part.tobytes(), 1)]}, schema=schema)
+            rest = part[part > 0] - 1
+            rest = rest.astype(np.uint8) if rest.max() < 256 else rest
+            yield pa.RecordBatch.from_pydict({"slice": [first + s], "counts": [zlib.compress(np.packbits(part > 0).tobytes() + rest.tobytes(), 1)]}, schema=schema)
 
 
 def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.ListArray:

@@ -27,6 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,11 +35,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 from xxhash import xxh64_intdigest
 
 from .common import count_slices, fresh, lean, merged_counts, mix, ref, rolling, saved, sized_join, table_mb, text_slices, tokens, word_hashes
-from .decontamination import _pack_all, _unpack
+from .decontamination import _pack, _pack_all, _unpack
 
 #: Cells of the sketches of word and of gram counts, and of a slice of them.
 CELLS, GRAM_CELLS, SLICE = 1 << 22, 1 << 24, 1 << 18
-OFFERS = 4
+#: Keys that a unit offers for its group; bits of a group's number (groups that share one are one).
+OFFERS, GROUP_BITS = 12, 40
 #: By which part of its size a prefix is lengthened, and so many more tokens must be shared.
 LONGER = 0.05
 #: Bits of a prefix token's hash: ``_pack_all`` holds no more, and what it cuts off are lost pairs.
@@ -106,12 +108,13 @@ def _cells(keys: np.ndarray) -> np.ndarray:
 
 
 def _groups(offers: pa.Array, popular: np.ndarray) -> np.ndarray:
-    """The most popular key of each row's offers (of equal ones the largest)."""
+    """The number of each row's group: the most popular key of its offers (of equal ones
+    the largest)."""
     keys = offers.flatten().to_numpy(zero_copy_only=False)
     sizes = pc.list_value_length(offers).to_numpy(zero_copy_only=False)
     row = np.repeat(np.arange(len(sizes)), sizes)
     order = np.lexsort((keys, popular[_cells(keys)], row))
-    return keys[order][np.cumsum(sizes) - 1]
+    return (keys[order][np.cumsum(sizes) - 1].view(np.uint64) >> np.uint64(64 - GROUP_BITS)).astype(np.int64)
 
 
 def gram_sets(texts: pa.Array, n: int, ranks: np.ndarray | None = None):
@@ -155,11 +158,13 @@ def _shared(size: float) -> int:
 
 
 def _units(docs: DataFrame, n: int, threshold: float, ranks) -> DataFrame:
-    """(id, unit, size, offers, prefix) of every document; one without tokens has no unit."""
+    """(id, uid, unit, size, offers, prefix) of every document; one without tokens has no
+    unit. ``uid`` numbers the rows."""
     kind = docs.schema["id"].dataType
     arrow = to_arrow_type(kind)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uid = TaskContext.get().partitionId() << 36
         for batch in text_slices(batches, "text"):
             units, sizes, offers, cut, flat = [], [], [], [0], []
             for own, rarity in gram_sets(batch.column("text"), n, ranks.value):
@@ -172,9 +177,11 @@ def _units(docs: DataFrame, n: int, threshold: float, ranks) -> DataFrame:
                 cut.append(cut[-1] + len(order))
             blobs = _pack_each(np.concatenate(flat), np.array(cut))
             none = np.array(sizes) == 0
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(arrow), pa.array(np.array(units, np.uint64).view(np.int64), mask=none), pa.array(np.array(sizes, np.int32)), pa.array([x.tolist() for x in offers], pa.list_(pa.int64())), pa.array(blobs, pa.binary())], names=["id", "unit", "size", "offers", "prefix"])
+            uids = pa.array(np.arange(uid, uid + len(units)))
+            uid += len(units)
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(arrow), uids, pa.array(np.array(units, np.uint64).view(np.int64), mask=none), pa.array(np.array(sizes, np.int32)), pa.array([x.tolist() for x in offers], pa.list_(pa.int64())), pa.array(blobs, pa.binary())], names=["id", "uid", "unit", "size", "offers", "prefix"])
 
-    shape = T.StructType([T.StructField("id", kind), T.StructField("unit", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("offers", T.ArrayType(T.LongType())), T.StructField("prefix", T.BinaryType())])
+    shape = T.StructType([T.StructField("id", kind), T.StructField("uid", T.LongType()), T.StructField("unit", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("offers", T.ArrayType(T.LongType())), T.StructField("prefix", T.BinaryType())])
     return docs.mapInArrow(lean(work), shape)
 
 
@@ -193,19 +200,22 @@ def _unpack_each(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _candidates(units: DataFrame, popular, buckets: int, threshold: float) -> DataFrame:
-    """(unit, grp, own, size): which groups each unit queries. Of two groups the unit of the
+    """(uid, grp, own, size): which groups each unit queries. Of two groups the unit of the
     lower one queries the other; ``own`` marks that others of its own group share enough.
     A partner has at least ``threshold`` of the unit's size, so its prefix and the
     unit's share at least what that size needs."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("who", pa.binary()), ("table", pa.binary())])
+        # a unit's row is a varint step from the one before and one number for group and size
+        schema = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("who", pa.binary()), ("uids", pa.binary()), ("table", pa.binary())])
         for batch in batches:
             for a in range(0, batch.num_rows, 8192):
                 part = batch.slice(a, 8192)
+                part = part.take(pc.array_sort_indices(part.column("uid")))
                 flat, sizes = _unpack_each(part.column("prefix").to_pylist())
                 who = np.repeat(np.arange(part.num_rows, dtype=np.uint16), sizes)
-                table = np.stack([part.column("unit").to_numpy(), _groups(part.column("offers"), popular.value), part.column("size").to_numpy().astype(np.int64)], axis=1)
+                uids = part.column("uid").to_numpy()
+                table = (_groups(part.column("offers"), popular.value) << 24) | np.minimum(part.column("size").to_numpy(), (1 << 24) - 1)
                 order = np.argsort(flat, kind="stable")
                 flat, who = flat[order], who[order]
                 bounds = np.searchsorted(flat, (np.arange(buckets + 1, dtype=np.float64) * (2.0**BITS / buckets)).astype(np.int64))
@@ -215,7 +225,7 @@ def _candidates(units: DataFrame, popular, buckets: int, threshold: float) -> Da
                     own = who[bounds[k] : bounds[k + 1]]
                     if len(own):
                         used, short = np.unique(own, return_inverse=True)
-                        yield pa.RecordBatch.from_pydict({"bucket": [k], "hashes": [packed[k]], "who": [short.astype(np.uint16).tobytes()], "table": [table[used].tobytes()]}, schema=schema)
+                        yield pa.RecordBatch.from_pydict({"bucket": [k], "hashes": [packed[k]], "who": [short.astype(np.uint16).tobytes()], "uids": [_pack(uids[used])], "table": [table[used].tobytes()]}, schema=schema)
 
     def total(found: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
         keys, place = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
@@ -257,10 +267,11 @@ def _candidates(units: DataFrame, popular, buckets: int, threshold: float) -> Da
     def meet(part: pd.DataFrame) -> pd.DataFrame:
         hashes = [_unpack(x) for x in part["hashes"]]
         who = [np.frombuffer(x, np.uint16) for x in part["who"]]
-        tables = [np.frombuffer(x, np.int64).reshape(-1, 3) for x in part["table"]]
+        tables = [np.frombuffer(x, np.int64) for x in part["table"]]
         base = np.cumsum([0, *[len(t) for t in tables]])
-        table = np.concatenate(tables)
-        keys, groups = np.unique(table[:, 1], return_inverse=True)
+        table, uids = np.concatenate(tables), np.concatenate([_unpack(x) for x in part["uids"]])
+        keys, groups = np.unique(table >> 24, return_inverse=True)
+        sizes = table & ((1 << 24) - 1)
         low, high = min(int(h[0]) for h in hashes), max(int(h[-1]) for h in hashes) + 1
         steps = max(1, sum(map(len, hashes)) // PART_TOKENS)
         edges = [low + (high - low) * i // steps for i in range(steps + 1)]
@@ -269,19 +280,19 @@ def _candidates(units: DataFrame, popular, buckets: int, threshold: float) -> Da
         for i in range(steps):
             flat = np.concatenate([h[c[i] : c[i + 1]] for h, c in zip(hashes, cuts)])
             at = np.concatenate([w[c[i] : c[i + 1]].astype(np.int64) + b for w, c, b in zip(who, cuts, base)])
-            found += meet_part(flat, at, groups, table[:, 2])
+            found += meet_part(flat, at, groups, sizes)
             if sum(len(k) for k, _ in found[1:]) > max(1_000_000, len(found[0][0]) if found else 0):
                 found = total(found)
         if not found:
-            return pd.DataFrame({"unit": [], "grp": [], "own": [], "size": [], "n": []}).astype({"own": bool})
+            return pd.DataFrame({"uid": [], "grp": [], "own": [], "size": [], "n": []}).astype({"own": bool})
         (pairs, n), = total(found)
         row, grp = np.divmod(pairs, len(keys))
-        return pd.DataFrame({"unit": table[row, 0], "grp": keys[grp], "own": groups[row] == grp, "size": table[row, 2], "n": n})
+        return pd.DataFrame({"uid": uids[row], "grp": keys[grp], "own": groups[row] == grp, "size": sizes[row], "n": n})
 
-    rows = units.select("unit", "offers", "size", "prefix").mapInArrow(lean(blocks), "bucket int, hashes binary, who binary, table binary")
-    met = rows.groupBy("bucket").applyInPandas(meet, "unit long, grp long, own boolean, size long, n long")
-    counted = met.groupBy("unit", "grp").agg(F.sum("n").alias("n"), F.first("size").alias("size"), F.first("own").alias("own"))
-    return counted.where(F.col("n") >= 1 + F.floor(F.lit(LONGER) * F.floor(F.col("size") * threshold))).select("unit", "grp", "own", "size")
+    rows = units.select("uid", "offers", "size", "prefix").mapInArrow(lean(blocks), "bucket int, hashes binary, who binary, uids binary, table binary")
+    met = rows.groupBy("bucket").applyInPandas(meet, "uid long, grp long, own boolean, size long, n long")
+    counted = met.groupBy("uid", "grp").agg(F.sum("n").alias("n"), F.first("size").alias("size"), F.first("own").alias("own"))
+    return counted.where(F.col("n") >= 1 + F.floor(F.lit(LONGER) * F.floor(F.col("size") * threshold))).select("uid", "grp", "own", "size")
 
 
 def _verify(part: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, pd.DataFrame]:
@@ -345,15 +356,15 @@ def _links_of(part: pd.DataFrame, threshold: float) -> pd.DataFrame:
 
 
 def _blocks(roles: DataFrame, block_grams: int) -> DataFrame:
-    """(unit, grp, sub, kind) from (unit, grp, size, member): groups of more than
+    """(uid, grp, sub, kind) from (uid, grp, size, member): groups of more than
     ``block_grams`` grams are opened block by block. Block i meets itself, every later
     block and every part of the queries, each in a task of its own."""
     weight = roles.groupBy("grp").agg(F.sum(F.when(F.col("member"), F.col("size")).otherwise(0)).alias("m"), F.sum(F.when(F.col("member"), 0).otherwise(F.col("size"))).alias("q"))
     big = saved(weight.where((F.col("m") > block_grams) | (F.col("q") > block_grams)).select("grp", F.ceil(F.col("m") / block_grams).cast("int").alias("nb"), F.ceil(F.col("q") / block_grams).cast("int").alias("qb")), "gram-blocks")
     known = sized_join(roles, big, ["grp"], "left", 16)
     kind = F.when(F.col("member"), MEMBER).otherwise(QUERY)
-    plain = known.where("nb IS NULL").select("unit", "grp", F.lit(0).cast("long").alias("sub"), kind.alias("kind"))
-    split = known.where("nb > 0").withColumn("wide", (F.col("nb") + F.col("qb")).cast("long")).withColumn("i", F.pmod(F.xxhash64("unit"), F.when(F.col("member"), F.col("nb")).otherwise(F.col("qb"))).cast("int"))
+    plain = known.where("nb IS NULL").select("uid", "grp", F.lit(0).cast("long").alias("sub"), kind.alias("kind"))
+    split = known.where("nb > 0").withColumn("wide", (F.col("nb") + F.col("qb")).cast("long")).withColumn("i", F.pmod(F.xxhash64("uid"), F.when(F.col("member"), F.col("nb")).otherwise(F.col("qb"))).cast("int"))
 
     def at(row, column, kind):
         return F.struct((row.cast("long") * F.col("wide") + column).alias("sub"), F.lit(kind).alias("kind"))
@@ -363,8 +374,8 @@ def _blocks(roles: DataFrame, block_grams: int) -> DataFrame:
     guest = F.transform(F.sequence(F.lit(0), nb - 1), lambda j: F.when(j < i, at(j, i, QUERY)))
     of_member = F.concat(F.array(at(i, i, MEMBER)), host, guest)
     of_query = F.transform(F.sequence(F.lit(0), nb - 1), lambda j: at(j, nb + i, QUERY))
-    places = split.select("unit", "grp", F.explode(F.filter(F.when(F.col("member"), of_member).otherwise(of_query), lambda x: x.isNotNull())).alias("x"))
-    return plain.unionByName(places.select("unit", "grp", "x.sub", "x.kind"))
+    places = split.select("uid", "grp", F.explode(F.filter(F.when(F.col("member"), of_member).otherwise(of_query), lambda x: x.isNotNull())).alias("x"))
+    return plain.unionByName(places.select("uid", "grp", "x.sub", "x.kind"))
 
 
 def _join(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, verify, shape: str, block_grams: int = BLOCK_GRAMS) -> tuple[DataFrame, DataFrame]:
@@ -375,8 +386,8 @@ def _join(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float,
     everyone = saved(_units(source, n, threshold, ranks), "gram-units")
     rows = everyone.where("unit IS NOT NULL")
     # of documents with the same set, the one with the least id stands for the unit
-    copies = saved(rows.groupBy("unit").agg(F.count("*").alias("rows"), F.count_distinct("id").alias("n"), F.min("id").alias("first")).where("rows > 1").select("unit", "n", "first"), "gram-copies")
-    units = sized_join(rows, copies, ["unit"], "left", 24).where("first IS NULL OR id = first")
+    copies = saved(rows.groupBy("unit").agg(F.count("*").alias("rows"), F.count_distinct("id").alias("n"), F.min(F.struct("id", "uid")).alias("at")).where("rows > 1").select("unit", "n", F.col("at.uid").alias("first")), "gram-copies")
+    units = sized_join(rows, copies, ["unit"], "left", 24).where("first IS NULL OR uid = first")
     popular = spark.sparkContext.broadcast(_popularity(rows))
     total = rows.agg(F.sum(F.length("prefix")).alias("b")).first()["b"] or 0
     buckets = max(1, -(-int(total) // (6 * BUCKET_TOKENS)))
@@ -384,16 +395,16 @@ def _join(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float,
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array(_groups(batch.column("offers"), popular.value)), batch.column("size")], names=["unit", "grp", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(_groups(batch.column("offers"), popular.value)), batch.column("size")], names=["uid", "grp", "size"])
 
-    members = units.select("unit", "offers", "size").mapInArrow(lean(place), "unit long, grp long, size int")
+    members = units.select("uid", "offers", "size").mapInArrow(lean(place), "uid long, grp long, size int")
     opened = queries.select("grp").distinct()
-    roles = members.join(opened, "grp", "left_semi").select("unit", "grp", F.col("size").cast("long").alias("size"), F.lit(True).alias("member"))
-    roles = saved(roles.unionByName(queries.where("NOT own").select("unit", "grp", "size", F.lit(False).alias("member"))).distinct(), "gram-places")
-    roles = _blocks(roles, block_grams).groupBy("unit").agg(F.collect_set(F.struct("grp", "sub", "kind")).alias("roles"))
+    roles = members.join(opened, "grp", "left_semi").select("uid", "grp", F.col("size").cast("long").alias("size"), F.lit(True).alias("member"))
+    roles = saved(roles.unionByName(queries.where("NOT own").select("uid", "grp", "size", F.lit(False).alias("member"))), "gram-places")
+    roles = _blocks(roles, block_grams).groupBy("uid").agg(F.collect_set(F.struct("grp", "sub", "kind")).alias("roles"))
     # one document stands for its unit; its text brings the unit's roles along
-    firsts = sized_join(rows.select("id", "unit"), copies, ["unit"], "left", 24).where("first IS NULL OR id = first").select("id", "unit", F.coalesce("n", F.lit(1)).alias("n")).distinct()
-    involved = saved(firsts.join(roles, "unit").select(F.col("id").alias("k"), "unit", "n", "roles"), "gram-roles")
+    firsts = sized_join(rows.select("id", "uid", "unit"), copies, ["unit"], "left", 24).where("first IS NULL OR uid = first").select("id", "uid", "unit", F.coalesce("n", F.lit(1)).alias("n"))
+    involved = saved(firsts.join(roles, "uid").select(F.col("id").alias("k"), "unit", "n", "roles"), "gram-roles")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):

@@ -159,6 +159,11 @@ def test_stream_upkeep(spark, tmp_path):
     spark.createDataFrame([("b.py", None, 4)], schema).coalesce(1).write.mode("append").parquet(str(feed))
     refresh.maintain(spark.readStream.schema(schema).parquet(str(feed)), at, str(tmp_path / "cp")).awaitTermination()
     assert {(r.doc, r.term) for r in refresh.read_index(spark, at).collect()} == {("a.py", "alpha"), ("a.py", "delta")}
+    refresh.compact(spark, at)
+    assert {(r.doc, r.term) for r in refresh.read_index(spark, at).collect()} == {("a.py", "alpha"), ("a.py", "delta")}
+    spark.createDataFrame([("c.py", "omega", 5), ("a.py", "other", 6)], schema).coalesce(1).write.mode("append").parquet(str(feed))
+    refresh.maintain(spark.readStream.schema(schema).parquet(str(feed)), at, str(tmp_path / "cp")).awaitTermination()
+    assert {(r.doc, r.term) for r in refresh.read_index(spark, at).collect()} == {("a.py", "other"), ("c.py", "omega")}
 
 
 def greedy_brute(files, weights, params):
