@@ -67,3 +67,11 @@ def test_ann_edges_that_were_not_picked_stay_fresh(spark):
     # one leaf holds all points, so the graph is exact from the start and only marks change
     fresh = [e.fresh for r in ann.build_graph(points, k=12, sample=3, rounds=1, trees=1, leaf=100).collect() for e in r.near]
     assert len(fresh) == 720 and 720 * 0.5 < sum(fresh) < 720
+
+
+def test_links_of_short_texts_in_groups_with_a_large_number(spark):
+    # each pair has a group of its own, and about a quarter of the groups' numbers fill all bits
+    texts = {2 * i + extra: " ".join(f"w{i}x{j}" for j in range(4 + extra)) for i in range(60) for extra in (0, 1)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.id: (r.class_id, r.n_links) for r in ngram_jaccard.classes(docs).collect()}
+    assert got == {i: (i - i % 2, 1) for i in texts}
