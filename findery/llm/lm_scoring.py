@@ -28,6 +28,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import lean, mix, ref, saved, segment_sum, text_slices, tokens, word_hashes
 
 
+#: Counts of contexts up to which gains are looked up.
+SMALL = 32
+
+
 def _pack(values: np.ndarray) -> bytes:
     return zlib.compress(np.ascontiguousarray(values).tobytes(), 1)
 
@@ -179,24 +183,31 @@ def _moves(words: np.ndarray, sizes: np.ndarray, context: np.ndarray, counts: np
     total_right, total_left = pairs.sum(1), pairs.sum(0)
     # row c of both: counts of class c with what may stand to its right and its left
     sides = np.concatenate([pairs, pairs.T], axis=1)[:classes].T
+    # what a context adds to each class follows from its count, which is mostly small
+    phi = _phi(sides)
+    small = _phi(sides[:, None] + np.arange(SMALL + 1.0)[:, None]) - phi[:, None]
     best = np.empty(len(words), np.int32)
     ends = np.concatenate([[0], np.cumsum(sizes)])
     a = 0
     while a < len(words):
-        b = max(a + 1, int(np.searchsorted(ends, ends[a] + (1 << 18) // k * 8, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + (1 << 17) // k, "right")) - 1)
         at = slice(int(ends[a]), int(ends[b]))
-        seen, n = sides[context[at]], counts[at, None].astype(np.float64)
         who = np.repeat(np.arange(b - a), sizes[a:b])
         own = current[a:b]
-        rows = np.arange(at.stop - at.start)
-        mine = seen[rows, own[who]]
-        seen[rows, own[who]] = np.maximum(mine - n[:, 0], 0)  # as if the word had left its class
-        gain = np.add.reduceat(_phi(seen + n) - _phi(seen), ends[a:b] - ends[a], axis=0)
-        weight = np.bincount(who, weights=counts[at] * (context[at] < k), minlength=b - a)[:, None]
+        n = counts[at].astype(np.float64)
+        added = small[context[at], np.minimum(counts[at], SMALL)]
+        large = np.flatnonzero(counts[at] > SMALL)
+        added[large] = _phi(sides[context[at][large]] + n[large, None]) - phi[context[at][large]]
+        mine = np.maximum(sides[context[at], own[who]] - n, 0)  # as if the word had left its class
+        added[np.arange(len(n)), own[who]] = _phi(mine + n) - _phi(mine)
+        gain = np.add.reduceat(added, ends[a:b] - ends[a], axis=0)
+        weight = np.bincount(who, weights=counts[at] * (context[at] < k), minlength=b - a)
+        weights, same = np.unique(weight, return_inverse=True)
         for total in (total_right[:classes], total_left[:classes]):
-            left = np.repeat(total[None, :], b - a, axis=0)
-            left[np.arange(b - a), own] = np.maximum(left[np.arange(b - a), own] - weight[:, 0], 0)
-            gain -= _phi(left + weight) - _phi(left)
+            lost = (_phi(total + weights[:, None]) - _phi(total))[same]
+            mine = np.maximum(total[own] - weight, 0)
+            lost[np.arange(b - a), own] = _phi(mine + weight) - _phi(mine)
+            gain -= lost
         top = gain.argmax(axis=1)
         better = gain[np.arange(b - a), top] > gain[np.arange(b - a), own] + 1e-6
         best[a:b] = np.where(better, top, own)
@@ -219,8 +230,8 @@ def _round(lookup: _Classes, pairs: np.ndarray, classes: int, part: int, parts:
                 mine = (own >= 0) & (mixed % np.uint64(parts) == np.uint64(part))
                 # a word's number among those of this part, by bucket
                 slot = (mixed >> np.uint64(32)) % np.uint64(buckets)
-                order = np.lexsort((hashes, slot))
-                order = order[mine[order]]
+                order = np.flatnonzero(mine)
+                order = order[np.lexsort((hashes[order], slot[order]))]
                 if not len(order):
                     continue
                 number = np.full(len(hashes) + 1, -1, np.int64)  # the last is for edges

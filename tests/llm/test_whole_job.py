@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 
 from corpus_pipeline import remove_near_duplicates
-from findery.llm import ann, ngram_jaccard, toxicity
+from findery.llm import ann, lm_scoring, ngram_jaccard, toxicity
 
 from .test_against_brute_force import grams, words
 
@@ -75,3 +75,36 @@ def test_links_of_short_texts_in_groups_with_a_large_number(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.id: (r.class_id, r.n_links) for r in ngram_jaccard.classes(docs).collect()}
     assert got == {i: (i - i % 2, 1) for i in texts}
+
+
+def test_lm_moves_go_to_the_best_class_with_few_logarithms(monkeypatch):
+    rng = np.random.default_rng(3)
+    classes, words, each = 16, 400, 20
+    k = classes + 2
+    pairs = rng.integers(0, 2000, (k, k))
+    context = np.concatenate([np.sort(rng.choice(2 * k, each, replace=False)) for _ in range(words)])
+    counts = rng.integers(1, 5, words * each)
+    counts[rng.choice(words * each, 50, replace=False)] = rng.integers(33, 500, 50)
+    current = rng.integers(0, classes, words)
+
+    def phi(x):
+        return x * math.log(max(x, 1))
+
+    want = []
+    for i in range(words):
+        gain = np.zeros(classes)
+        weight = sum(int(n) for c, n in zip(context[i * each : (i + 1) * each], counts[i * each :]) if c < k)
+        for d in range(classes):
+            for c, n in zip(context[i * each : (i + 1) * each].tolist(), counts[i * each : (i + 1) * each].tolist()):
+                seen = int(pairs[d, c] if c < k else pairs[c - k, d])
+                seen = max(seen - n, 0) if d == current[i] else seen
+                gain[d] += phi(seen + n) - phi(seen)
+            for total in (int(pairs[d].sum()), int(pairs[:, d].sum())):
+                total = max(total - weight, 0) if d == current[i] else total
+                gain[d] -= phi(total + weight) - phi(total)
+        want.append(int(gain.argmax()) if gain.max() > gain[current[i]] + 1e-6 else int(current[i]))
+    made, direct = [], lm_scoring._phi
+    monkeypatch.setattr(lm_scoring, "_phi", lambda x: made.append(np.size(x)) or direct(x))
+    got = lm_scoring._moves(np.arange(words), np.full(words, each), context, counts, current, pairs, classes)
+    assert got.tolist() == want
+    assert sum(made) < 0.5 * words * each * classes
