@@ -108,3 +108,19 @@ def test_lm_moves_go_to_the_best_class_with_few_logarithms(monkeypatch):
     got = lm_scoring._moves(np.arange(words), np.full(words, each), context, counts, current, pairs, classes)
     assert got.tolist() == want
     assert sum(made) < 0.5 * words * each * classes
+
+
+def test_toxicity_by_few_words_of_a_long_text(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(600):
+        text = [f"w{w}" for w in rng.integers(0, 400, 120)]
+        text[:2] = rng.choice(["badone", "badtwo", "badthree"], 2).tolist() if i % 3 == 0 else text[:2]
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(400)], "doc_id long, toxic int")
+    got = {r.id: r.toxic for r in toxicity.classify(docs, toxicity.build(docs, labels)).collect()}
+    unseen = range(400, 600)
+    caught = [got[i] for i in unseen if i % 3 == 0]
+    alone = [not got[i] for i in unseen if i % 3]
+    assert sum(caught) >= 0.95 * len(caught) and sum(alone) >= 0.95 * len(alone)
