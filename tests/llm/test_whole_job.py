@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 
 from corpus_pipeline import remove_near_duplicates
-from findery.llm import ann, lm_scoring, ngram_jaccard, toxicity
+from findery.llm import ann, byte_bpe, lm_scoring, ngram_jaccard, toxicity
 
 from .test_against_brute_force import grams, words
 
@@ -181,3 +181,15 @@ def _bounds(sets):
     order = np.argsort(flat, kind="stable")
     _, first = np.unique(flat[order], return_index=True)
     return np.append(first, len(flat)), owner[order]
+
+
+def test_bpe_memo_keeps_frequent_chunks(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "_CACHE", 60)
+    encoder, plain, asked = byte_bpe.Encoder(byte_bpe.load()), byte_bpe.Encoder(byte_bpe.load()), Counter()
+    chunk = encoder.chunk
+    monkeypatch.setattr(encoder, "chunk", lambda text: asked.update([text]) or chunk(text))
+    for i in range(20):
+        text = f"frequent don't Étude  words{i} " + " ".join(f"once{i}x{j}" for j in range(30))
+        got = encoder.encode(text).tolist()
+        assert got == np.frombuffer(plain.chunk(text), np.int32).tolist() and encoder.decode(got) == text
+    assert asked["frequent"] == asked[" don't"] == 1 and len(encoder.pieces) + len(encoder.pieces.before) <= 200
