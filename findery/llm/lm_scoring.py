@@ -15,7 +15,6 @@ send some.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +32,32 @@ SMALL = 32
 
 
 def _pack(values: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(values).tobytes(), 1)
+    raw = np.ascontiguousarray(values).tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
 
 
 def _unpack(blob: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob), kind)
+    size = int.from_bytes(blob[:8], "little")
+    return np.frombuffer(pa.decompress(blob[8:], size, codec="zstd"), kind) if size else np.zeros(0, kind)
+
+
+class _Finder:
+    """Places of hashes in sorted distinct ``keys`` (-1: not there). Hashes are spread
+    evenly, so their first bits lead to a place that is a few steps off."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(1, int(len(keys)).bit_length())
+        self.keys = np.append(keys, np.iinfo(np.int64).max)
+        edges = (np.arange(1 << self.bits) - (1 << (self.bits - 1))) << (64 - self.bits)
+        self.starts = np.searchsorted(keys, edges)
+
+    def __call__(self, words: np.ndarray) -> np.ndarray:
+        at = self.starts[(words >> (64 - self.bits)) + (1 << (self.bits - 1))]
+        behind = np.flatnonzero(self.keys[at] < words)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[self.keys[at[behind]] < words[behind]]
+        return np.where((self.keys[at] == words) & (at < len(self.keys) - 1), at, -1)
 
 
 def encode_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,20 +130,25 @@ class _Classes:
         """A function of a batch that yields (row number, classes, emissions, hashes) of
         each slice's distinct words; -1 where the table lacks the word."""
         shared = self.shared
+        copied: list[_Finder] = []
 
         def read(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
             for i, blob in enumerate(batch.column("words").to_pylist()):
                 words = _unpack(blob, np.int64)
                 if shared is not None:
                     keys, classes, emissions = shared.value
+                    if not copied:
+                        copied.append(_Finder(keys))
+                    find = copied[0]
                 else:
                     own = sorted((k["word"], k["class"], k["emission"]) for k in batch.column("known")[i].as_py() or ())
                     keys, classes, emissions = np.array([x[0] for x in own], np.int64), np.array([x[1] for x in own], np.int32), np.array([x[2] for x in own], np.float64)
+                    find = _Finder(keys)
                 if not len(keys):
                     yield i, np.full(len(words), -1), np.zeros(len(words)), words
                     continue
-                at = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
-                hit = keys[at] == words
+                at = find(words)
+                hit = at >= 0
                 yield i, np.where(hit, classes[at], -1), np.where(hit, emissions[at], 0.0), words
 
         return read
