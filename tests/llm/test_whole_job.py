@@ -9,8 +9,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-from corpus_pipeline import remove_near_duplicates
-from findery.llm import ann, byte_bpe, lm_scoring, ngram_jaccard, toxicity
+from corpus_pipeline import BATCH_BYTES, remove_benchmark_leaks, remove_near_duplicates
+from findery.llm import ann, byte_bpe, decontamination, lm_scoring, ngram_jaccard, toxicity
 from findery.llm.common import _trim
 
 from .test_against_brute_force import grams, words
@@ -219,3 +219,30 @@ def test_tasks_end_without_a_look_at_all_modules(spark):
         yield pa.RecordBatch.from_pydict({"n": [gc.get_freeze_count()]})
 
     assert spark.range(1).mapInArrow(work, "n long").first()["n"] > 10_000
+
+
+def test_pipeline_stages_send_workers_small_batches(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i} of a document that is long enough") for i in range(4)], "doc_id long, text string")
+    tests = spark.createDataFrame([("t", "text 1 of a document that is long enough")], "item_id string, text string")
+    tests.write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert [r.doc_id for r in remove_benchmark_leaks(spark, docs, str(tmp_path)).orderBy("doc_id").collect()] == [0, 2, 3]
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]}, schema=pa.schema([("n", pa.int64())]))
+
+    wide = spark.range(4000, numPartitions=1).selectExpr("id", "repeat('x', 5000) AS text")
+    sent = [r.n for r in wide.mapInArrow(sizes, "n long").collect()]
+    assert sum(sent) > 20e6 and max(sent) < 2 * BATCH_BYTES
+
+
+def test_index_packs_few_positions_at_once():
+    counts = np.array([5, 900, 0, 3, 40, 40, 40, 1, 0])
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    cuts = list(decontamination.term_cuts(bounds, 3, 100))
+    assert [t for a, b in cuts for t in range(a, b)] == list(range(len(counts)))
+    assert all(b - a == 1 or (b - a <= 3 and counts[a:b].sum() <= 100) for a, b in cuts)
+    rng = np.random.default_rng(3)
+    at = np.concatenate([np.sort(rng.choice(10**6, c, replace=False)) for c in counts]).astype(np.int32)
+    packed = [blob for a, b in cuts for blob in decontamination._pack_all(at[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])]
+    assert [decontamination._unpack(blob).tolist() if blob else [] for blob in packed] == [at[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
