@@ -246,3 +246,25 @@ def test_index_packs_few_positions_at_once():
     at = np.concatenate([np.sort(rng.choice(10**6, c, replace=False)) for c in counts]).astype(np.int32)
     packed = [blob for a, b in cuts for blob in decontamination._pack_all(at[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])]
     assert [decontamination._unpack(blob).tolist() if blob else [] for blob in packed] == [at[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+
+
+def test_ann_graph_is_bounded_and_every_row_is_found(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((1500, 16)).astype(np.float32)
+    x[1200:] = x[7]  # 300 copies, more than a block of rows takes
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    fitted, build, cells = [], ann.build_graph, ann.search_cells
+    monkeypatch.setattr(ann, "build_graph", lambda points, **options: fitted.append(points.count()) or build(points, **options))
+    monkeypatch.setattr(ann, "search_cells", lambda *args: cells(*args, block_mb=0.004))
+    got = {}
+    for r in ann.neighbours(vectors, every=10, nodes=120, k=12, rounds=3, trees=2).orderBy("query", "rank").collect():
+        got.setdefault(r.query, []).append(r.id)
+        assert r.rank == len(got[r.query])
+    assert fitted == [120]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = ((unit[::10, None, :] - unit[None]) ** 2).sum(2)
+    d[np.arange(150), np.arange(0, 1500, 10)] = 9
+    want = {10 * i: np.lexsort((np.arange(1500), row))[:10].tolist() for i, row in enumerate(d)}
+    assert set(got) == set(want) and all(len(g) == 10 for g in got.values())
+    assert sum(len(set(got[i]) & set(want[i])) for i in want) / 1500 >= 0.9
+    assert got[1200] == want[1200] == [7, *range(1201, 1210)]  # equal distances go by id
