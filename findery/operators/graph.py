@@ -96,10 +96,21 @@ def replace_authored(edges: DataFrame, changed: DataFrame, files: DataFrame) ->
     return edges.join(changed.select(F.col("path").alias("src")), "src", "left_anti").select("src", "dst").unionByName(fresh.select("src", "dst"))
 
 
-def same_folder(files: DataFrame) -> DataFrame:
-    """(src, dst) of files in the same folder."""
-    a = files.select(F.col("path").alias("src"), text.parent(F.col("path")).alias("folder"))
-    return a.join(a.withColumnRenamed("src", "dst"), "folder").where("src <> dst").select("src", "dst")
+def same_folder(files: DataFrame, block: int = 2048) -> DataFrame:
+    """(src, dst) of files in the same folder. A folder's files are paired in blocks of
+    about ``block`` squared, so that a large folder is the work of many tasks; there are as
+    many tasks as the counted pairs need."""
+    own = files.select("path", text.parent(F.col("path")).alias("folder"))
+    sizes = settled(own.groupBy("folder").agg(F.count("*").alias("size")).where(F.col("size") > 1))
+    pairs = sizes.agg(F.sum(F.col("size").cast("double") * F.col("size"))).first()[0] or 0.0
+    tasks = int(min(20_000, 1 + pairs // (2 * block * block)))
+    # parts by hash: as many as the folder needs
+    placed = own.join(sizes, "folder").select("path", "folder", F.ceil(F.col("size") / block).cast("int").alias("parts")).withColumn("part", F.pmod(F.xxhash64("path"), F.col("parts")).cast("int"))
+    others = F.sequence(F.lit(0), F.col("parts") - 1)
+    a = placed.select("folder", F.col("path").alias("src"), F.col("part").alias("i"), F.explode(others).alias("j"))
+    b = placed.select("folder", F.col("path").alias("dst"), F.explode(others).alias("i"), F.col("part").alias("j"))
+    keys = ["folder", "i", "j"]
+    return a.repartition(tasks, *keys).join(b.repartition(tasks, *keys), keys).where("src <> dst").select("src", "dst")
 
 
 def combined(edges: DataFrame, files: DataFrame) -> DataFrame:

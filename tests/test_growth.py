@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from findery.functions import text
-from findery.operators import index, rank, scan
+from findery.operators import grams, graph, index, metrics, rank, scan
 from findery.plans import queries
 
 
@@ -83,3 +83,49 @@ def test_stored_and_read_vectors_agree(docs, terms):
     columns = ["doc", "n_terms", "squares", "t", "tf"]
     assert sorted(map(tuple, read.rows.select(columns).collect()), key=str) == sorted(map(tuple, stored.rows.select(columns).collect()), key=str)
     assert scan.frequencies(read.rows).count() > 3
+
+
+def test_grams_are_those_of_the_columns(spark):
+    rng = random.Random(7)
+    some = lambda letters: "".join(rng.choices(letters, k=rng.randint(0, 30)))
+    wide = "abñ\n\U0001f600"
+    asked = spark.createDataFrame([(f"q{i}", some(wide)) for i in range(270)], "query_id string, text string")
+    docs = spark.createDataFrame([(i, some(wide + "xy")) for i in range(60)] + [(99, None)], "doc long, text string")
+    share = text.gram_overlap(F.col("a"), F.col("text"))
+    want = asked.withColumnRenamed("text", "a").crossJoin(docs).select("query_id", "doc", share.alias("overlap")).where("overlap > 0")
+    exact = lambda df: sorted(map(tuple, df.collect()))
+    assert exact(rank.gram_overlap(asked, docs)) == exact(want)
+    assert exact(rank.gram_overlap(asked, docs, least=0.5)) == exact(want.where("overlap >= 0.5"))
+    many = "".join(chr(0x4E00 + i) for i in range(4200))
+    block = grams._Questions(0, [many], 5)
+    assert not block.packs and len(block.found("x" + many[7:20])) == 8
+    assert "hashpartitioning" not in plan(rank.gram_overlap(asked, docs))
+
+
+def test_shingles_meet_as_digests(spark, sf):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b  c d e f", "x a b c d e", "b\tc d\x0be f", None, "", "a b c d", "a b c d e a b c d e"])], "doc long, text string")
+    rows = docs.where("text IS NOT NULL").select("doc", F.explode(F.array_distinct(text.shingles(F.col("text")))).alias("s"))
+    want = rows.groupBy(F.md5("s").alias("shingle")).agg(F.count("*").alias("n_docs")).where("n_docs > 1")
+    assert sorted(map(tuple, grams.shared_shingles(docs).collect())) == sorted(map(tuple, want.collect())) != []
+    assert "shingle" not in plan(queries.QUERIES["shared_shingles"](spark, sf)).split("Exchange")[-1]
+
+
+def test_spans_are_counted_uncut(spark, sf):
+    rng = random.Random(9)
+    made = [[(rng.randint(1, 8), rng.choice("xy"), a := rng.randint(1, 40), a + rng.randint(0, 9)) for _ in range(n)] for n in (30, 40)]
+    gold, spans = (spark.createDataFrame(rows, "instance_id int, path string, a int, b int") for rows in made)
+    cut = [{(i, p, line) for i, p, a, b in rows for line in range(a, b + 1)} for rows in made]
+    got = {r.instance_id: (r.n_lines, r.n_covered, r.all_files) for r in metrics.line_coverage(gold, spans).collect()}
+    files = {(i, p) for i, p, _ in cut[1]}
+    assert got == {i: (sum(x[0] == i for x in cut[0]), sum(x[0] == i for x in cut[0] & cut[1]), all(x[:2] in files for x in cut[0] if x[0] == i)) for i in {x[0] for x in cut[0]}}
+    r = metrics.region_precision(gold, spans).first()
+    assert (r.n_gold, r.n_returned, r.precision) == (len(cut[0] & cut[1]), len(cut[1]), len(cut[0] & cut[1]) / len(cut[1]))
+    for name in ("line_coverage", "region_precision"):
+        assert "explode" not in plan(queries.QUERIES[name](spark, sf))
+
+
+def test_a_large_folder_is_many_blocks(spark):
+    files = [f"{d}/{i}" for d, n in (("a", 40), ("b", 2), ("c", 1)) for i in range(n)]
+    df = graph.same_folder(spark.createDataFrame([(f,) for f in files], "path string"), block=5)
+    assert sorted(map(tuple, df.collect())) == sorted((a, b) for a in files for b in files if a != b and a[0] == b[0])
+    assert df.groupBy(F.spark_partition_id()).count().count() > 10
