@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from findery.functions import text
-from findery.operators import grams, graph, index, metrics, rank, scan
+from findery.operators import fusion, grams, graph, history, index, metrics, rank, scan
 from findery.plans import queries
 
 
@@ -129,3 +129,31 @@ def test_a_large_folder_is_many_blocks(spark):
     df = graph.same_folder(spark.createDataFrame([(f,) for f in files], "path string"), block=5)
     assert sorted(map(tuple, df.collect())) == sorted((a, b) for a in files for b in files if a != b and a[0] == b[0])
     assert df.groupBy(F.spark_partition_id()).count().count() > 10
+
+
+def test_a_walk_has_the_tasks_its_fan_out_needs(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(graph, "tasks_for", lambda df, rows: seen.append(rows) or index.tasks_for(df, rows, 50))
+    edges = [(a, b) for a in range(40) for b in range(40) if a != b] + [(0, 99)]
+    got = graph.pagerank(spark.createDataFrame([(1, 0, 1.0), (1, 77, 1.0)], "query_id int, node int, w double"), spark.createDataFrame(edges, "src int, dst int"), rounds=2)
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+    want = {0: 0.5, 77: 0.5}
+    for _ in range(2):
+        new = {0: 0.15 * 0.5, 77: 0.15 * 0.5}
+        for node, w in want.items():
+            for to in out.get(node, [node]):
+                new[to] = new.get(to, 0.0) + 0.85 * w / len(out.get(node, [node]))
+        want = new
+    assert {r.node: r.w for r in got.collect()} == pytest.approx(want)
+    # half of the edges, then all that the 42 nodes of the first step take
+    assert seen[0] == len(edges) / 2 and seen[1] == len(edges) + 2
+
+
+def test_a_neighbourhood_reads_edges_once_a_hop(spark):
+    rows = spark.createDataFrame([(1, "a", 3), (1, "b", 3), (1, "c", 3), (2, "a", 2), (2, "b", 2), (3, "x", 21)], "seq int, path string, n_files int")
+    edges = history.cochange_edges(rows)
+    assert sorted(map(tuple, edges.collect())) == sorted([(x, y) for x in "abc" for y in "abc" if x != y] + [("a", "b"), ("b", "a")])
+    seeds = spark.createDataFrame([(1, "c", 1.0)], "query_id int, doc string, score double")
+    assert {tuple(r) for r in fusion.neighbourhood(seeds, edges, cap=2).collect()} == {(1, "c", 0), (1, "a", 1)}
